@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..cluster import table
 from .exact_dedup import DigestIndex, exact_dedup
 from .pii import BASE, find_pii, span_keys
+from .suffix_dedup import suffix_dedup
 from .window_dedup import substring_dedup
 
 
@@ -39,10 +40,16 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_pii": op6_pii,
+    "op9_suffix_dedup": op9_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
