@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..cluster import table
 from .exact_dedup import DigestIndex, exact_dedup
+from .jaccard import jaccard_join
 from .pii import BASE, find_pii, span_keys
 from .suffix_dedup import suffix_dedup
 from .window_dedup import substring_dedup
@@ -45,11 +46,16 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"), size=3, num=90, den=100)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_pii": op6_pii,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
