@@ -14,7 +14,7 @@ import zstandard
 
 U = np.uint64
 #: Bytes of text that are worked on at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = (2 << 20) - 64
 
 #: The bytes that end a word: blank and 0x09 to 0x0D.
 SPACE = np.zeros(256, dtype=bool)
@@ -47,7 +47,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and its inverse modulo 2**64, for i < n."""
     have = _powers.get(base)
     if have is None or len(have[0]) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
+        size = max(1 << 16, n + n // 16)
         both = []
         for b in (base, pow(base, -1, 1 << 64)):
             p = np.full(size, b, dtype=U)
@@ -181,6 +181,11 @@ def runs(sorted_values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], sorted_values[1:] != sorted_values[:-1])))
 
 
+def ends(starts: np.ndarray, n: int) -> np.ndarray:
+    """Ends of the runs that begin at ``starts`` in ``n`` values."""
+    return np.append(starts[1:], n) if len(starts) else starts
+
+
 def binary_rows(values: np.ndarray, starts: np.ndarray) -> pa.Array:
     """One binary value for each run of ``values`` (any fixed-size dtype), which begin at ``starts``."""
     values = np.ascontiguousarray(values)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,3 +17,17 @@ def ddl(schema: pa.Schema) -> str:
     """Spark's DDL of an Arrow schema of plain types."""
     names = {pa.int32(): "int", pa.int64(): "bigint", pa.bool_(): "boolean", pa.binary(): "binary", pa.string(): "string", pa.float64(): "double"}
     return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
+
+
+def homes_for(docs: DataFrame, text: str, home_bytes: int) -> int:
+    """A prime number of groups of about ``home_bytes`` of text each, 61 at least."""
+    n = max(61, parts_for(docs, text, home_bytes)) | 1
+    while any(n % k == 0 for k in range(3, int(n**0.5) + 1, 2)):
+        n += 2
+    return n
+
+
+def home_of(doc_id: Column, homes: int) -> Column:
+    """The group that a row's text waits in for what is found about it: its id modulo a prime, so
+    that tasks can compute it from the id. Rows without an id are spread evenly."""
+    return F.pmod(F.coalesce(doc_id, F.monotonically_increasing_id()), F.lit(homes)).cast("int")

@@ -24,16 +24,18 @@ from pyspark.sql import functions as F
 
 from ..cluster import materialize, ship_package
 from . import bytesops as B
-from .common import ddl, parts_for
+from .common import ddl, home_of, homes_for, parts_for
 
 GRAM = 32
 #: Bytes of text whose runs one receiving group holds.
 PART_BYTES = 64 << 20
+#: Bytes of text that wait together for what is found about them.
+HOME_BYTES = 8 << 20
 #: Bytes of runs whose suffix array is built at once, unless one minimizer has more.
 ARRAY_BYTES = 4 << 20
 
 SENT = pa.schema([("part", pa.int32()), ("known", pa.bool_()), ("packed", pa.binary())])
-JUDGED = pa.schema([("doc_id", pa.int64()), ("copies", pa.binary()), ("asked", pa.binary())])
+JUDGED = pa.schema([("home", pa.int32()), ("asked", pa.bool_()), ("packed", pa.binary())])
 BYTES = pa.schema([("part", pa.int32()), ("packed", pa.binary()), ("content", pa.binary())])
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
@@ -100,7 +102,7 @@ def _send(width: int, parts: int):
             k = k[np.argsort(gram[k])]
             part = B.bucket_of(gram[k], parts)
             edges = B.runs(part)
-            for a, b in zip(edges, np.append(edges[1:], len(k)), strict=True):
+            for a, b in zip(edges, B.ends(edges, len(k)), strict=True):
                 x = k[a:b]
                 out.append((int(part[a]), False, B.pack(gram[x], content[x], doc[x], at[x], count[x])))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), SENT.types, strict=True)], schema=SENT)
@@ -108,69 +110,71 @@ def _send(width: int, parts: int):
     return run
 
 
-def _by_doc(doc: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """Ids, and for each a binary of its rows of ``columns``."""
-    order = np.argsort(doc, kind="stable")
-    starts = B.runs(doc[order])
-    packed = np.ascontiguousarray(np.stack([c[order].astype("<i8") for c in columns], axis=1))
-    return doc[order][starts], B.binary_rows(packed.view(np.dtype((np.void, 8 * len(columns)))).ravel(), starts)
-
-
-def _judge(group: pa.Table) -> pa.Table:
-    known = group.column("known").to_numpy()
-    packed = group.column("packed").to_pylist()
-    d0, a0, c0 = B.unpack_all((b for b, k in zip(packed, known, strict=True) if k), "iii")
-    gram, content, doc, at, count = B.unpack_all((b for b, k in zip(packed, known, strict=True) if not k), "uuiii")
-    out = []
-    if len(gram):
-        order, starts, later = _smallest(content, doc, at)
-        k = order[later]
-        d0, a0, c0 = np.concatenate((d0, doc[k])), np.concatenate((a0, at[k])), np.concatenate((c0, count[k]))
-        k = order[starts]  # the first run of each content
-        k = k[np.argsort(gram[k])]
-        starts = B.runs(gram[k])
-        several = np.repeat(np.diff(np.append(starts, len(k))) > 1, np.diff(np.append(starts, len(k))))
-        k = k[several]
-        if len(k):
-            ids, rows = _by_doc(doc[k], at[k], count[k], gram[k].view(np.int64))
-            out.append(pa.Table.from_arrays([pa.array(ids), pa.nulls(len(ids), pa.binary()), rows], schema=JUDGED))
-    if len(d0):
-        ids, rows = _by_doc(d0, a0, c0)
-        out.append(pa.Table.from_arrays([pa.array(ids), rows, pa.nulls(len(ids), pa.binary())], schema=JUDGED))
-    return pa.concat_tables(out) if out else JUDGED.empty_table()
+def _by_home(homes: int, asked: bool, doc: np.ndarray, *columns: np.ndarray) -> pa.Table:
+    """Rows of JUDGED with what was found about the documents of each home."""
+    home = doc % homes
+    order = np.argsort(home, kind="stable")
+    home, columns = home[order], [c[order] for c in (doc, *columns)]
+    edges = B.runs(home)
+    packed = [B.pack(*(c[a:b] for c in columns)) for a, b in zip(edges, B.ends(edges, len(home)), strict=True)]
+    return pa.Table.from_arrays([pa.array(home[edges], pa.int32()), pa.array([asked] * len(edges), pa.bool_()), pa.array(packed, pa.binary())], schema=JUDGED)
 
 
-def _fetch(width: int, parts: int):
-    """The bytes of the runs that were asked for."""
+def _judge(homes: int):
+    def run(group: pa.Table) -> pa.Table:
+        known = group.column("known").to_numpy()
+        packed = group.column("packed").to_pylist()
+        d0, a0, c0 = B.unpack_all((b for b, k in zip(packed, known, strict=True) if k), "iii")
+        gram, content, doc, at, count = B.unpack_all((b for b, k in zip(packed, known, strict=True) if not k), "uuiii")
+        out = [JUDGED.empty_table()]
+        if len(gram):
+            order, starts, later = _smallest(content, doc, at)
+            k = order[later]
+            d0, a0, c0 = np.concatenate((d0, doc[k])), np.concatenate((a0, at[k])), np.concatenate((c0, count[k]))
+            k = order[starts]  # the first run of each content
+            k = k[np.argsort(gram[k])]
+            starts = B.runs(gram[k])
+            lens = np.diff(np.append(starts, len(k)))
+            k = k[np.repeat(lens > 1, lens)]
+            if len(k):
+                out.append(_by_home(homes, True, doc[k], at[k], count[k], gram[k]))
+        if len(d0):
+            out.append(_by_home(homes, False, d0, a0, c0))
+        return pa.concat_tables(out)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in B.slices(batches):
-            data, offsets = B.utf8(batch.column("text"))
-            doc, start, at, count, gram = [], [], [], [], []
-            for k, (d, asked) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("asked"), strict=True)):
-                for blob in asked:
-                    x = np.frombuffer(blob.as_py(), "<i8").reshape(-1, 3)
-                    x = x[x[:, 0] + x[:, 1] + width - 1 <= offsets[k + 1] - offsets[k]]
-                    doc.append(np.full(len(x), d))
-                    start.append(x[:, 0] + offsets[k])
-                    at.append(x[:, 0])
-                    count.append(x[:, 1])
-                    gram.append(x[:, 2])
-            if not doc:
-                continue
-            doc, start, at, count, gram = map(np.concatenate, (doc, start, at, count, gram))
-            if not len(doc):
-                continue
-            gram = np.ascontiguousarray(gram).view(B.U)
-            order = np.argsort(gram)
-            part = B.bucket_of(gram[order], parts).astype(np.int64)
-            edges = B.runs(part)
-            out = []
-            for a, b in zip(edges, np.append(edges[1:], len(order)), strict=True):
-                k = order[a:b]
-                content = b"".join(data[s : s + c + width - 1].tobytes() for s, c in zip(start[k].tolist(), count[k].tolist(), strict=True))
-                out.append((int(part[a]), B.pack(gram[k], doc[k], at[k], count[k]), B.zstandard.ZstdCompressor(level=1).compress(content)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), BYTES.types, strict=True)], schema=BYTES)
+    return run
+
+
+def _each(texts: pa.Table, doc: np.ndarray) -> Iterator[tuple[int, bytes, slice]]:
+    """Number of the row, its bytes, and where its id stands in the sorted ``doc``, which it may not."""
+    edges = B.runs(doc)
+    at = dict(zip(doc[edges].tolist(), zip(edges.tolist(), B.ends(edges, len(doc)).tolist(), strict=True), strict=True))
+    for i, text in zip(texts.column("doc_id").to_pylist(), (x for b in texts.to_batches() for x in b.column("text")), strict=True):
+        yield i, (text.as_py() or "").encode(), slice(*at.get(i, (0, 0)))
+
+
+def _fetch(width: int, parts: int):
+    """The bytes of the runs that were asked for, dealt out by minimizer."""
+
+    def run(texts: pa.Table, asked: pa.Table) -> pa.Table:
+        doc, at, count, gram = B.unpack_all(asked.column("packed").to_pylist(), "iiiu")
+        order = np.argsort(doc, kind="stable")
+        doc, at, count, gram = doc[order], at[order], count[order], gram[order]
+        content: list[bytes] = [b""] * len(doc)
+        for _, body, rows in _each(texts, doc):
+            for k in range(rows.start, rows.stop):
+                x = body[at[k] : at[k] + count[k] + width - 1]
+                if len(x) == count[k] + width - 1:
+                    content[k] = x
+        part = B.bucket_of(gram, parts)
+        order = np.argsort(part, kind="stable")
+        order = order[[bool(content[k]) for k in order.tolist()]] if len(order) else order
+        edges = B.runs(part[order])
+        out = []
+        for a, b in zip(edges, B.ends(edges, len(order)), strict=True):
+            k = order[a:b]
+            out.append((int(part[k[0]]), B.pack(gram[k], doc[k], at[k], count[k]), B.zstandard.ZstdCompressor(level=1).compress(b"".join(content[x] for x in k.tolist()))))
+        return pa.Table.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(BYTES.types)], schema=BYTES)
 
     return run
 
@@ -229,7 +233,7 @@ def longest_previous_factor(order: np.ndarray, prefix: np.ndarray, place: np.nda
     return out
 
 
-def _match(width: int):
+def _match(width: int, homes: int):
     def run(group: pa.Table) -> pa.Table:
         heads, bodies = group.column("packed").to_pylist(), group.column("content").to_pylist()
         gram, doc, at, count = B.unpack_all(heads, "uiii")
@@ -240,7 +244,7 @@ def _match(width: int):
         start = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         order = np.argsort(gram, kind="stable")
         edges = B.runs(gram[order])
-        ends = np.append(edges[1:], len(order))
+        ends = B.ends(edges, len(order))
         upto = np.cumsum(sizes[order])
         found: list[tuple[np.ndarray, np.ndarray]] = []
         a = 0
@@ -261,35 +265,32 @@ def _match(width: int):
             found.append((d[copy], p[copy]))
             a = b
         d, p = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
-        if not len(d):
-            return JUDGED.empty_table()
-        ids, rows = _by_doc(d, p, np.ones(len(d), np.int64))
-        return pa.Table.from_arrays([pa.array(ids), rows, pa.nulls(len(ids), pa.binary())], schema=JUDGED)
+        return _by_home(homes, False, d, p, np.ones(len(d), np.int64))
 
     return run
 
 
 def _remove(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in B.slices(batches):
-            rows = []
-            for doc, text, copies in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("copies"), strict=True):
-                body = (text.as_py() or "").encode()
-                n = len(body)
-                removed = spans = 0
-                found = [np.frombuffer(x.as_py(), "<i8").reshape(-1, 2) for x in copies] if copies.is_valid else []
-                if found and n:
-                    x = np.concatenate(found)
-                    x = x[x[:, 0] + x[:, 1] + width - 1 <= n]
-                    step = np.zeros(n + 1, np.int64)
-                    np.add.at(step, x[:, 0], 1)
-                    np.add.at(step, x[:, 0] + x[:, 1] + width - 1, -1)
-                    gone = np.cumsum(step)[:n] > 0
-                    removed = int(gone.sum())
-                    spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                    body = np.frombuffer(body, np.uint8)[~gone].tobytes()
-                rows.append((doc, n, removed, spans, body))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(RESULT.types)], schema=RESULT)
+    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+        doc, at, count = B.unpack_all(found.column("packed").to_pylist(), "iii")
+        order = np.argsort(doc, kind="stable")
+        doc, at, count = doc[order], at[order], count[order]
+        rows = []
+        for i, body, where in _each(texts, doc):
+            n = len(body)
+            removed = spans = 0
+            a, c = at[where], count[where]
+            ok = a + c + width - 1 <= n
+            if ok.any():
+                step = np.zeros(n + 1, np.int64)
+                np.add.at(step, a[ok], 1)
+                np.add.at(step, a[ok] + c[ok] + width - 1, -1)
+                gone = np.cumsum(step)[:n] > 0
+                removed = int(gone.sum())
+                spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+                body = np.frombuffer(body, np.uint8)[~gone].tobytes()
+            rows.append((i, n, removed, spans, body))
+        return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(RESULT.types)], schema=RESULT)
 
     return run
 
@@ -311,10 +312,11 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ship_package(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     parts = parts_for(docs, "text", part_bytes)
+    homes = homes_for(docs, "text", HOME_BYTES)
+    texts = docs.withColumn("home", home_of(F.col("doc_id"), homes))
     sent = docs.where("doc_id is not null").mapInArrow(_send(width, parts), ddl(SENT))
-    judged = materialize(sent.groupBy("part").applyInArrow(_judge, ddl(JUDGED)), "suffix-runs")
-    asked = judged.where("asked is not null").groupBy("doc_id").agg(F.collect_list("asked").alias("asked"))
-    pieces = docs.join(asked, "doc_id").mapInArrow(_fetch(width, parts), ddl(BYTES))
-    matched = pieces.groupBy("part").applyInArrow(_match(width), ddl(JUDGED))
-    copies = judged.where("copies is not null").unionByName(matched).groupBy("doc_id").agg(F.collect_list("copies").alias("copies"))
-    return docs.join(copies, "doc_id", "left").mapInArrow(_remove(width), ddl(RESULT))
+    judged = materialize(sent.groupBy("part").applyInArrow(_judge(homes), ddl(JUDGED)), "suffix-runs")
+    pieces = texts.groupBy("home").cogroup(judged.where("asked").groupBy("home")).applyInArrow(_fetch(width, parts), ddl(BYTES))
+    matched = pieces.groupBy("part").applyInArrow(_match(width, homes), ddl(JUDGED))
+    copies = judged.where("not asked").unionByName(matched)
+    return texts.groupBy("home").cogroup(copies.groupBy("home")).applyInArrow(_remove(width), ddl(RESULT))
