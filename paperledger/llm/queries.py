@@ -7,15 +7,46 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..cluster import table
-from . import bpe
+from ..cluster import shared_path, table
+from . import bpe, linear
 from .exact_dedup import DigestIndex, exact_dedup
 from .jaccard import jaccard_join
+from .mixing import mix
 from .pii import BASE, find_pii, span_keys
 from .suffix_dedup import suffix_dedup
+from .token_planes import read_tokens, write_tokens
 from .window_dedup import substring_dedup
 
 
+#: Shares of the domains (good, low quality, toxic) in the mixture.
+MIX_TARGETS = (0.80, 0.12, 0.08)
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~linear.is_held_out(F.col("doc_id"))).select("doc_id", F.col("quality").alias("label"))
+    scored = linear.score(docs, linear.train(docs, labels)).withColumn("score", F.col("scores")[0])
+    return scored.select("doc_id", linear.is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def domain_labels(labels: DataFrame) -> DataFrame:
+    """doc_id and domain number: 2 toxic, 1 low quality, 0 other."""
+    return labels.select("doc_id", F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 0).alias("label"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents"), domain_labels(table(spark, sf_dir, "labels")), MIX_TARGETS)
+    return mixed.select("doc_id", "n_tokens", *(F.col("posteriors")[k].alias(f"p_{name}") for k, name in enumerate(("good", "low", "toxic"))), "rate")
+
+
+def op3_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    root = shared_path(spark, "tokens")
+    write_tokens(table(spark, sf_dir, "documents"), root, public_tokenizers.path("word_bpe_49k.json"))
+    return read_tokens(spark, root, digest=True)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
@@ -58,10 +89,13 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_token_planes": op3_token_planes,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_pii": op6_pii,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_mixing": op8_mixing,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_jaccard_join": op10_jaccard_join,
 }
