@@ -267,9 +267,10 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 ROUND_TRIP = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
-def round_trip_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256: encodes, decodes the ids and hashes both
-    inside one task, so that neither the ids nor the bytes leave it. Rows and nulls as in encode."""
+def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if wanted, ids: encodes, decodes the ids and
+    hashes both inside one task, so that the bytes don't leave it. Rows and nulls as in encode."""
+    shape = ROUND_TRIP.append(pa.field("ids", pa.binary())) if with_ids else ROUND_TRIP
     ship_package(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
@@ -280,6 +281,9 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "
             ids, offsets = encoder.encode(pc.fill_null(batch.column("text"), "").to_pylist())
             data, at = decode_bytes(encoder.vocab, ids, offsets)
             sha = lambda x, o: [hashlib.sha256(x[a:b]).hexdigest() for a, b in zip(o[:-1].tolist(), o[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(sha(ids, offsets), pa.string()), pa.array(sha(data, at), pa.string())], schema=ROUND_TRIP)
+            columns = [batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(sha(ids, offsets), pa.string()), pa.array(sha(data, at), pa.string())]
+            if with_ids:
+                columns.append(pa.array([ids[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, schema=shape)
 
-    return docs.mapInArrow(run, ddl(ROUND_TRIP))
+    return docs.mapInArrow(run, ddl(shape))

@@ -155,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, classes: int = 1, bits: int = BITS
     return weights.astype(np.float32)
 
 
-def _scores(weights: np.ndarray):
+def _scores(weights: np.ndarray, with_text: bool):
     bits = (weights.shape[1] - 1).bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,21 +170,22 @@ def _scores(weights: np.ndarray):
             sizes = np.full(batch.num_rows, len(weights))
             flat = pa.array(scores.ravel())
             offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
-            keep = [batch.column(k) for k in range(batch.num_columns) if batch.schema.names[k] != "text"]
-            names = [n for n in batch.schema.names if n != "text"]
+            keep = [batch.column(k) for k in range(batch.num_columns) if with_text or batch.schema.names[k] != "text"]
+            names = [n for n in batch.schema.names if with_text or n != "text"]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(words, pa.int64()), pa.ListArray.from_arrays(offsets, flat)], names=[*names, "n_words", "scores"])
 
     return run
 
 
-def score(docs: DataFrame, weights: np.ndarray, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep``, n_words, and scores (one sigmoid for each row of ``weights``) of every text.
+def score(docs: DataFrame, weights: np.ndarray, keep: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
+    """The columns ``keep``, n_words, and scores (one sigmoid for each row of ``weights``) of every text;
+    ``with_text`` returns the texts too, without shuffling them.
 
     Null texts count as empty; empty ones have the score of the bias alone."""
     ship_package(docs.sparkSession)
-    rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("text"))
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.mapInArrow(_scores(weights), f"{shape}, n_words bigint, scores array<double>")
+    rows = docs.select(*dict.fromkeys((*keep, "text")))
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if with_text or f.name != "text")
+    return rows.mapInArrow(_scores(weights, with_text), f"{shape}, n_words bigint, scores array<double>")
 
 
 def is_held_out(doc_id: Column) -> Column:

@@ -11,6 +11,7 @@ from ..cluster import shared_path, table
 from . import bpe, linear
 from .exact_dedup import DigestIndex, exact_dedup
 from .jaccard import jaccard_join
+from .media_archive import media_features, read_archives, write_archives
 from .mixing import mix
 from .pii import BASE, find_pii, span_keys
 from .suffix_dedup import suffix_dedup
@@ -47,6 +48,12 @@ def op3_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, root, digest=True)
 
 
+def op4_media_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = shared_path(spark, "media")
+    write_archives(table(spark, sf_dir, "documents"), root)
+    return media_features(read_archives(spark, root))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
@@ -76,7 +83,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_token_planes": op3_token_planes,
+    "op4_media_archive": op4_media_archive,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_pii": op6_pii,
     "op7_byte_bpe": op7_byte_bpe,

@@ -19,13 +19,13 @@ from pyspark.sql import functions as F
 
 from ..cluster import ship_package
 from . import bytesops as B
-from .common import ddl, parts_for
+from .common import ddl, home_of, homes_for, parts_for
 
 #: Bytes of text whose windows one receiving group holds (about 2.6 million windows).
 PART_BYTES = 16 << 20
 
 SENT = pa.schema([("part", pa.int32()), ("known", pa.bool_()), ("packed", pa.binary())])
-FOUND = pa.schema([("doc_id", pa.int64()), ("at", pa.binary())])
+FOUND = pa.schema([("home", pa.int32()), ("packed", pa.binary())])
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("n_intervals", pa.int64()), ("kept_text", pa.string())])
 
 
@@ -49,56 +49,65 @@ def _send(width: int, parts: int):
             h, doc, place = h[~later], doc[~later], place[~later]
             part = B.bucket_of(h, parts)
             edges = B.runs(part)
-            for a, b in zip(edges, np.append(edges[1:], len(h)), strict=True):
+            for a, b in zip(edges, B.ends(edges, len(h)), strict=True):
                 out.append((int(part[a]), False, B.pack(h[a:b], doc[a:b], place[a:b])))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), SENT.types, strict=True)], schema=SENT)
 
     return run
 
 
-def _rows(doc: np.ndarray, place: np.ndarray) -> pa.Table:
-    order = np.argsort(doc, kind="stable")
-    doc, place = doc[order], place[order]
-    starts = B.runs(doc)
-    return pa.Table.from_arrays([pa.array(doc[starts]), B.binary_rows(place.astype("<i4"), starts)], schema=FOUND)
+def _rows(doc: np.ndarray, place: np.ndarray, homes: int) -> pa.Table:
+    home = doc % homes
+    order = np.lexsort((place, doc, home))
+    doc, place, home = doc[order], place[order], home[order]
+    edges = B.runs(home)
+    packed = [B.pack(doc[a:b], place[a:b]) for a, b in zip(edges, B.ends(edges, len(doc)), strict=True)]
+    return pa.Table.from_arrays([pa.array(home[edges], pa.int32()), pa.array(packed, pa.binary())], schema=FOUND)
 
 
-def _find(group: pa.Table) -> pa.Table:
-    known = group.column("known").to_numpy()
-    packed = group.column("packed").to_pylist()
-    d0, p0 = B.unpack_all((b for b, k in zip(packed, known, strict=True) if k), "ii")
-    h, doc, place = B.unpack_all((b for b, k in zip(packed, known, strict=True) if not k), "uii")
-    if len(h):
-        order = np.argsort(h)
-        h, doc, place = h[order], doc[order], place[order]
-        starts = B.runs(h)
-        least = np.repeat(np.minimum.reduceat(doc, starts), np.diff(np.append(starts, len(h))))
-        later = doc > least
-        d0, p0 = np.concatenate((d0, doc[later])), np.concatenate((p0, place[later]))
-    return _rows(d0, p0)
+def _find(homes: int):
+    def run(group: pa.Table) -> pa.Table:
+        known = group.column("known").to_numpy()
+        packed = group.column("packed").to_pylist()
+        d0, p0 = B.unpack_all((b for b, k in zip(packed, known, strict=True) if k), "ii")
+        h, doc, place = B.unpack_all((b for b, k in zip(packed, known, strict=True) if not k), "uii")
+        if len(h):
+            order = np.argsort(h)
+            h, doc, place = h[order], doc[order], place[order]
+            starts = B.runs(h)
+            least = np.repeat(np.minimum.reduceat(doc, starts), np.diff(np.append(starts, len(h))))
+            later = doc > least
+            d0, p0 = np.concatenate((d0, doc[later])), np.concatenate((p0, place[later]))
+        return _rows(d0, p0, homes)
+
+    return run
 
 
 def _remove(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in B.slices(batches):
-            rows = []
-            texts = batch.column("text")
-            for doc, text, found in zip(batch.column("doc_id").to_pylist(), texts, batch.column("found"), strict=True):
+    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+        doc, place = B.unpack_all(found.column("packed").to_pylist(), "ii")
+        order = np.argsort(doc, kind="stable")
+        doc, place = doc[order], place[order]
+        edges = B.runs(doc)
+        at = dict(zip(doc[edges].tolist(), zip(edges.tolist(), B.ends(edges, len(doc)).tolist(), strict=True), strict=True))
+        rows = []
+        for batch in texts.to_batches():
+            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 words = (text.as_py() or "").encode().split()
                 n = len(words)
                 removed = intervals = 0
-                found = [np.frombuffer(x.as_py(), "<i4") for x in found] if found.is_valid else []
-                if found and n:
-                    at = np.unique(np.concatenate(found))
+                if n and i in at:
                     step = np.zeros(n + width + 1, np.int32)
-                    step[at] += 1
-                    step[at + width] -= 1
+                    p = np.unique(place[slice(*at[i])])
+                    p = p[p + width <= n]
+                    step[p] += 1
+                    step[p + width] -= 1
                     gone = np.cumsum(step)[:n] > 0
                     removed = int(gone.sum())
                     intervals = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                     words = [x for x, g in zip(words, gone.tolist(), strict=True) if not g]
-                rows.append((doc, n, removed, intervals, b" ".join(words)))
-            yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], pa.int64()) for k in range(4)), pa.array([r[4] for r in rows], pa.binary()).cast(pa.string())], schema=RESULT)
+                rows.append((i, n, removed, intervals, b" ".join(words).decode()))
+        return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(RESULT.types)], schema=RESULT)
 
     return run
 
@@ -118,8 +127,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ship_package(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     parts = parts_for(docs, "text", part_bytes)
+    homes = homes_for(docs, "text", part_bytes // 2)
     sent = docs.where("doc_id is not null").mapInArrow(_send(width, parts), ddl(SENT))
-    found = sent.groupBy("part").applyInArrow(_find, ddl(FOUND))
-    found = found.groupBy("doc_id").agg(F.collect_list("at").alias("found"))
-    return docs.join(found, "doc_id", "left").mapInArrow(_remove(width), ddl(RESULT))
-
+    found = sent.groupBy("part").applyInArrow(_find(homes), ddl(FOUND))
+    texts = docs.withColumn("home", home_of(F.col("doc_id"), homes))
+    return texts.groupBy("home").cogroup(found.groupBy("home")).applyInArrow(_remove(width), ddl(RESULT))
