@@ -16,8 +16,8 @@ from paperledger.llm.mixing import copies, mix
 
 #: Documents with a lower score are rejected.
 QUALITY = 0.5
-#: Shares of tokens of ordinary and of toxic documents; the ordinary ones keep theirs.
-MIX_TARGETS = (0.99, 0.01)
+#: Target shares of the tokens by language.
+MIX_TARGETS = {"en": 0.58, "de": 0.14, "fr": 0.14, "es": 0.14}
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,10 +40,14 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document as its fitted rate says, in the mean."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
-    rates = mix(docs, labels, MIX_TARGETS, whole=0).select("doc_id", copies(F.col("rate"), F.col("doc_id")).alias("n"))
-    drawn = rates.where("n > 0").select("doc_id", F.explode(F.sequence(F.lit(1), F.col("n")))).select("doc_id")
+    """As many copies of each document as its fitted rate says, in the mean, and one at least.
+
+    The languages of the documents in ``labels`` train the classifier; all documents get posteriors.
+    """
+    domain = F.coalesce(*(F.when(F.col("lang") == name, k) for k, name in enumerate(MIX_TARGETS)))
+    labels = docs.join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", domain.alias("label"))
+    rates = mix(docs, labels, tuple(MIX_TARGETS.values()), least=1.0, grow=True)
+    drawn = rates.select("doc_id", F.explode(F.sequence(F.lit(1), copies(F.col("rate"), F.col("doc_id"))))).select("doc_id")
     return docs.join(drawn, "doc_id").select(docs.columns)
 
 
