@@ -109,12 +109,13 @@ def with_rates(members: DataFrame, steps: list[np.ndarray], domains: int, least:
     return members.mapInArrow(run, SHAPE + ", rate double")
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: Sequence[float], least: float = 0.0, whole: int | None = None) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: Sequence[float], least: float = 0.0, grow: bool = False) -> DataFrame:
     """doc_id, n_tokens (words), posteriors and rate of every document.
 
     ``labels`` (doc_id, label) holds domain numbers from 0; ``targets`` are the shares of the
-    domains. The mixture has as many tokens as the documents or, with ``whole``, as many as let the
-    domain of that number keep its tokens. A rate is the expected number of copies.
+    domains. The mixture has as many tokens as the documents or, with ``grow``, the fewest for which
+    no domain has to shrink; with ``least`` 1 every document is then kept. A rate is the expected
+    number of copies.
 
     Null texts count as empty; a text without words has the rate of its posteriors,
     and changes no sum. Null and
@@ -126,9 +127,9 @@ def mix(docs: DataFrame, labels: DataFrame, targets: Sequence[float], least: flo
     weights = train(docs, labels, classes=k)
     members = materialize(posteriors(docs, weights), "mixing-members")
     tokens = None
-    if whole is not None:
-        have = members.agg(F.sum(F.col("n_tokens") * F.col("posteriors")[whole])).first()[0]
-        tokens = (have or 0.0) * sum(targets) / targets[whole]
+    if grow:
+        have = members.agg(*(F.sum(F.col("n_tokens") * F.col("posteriors")[c]).alias(f"d{c}") for c in range(k))).first()
+        tokens = max((x or 0.0) * sum(targets) / t for x, t in zip(have, targets, strict=True) if t > 0)
     steps, _ = fit_rates(members, targets, least, tokens)
     return with_rates(members, steps, k, least)
 
