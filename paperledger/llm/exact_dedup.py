@@ -11,12 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..cluster import materialize, shared_path
+from .common import look_up
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: A digest is hot if it has more than one in HOT_SHARE of a batch's rows; so fewer than HOT_SHARE are.
-HOT_SHARE = 1000
-
 
 def normalized(text: Column) -> Column:
     """A-Z to a-z, nothing else; null counts as empty."""
@@ -70,12 +68,7 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
     index.append(new.select("digest", F.col("best").alias("keep_id"), F.col("group_size").alias("added")))
     held = groups.join(index.read().select("digest", "keep_id"), "digest").select("digest", "keep_id", "group_size", (F.col("best").eqNullSafe(F.col("keep_id"))).alias("own"))
     held = materialize(held, "digest-held")
-    # A digest of more than total/HOT_SHARE rows: fewer than HOT_SHARE of them exist, so they can be broadcast.
-    hot = held.where(F.col("group_size") * HOT_SHARE > total)
-    cold = held.where(F.col("group_size") * HOT_SHARE <= total)
-    marked = rows.join(F.broadcast(hot), "digest", "left")
-    is_hot = F.col("group_size").isNotNull()
-    found = marked.where(is_hot).unionByName(marked.where(~is_hot).select("doc_id", "digest").join(cold, "digest").select(marked.columns))
+    found = look_up(rows, held, "digest", "group_size", total)
     return found.select(
         "doc_id",
         "keep_id",
