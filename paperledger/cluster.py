@@ -36,8 +36,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one Arrow batch between Spark and Python: texts are long, and both sides hold a batch.
+ARROW_ROWS = 2000
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Sends this package's sources to the Python workers once per application."""
+    """Sends this package's sources to the Python workers once per application, and makes Arrow's
+    batches smaller unless the session has its own setting."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     conf = f"paperledger.shipped.{spark.sparkContext.applicationId}"
     if spark.conf.get(conf, None):
         return
