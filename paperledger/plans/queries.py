@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import money, parties, text
-from ..operators import accuracy, catalog, lines, store
+from ..operators import accuracy, catalog, geometry, lines, store
 from ..streaming import batch as flows
 from .projections import oracle, projection
 
@@ -493,6 +493,65 @@ def st6(documents):
     return kept.agg(F.count(F.lit(1)).alias("kept")).join(audit.agg(F.count(F.lit(1)).alias("purged")))
 
 
+@query("w3_rows_by_top", "SELECT doc_id, seq, CAST(line_no - 1 AS INT) AS row_no FROM (SELECT doc_id, seq, seq // 10 AS line_no FROM words) w", "words")
+def w3(words):
+    return geometry.rows_by_top(words).select("doc_id", "seq", "row_no")
+
+
+@query("w2_group_words", "SELECT doc_id, seq, CAST(seq // 10 - 1 AS INT) AS row_no FROM words", "words")
+def w2(words):
+    return geometry.group_words_into_rows(words).select("doc_id", "seq", "row_no")
+
+
+@query("w4_layout_text", "SELECT doc_id, md5(string_agg(l, chr(10) ORDER BY line_no)) AS layout FROM (SELECT doc_id, seq // 10 AS line_no, string_agg(text, ' | ' ORDER BY seq) AS l FROM words GROUP BY 1, 2) x GROUP BY 1", "words")
+def w4(words):
+    rows = words.withColumn("row_no", F.floor(F.col("seq") / 10).cast("int"))
+    return geometry.layout_text(rows).select("doc_id", F.md5("layout").alias("layout"))
+
+
+_BANDS = "SELECT doc_id, CAST(band AS INT) AS band, coalesce((lag(b) OVER (PARTITION BY doc_id ORDER BY band) + a) / 2, a - 10) AS lo, coalesce((lead(a) OVER (PARTITION BY doc_id ORDER BY band) + b) / 2, b + 10) AS hi FROM (SELECT doc_id, seq % 10 AS band, min(x0) AS a, max(x1) AS b FROM words GROUP BY 1, 2) x"
+
+
+@query("w6_column_bands", _BANDS, "words")
+def w6(words):
+    return geometry.column_bands(words).select("doc_id", "band", "lo", "hi")
+
+
+@query("j13_words_to_bands", "SELECT doc_id, seq, CAST(seq % 10 AS INT) AS band FROM words", "words")
+def j13(words):
+    return geometry.words_to_bands(words, geometry.column_bands(words)).select("doc_id", "seq", "band")
+
+
+@query("j12_words_in_boxes", "SELECT doc_id, CAST(seq // 10 AS INT) AS box, string_agg(text, ' ' ORDER BY y0, x0) AS text FROM words WHERE seq % 10 < 2 GROUP BY 1, 2", "words")
+def j12(words):
+    boxes = words.where("seq % 10 = 0").select("doc_id", "page_no", F.floor(F.col("seq") / 10).cast("int").alias("box"), F.lit(0.0).alias("x0"), F.col("y0"), F.lit(400.0).alias("x1"), (F.col("y0") + 25).alias("y1"))
+    return geometry.words_in_boxes(words, boxes).select("doc_id", "box", "text")
+
+
+@query("a18_page_metrics", "SELECT doc_id, CAST(20 AS DOUBLE) AS height, CAST(10 AS DOUBLE) AS char_width FROM words GROUP BY 1", "words")
+def a18(words):
+    return geometry.page_metrics(words).select("doc_id", "height", "char_width")
+
+
+@query("w12_deskew", "SELECT doc_id, CAST(count(*) AS BIGINT) AS n FROM words GROUP BY 1", "words")
+def w12(words):
+    return geometry.deskew(words.withColumn("y0", F.col("y0") + F.col("x0") * 0.03).withColumn("y1", F.col("y1") + F.col("x0") * 0.03)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("j17_slope_pairs", "SELECT a.doc_id, CAST(count(*) AS BIGINT) AS n FROM words a JOIN words b ON b.doc_id = a.doc_id AND (b.x0 + b.x1 - a.x0 - a.x1) / 2 BETWEEN 150 AND 2000 AND abs(b.y0 - a.y0) <= 24 GROUP BY 1", "words")
+def j17(words):
+    return geometry.word_slope_pairs(words).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+_CELLS = "SELECT doc_id, seq // 10 AS row_no, max(CASE WHEN seq % 10 = 0 THEN text END) AS a, max(CASE WHEN seq % 10 = 1 THEN text END) AS b FROM words WHERE seq % 10 < 2 GROUP BY 1, 2"
+
+
+@query("a16_duplicate_rows", f"SELECT doc_id, row_no FROM (SELECT doc_id, row_no, row_number() OVER (PARTITION BY doc_id, a, b ORDER BY row_no) AS n FROM ({_CELLS}) c) x WHERE n > 1", "words")
+def a16(words):
+    cells = words.where("seq % 10 < 2").select("doc_id", F.lit("grid").alias("source"), F.floor(F.col("seq") / 10).alias("row_no"), (F.col("seq") % 10).alias("col_no"), F.col("text").alias("value"))
+    return geometry.duplicate_rows(cells).select("doc_id", "row_no")
+
+
 def minimum_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Invoices are rendered as text, read back as lines, checked against their totals and routed."""
     items, totals = projection(spark, sf_dir, "lines"), projection(spark, sf_dir, "totals")
