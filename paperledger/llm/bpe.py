@@ -150,6 +150,15 @@ def _starts(sizes: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
+    _kept: dict[tuple[str, str], Encoder] = {}
+
+    @classmethod
+    def of(cls, path: str, pattern: str) -> Encoder:
+        """The one of this Python worker, with what it remembers from earlier tasks."""
+        if (path, pattern) not in cls._kept:
+            cls._kept[path, pattern] = cls(Vocabulary.load(path), pattern)
+        return cls._kept[path, pattern]
+
     def __init__(self, vocab: Vocabulary, pattern: str) -> None:
         self.vocab = vocab
         self.pattern = regex.compile(pattern, regex.V0)
@@ -223,7 +232,7 @@ def _encode(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
         for batch in B.slices(batches):
-            encoder = encoder or Encoder(Vocabulary.load(path), pattern)
+            encoder = encoder or Encoder.of(path, pattern)
             ids, offsets = encoder.encode(pc.fill_null(batch.column("text"), "").to_pylist())
             raw = ids.tobytes()
             rows = [raw[4 * a : 4 * b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
@@ -277,7 +286,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
         for batch in B.slices(batches):
-            encoder = encoder or Encoder(Vocabulary.load(path), pattern)
+            encoder = encoder or Encoder.of(path, pattern)
             ids, offsets = encoder.encode(pc.fill_null(batch.column("text"), "").to_pylist())
             data, at = decode_bytes(encoder.vocab, ids, offsets)
             sha = lambda x, o: [hashlib.sha256(x[a:b]).hexdigest() for a, b in zip(o[:-1].tolist(), o[1:].tolist(), strict=True)]

@@ -18,6 +18,7 @@ position of each shard's first id.
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -39,7 +40,9 @@ BLOCK = 1 << 16
 #: Bytes of text in a shard.
 SHARD_BYTES = 64 << 20
 #: Distinct words that a worker remembers.
-REMEMBER = 400_000
+REMEMBER = 500_000
+#: Words that are encoded in one call.
+TOGETHER = 1_000
 
 MANIFEST = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())])
 
@@ -128,10 +131,30 @@ class Shard:
         return np.concatenate(out)[start - a * self.block : end - a * self.block]
 
 
+_LOWER = bytes(B.LOWER.tolist())
+_MARKS = re.compile(r"(?<=[a-z])([.,;:!?*#$%&]+)(?=[ \n]|$)")
+
+
+def _simpler(text: str) -> str:
+    """A text with the same ids and fewer distinct words: A-Z lower-cased, as the tokenizer does, and
+    a blank before the marks that end a word, where its pattern cuts anyway. Texts that could hold a
+    special token's string stay as they are."""
+    return text if "<|" in text else _MARKS.sub(r" \1", text.encode().translate(_LOWER).decode())
+
+
 class WordTokenizer:
     """A tokenizer of the tokenizers library whose pattern never crosses blanks and line ends: each
     distinct stretch between them is encoded once and remembered."""
 
+    _kept: dict[str, WordTokenizer] = {}
+
+    @classmethod
+    def of(cls, path: str) -> WordTokenizer:
+        """The one of this Python worker, with what it remembers from earlier tasks."""
+        if path not in cls._kept:
+            cls._kept[path] = cls(path)
+        return cls._kept[path]
+
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
@@ -142,6 +165,16 @@ class WordTokenizer:
         self.codes: dict[str, int] = {}
         self.table, self.sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64)
 
+    def _learn(self, words: list[str]) -> None:
+        """Encodes words in one text, blanks between them; a token's offset tells its word."""
+        done = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        starts = np.cumsum([0, *(len(w) + 1 for w in words[:-1])])
+        offsets = np.fromiter((x for pair in done.offsets for x in pair), np.int64, 2 * len(done.ids))[::2]
+        self.codes.update(zip(words, range(len(self.sizes), len(self.sizes) + len(words)), strict=True))
+        self.table = np.concatenate((self.table, np.array(done.ids, "<u4")))
+        sizes = np.bincount(np.searchsorted(starts, offsets, side="right") - 1, minlength=len(words))
+        self.sizes = np.concatenate((self.sizes, sizes.astype(np.int64)))
+
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, each followed by ``end_id``; and the length of each."""
         from .bpe import spread
@@ -150,13 +183,10 @@ class WordTokenizer:
             self._forget()
         if not len(self.sizes):
             self.table, self.sizes = np.array([end_id], "<u4"), np.ones(1, np.int64)
-        pieces = [t.replace("\n", " ").split(" ") for t in texts]
+        pieces = [_simpler(t).replace("\n", " ").split(" ") for t in texts]
         new = sorted({c for p in pieces for c in p if c not in self.codes})
-        if new:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            self.codes.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new)), strict=True))
-            self.table = np.concatenate((self.table, np.fromiter((x for e in ids for x in e), "<u4")))
-            self.sizes = np.concatenate((self.sizes, np.fromiter((len(e) for e in ids), np.int64, len(ids))))
+        for a in range(0, len(new), TOGETHER):
+            self._learn(new[a : a + TOGETHER])
         get = self.codes.__getitem__
         ends = np.cumsum([len(p) + 1 for p in pieces]) - 1
         code = np.zeros(int(ends[-1]) + 1 if len(ends) else 0, np.int64)
@@ -194,7 +224,7 @@ def _write(tokenizer: str, root: str, end_id: int, bits: bool):
         words = None
         docs, lengths, ids = [], [], []
         for batch in B.slices(batches):
-            words = words or WordTokenizer(tokenizer)
+            words = words or WordTokenizer.of(tokenizer)
             x, n = words.encode(pc.fill_null(batch.column("text"), "").to_pylist(), end_id)
             docs.append(batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64))
             lengths.append(n)
@@ -210,7 +240,7 @@ def _write(tokenizer: str, root: str, end_id: int, bits: bool):
     return run
 
 
-def write_tokens(docs: DataFrame, root: str, tokenizer: str, end_id: int = 1, bits: bool = True, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_tokens(docs: DataFrame, root: str, tokenizer: str, end_id: int = 1, bits: bool = False, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes every text, appends ``end_id``, writes the shards to the folder ``root`` that all
     executors share, in ascending order of id, and a Parquet manifest beside them. Returns the
     manifest: shard, path (below root), n_docs, n_ids, n_bytes and start (ids of earlier shards).
