@@ -69,6 +69,10 @@ SQL: dict[str, str] = {
         SELECT l_orderkey AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) AS BIGINT) AS line_no, p_partkey AS part_id, p_name AS name, CAST(l_quantity AS BIGINT) AS qty,
                CAST(round(p_retailprice * 100) AS BIGINT) AS price, CASE WHEN l_orderkey % 5 = 0 THEN CAST(round(l_extendedprice * 100) AS BIGINT) ELSE CAST(l_quantity AS BIGINT) * CAST(round(p_retailprice * 100) AS BIGINT) END AS amount
         FROM lineitem JOIN part ON p_partkey = l_partkey""",
+    "invoice_heads": """
+        SELECT o_orderkey AS doc_id, CAST(o_orderkey AS STRING) AS number, concat(CASE WHEN o_orderkey % 28 < 9 THEN '0' ELSE '' END, CAST(1 + o_orderkey % 28 AS STRING), '.0', CAST(1 + o_orderkey % 9 AS STRING), '.', CAST(1995 + o_orderkey % 7 AS STRING)) AS date,
+               CAST(100000000 + s_suppkey AS STRING) AS unp, CAST(200000000 + o_custkey AS STRING) AS organization_unp, s_name AS counterparty, CAST(round(o_totalprice * 100) AS BIGINT) AS total, CASE WHEN o_orderkey % 2 = 0 THEN 'BYN' ELSE 'USD' END AS currency
+        FROM orders JOIN supplier ON s_suppkey = o_orderkey % 10""",
     "words": """
         SELECT doc_id, 1 AS page_no, line_no * 10 + k AS seq, t AS text, CAST(100 + 200 * k AS DOUBLE) AS x0, CAST(40 * line_no + k % 3 AS DOUBLE) AS y0, CAST(100 + 200 * k + 10 * length(t) AS DOUBLE) AS x1, CAST(40 * line_no + 20 + k % 3 AS DOUBLE) AS y1
         FROM (SELECT doc_id, line_no, k, CASE k WHEN 0 THEN name WHEN 1 THEN CAST(qty AS STRING) WHEN 2 THEN 'pc' WHEN 3 THEN CAST(price AS STRING) ELSE CAST(amount AS STRING) END AS t

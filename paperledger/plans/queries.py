@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import money, parties, text
-from ..operators import accuracy, catalog, geometry, lines, store
+from ..operators import accuracy, catalog, extract, geometry, lines, rules, store
 from ..streaming import batch as flows
 from .projections import oracle, projection
 
@@ -552,6 +552,33 @@ def a16(words):
     return geometry.duplicate_rows(cells).select("doc_id", "row_no")
 
 
+def _invoice_pages(heads: DataFrame) -> DataFrame:
+    text = F.concat(
+        F.lit("Счёт на оплату № "), "number", F.lit(" от "), "date", F.lit("\nПоставщик: "), "counterparty", F.lit(", УНП "), "unp", F.lit("\nПокупатель: покупатель, УНП "), "organization_unp",
+        F.lit("\nОснование: договор № Д-5 от 01.02.1994\nВ том числе НДС 20%: 1,00\nВсего к оплате: "), money.format_cents(F.col("total")), F.lit(" "), "currency",
+    )
+    return heads.select("doc_id", text.alias("text"))
+
+
+_HEADS = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS key, {v} AS value FROM invoice_heads" for k, v in (("number", "number"), ("date", "date"), ("unp", "unp"), ("organization_unp", "organization_unp"), ("counterparty", "counterparty"), ("currency", "currency"), ("organization", "'покупатель'"), ("contract_number", "'Д-5'"), ("contract_date", "'01.02.1994'"), ("vat_amount", "'1.00'"), ("total", "concat(CAST(total // 100 AS STRING), '.', CASE WHEN total % 100 < 10 THEN '0' ELSE '' END, CAST(total % 100 AS STRING))")))
+
+
+@query("e9_extract_fields", _HEADS, "invoice_heads")
+def e9(heads):
+    return extract.extract_fields(_invoice_pages(heads)).select("doc_id", "key", "value")
+
+
+@query("r9_confidence", "SELECT key, CASE WHEN key = 'total' THEN 0.98 WHEN key = 'number' THEN 0.98 WHEN key IN ('date', 'unp', 'organization_unp') THEN 0.95 WHEN key IN ('counterparty', 'organization') THEN 0.85 WHEN key IN ('currency', 'vat_amount', 'contract_date') THEN CASE WHEN key = 'vat_amount' THEN 0.95 WHEN key = 'contract_date' THEN 0.4 ELSE 0.8 END ELSE 0.7 END AS confidence, CAST(count(*) AS BIGINT) AS n FROM (" + _HEADS + ") h GROUP BY 1, 2", "invoice_heads")
+def r9(heads):
+    pages = _invoice_pages(heads)
+    fields = extract.extract_fields(pages)
+    docs = pages.select("doc_id", "text", F.col("text").alias("head"), F.lit("").alias("body"), F.lit(True).alias("zones_ok"))
+    facts = heads.select("doc_id", F.lit(1).alias("arithmetic"), F.lit(1).alias("lines"), F.col("number").alias("header_number"))
+    chart = heads.limit(0).select(F.col("number").alias("code"))
+    rows = rules.confidence(fields, docs, fields, facts, chart)
+    return rows.groupBy("key", F.round("confidence", 2).alias("confidence")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def minimum_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Invoices are rendered as text, read back as lines, checked against their totals and routed."""
     items, totals = projection(spark, sf_dir, "lines"), projection(spark, sf_dir, "totals")
