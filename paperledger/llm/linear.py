@@ -4,9 +4,9 @@ A text's features are counts of hashed n-grams of its words and of its word shap
 digits and each other character, and whether the word repeats the one before it), divided by the
 number of its words. A score is the sparse dot product of these with the weights.
 
-Training rows are dealt into a fixed number of shards by the hash of their id. In each epoch every
-shard makes its pass of updates from the weights of the epoch before, and the shards' weights are
-averaged with Spark. The weights are of fixed size (2**bits doubles), whatever the corpus is.
+Training rows are dealt into a fixed number of shards by the hash of their id. Every shard makes its
+passes of updates, and the shards' weights are averaged with Spark. The weights are of fixed size
+(2**bits doubles), whatever the corpus is.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ BITS = 18
 MOST_LABELS = 50_000
 SHARDS = 8
 EPOCHS = 3
+#: Weights in one row on their way from the shards to their mean.
+PIECE = 1 << 15
 
 # Classes of bytes in a word's shape: letters of either case (bytes over 127 count as lower case),
 # digits, and every other byte for itself.
@@ -72,11 +74,9 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[n
 class Ftrl:
     """Per-coordinate follow-the-regularised-leader for logistic loss; the last weight is the bias."""
 
-    def __init__(self, weights: np.ndarray, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.0005, l2: float = 0.02) -> None:
+    def __init__(self, size: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.0005, l2: float = 0.02) -> None:
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
-        self.n = np.zeros(len(weights))
-        # so that the first weights are those that were given
-        self.z = -weights * (beta / alpha + l2) - np.sign(weights) * l1
+        self.n, self.z = np.zeros(size), np.zeros(size)
 
     def weights(self, at: np.ndarray | slice = slice(None)) -> np.ndarray:
         z, n = self.z[at], self.n[at]
@@ -113,24 +113,29 @@ def _vectors(bits: int):
     return run
 
 
-def _pass(start: np.ndarray, classes: int, epoch: int):
+def _passes(size: int, classes: int, epochs: int):
     def run(group: pa.Table) -> pa.Table:
         rows = sorted(zip(group.column("doc_id").to_pylist(), group.column("label").to_pylist(), group.column("at").to_pylist(), group.column("x").to_pylist(), strict=True), key=lambda r: (r[0], r[1]))
-        np.random.default_rng(epoch).shuffle(rows)
-        bias = start.shape[1] - 1
-        models = [Ftrl(start[c]) for c in range(classes)]
-        for _, label, at, x in rows:
-            at = np.append(np.frombuffer(at, "<i4"), bias)
-            x = np.append(np.frombuffer(x, "<f4").astype(float), 1.0)
-            for c, m in enumerate(models):
-                m.update(at, x, float(label == c) if classes > 1 else float(label))
-        w = np.stack([m.weights() for m in models])
-        c, at = np.nonzero(w)
-        return pa.table({"c": pa.array(c, pa.int32()), "at": pa.array(at, pa.int32()), "w": pa.array(w[c, at], pa.float64())})
+        models = [Ftrl(size) for _ in range(classes)]
+        for epoch in range(epochs):
+            np.random.default_rng(epoch).shuffle(rows)
+            for _, label, at, x in rows:
+                at = np.append(np.frombuffer(at, "<i4"), size - 1)
+                x = np.append(np.frombuffer(x, "<f4").astype(float), 1.0)
+                for c, m in enumerate(models):
+                    m.update(at, x, float(label == c) if classes > 1 else float(label))
+        w = np.stack([m.weights() for m in models]).astype("<f4").ravel()
+        pieces = [w[a : a + PIECE].tobytes() for a in range(0, len(w), PIECE)]
+        return pa.table({"piece": pa.array(range(len(pieces)), pa.int32()), "w": pa.array(pieces, pa.binary())})
 
     return run
 
 
+def _mean(group: pa.Table) -> pa.Table:
+    w = np.mean([np.frombuffer(x, "<f4") for x in group.column("w").to_pylist()], axis=0, dtype=np.float64).astype("<f4")
+    return pa.table({"piece": group.column("piece").slice(0, 1), "w": pa.array([w.tobytes()], pa.binary())})
+
+
 def train(docs: DataFrame, labels: DataFrame, classes: int = 1, bits: int = BITS, most_labels: int = MOST_LABELS, shards: int = SHARDS, epochs: int = EPOCHS) -> np.ndarray:
     """Weights (one row for each class, one against the rest, or a single row for labels 0 and 1; the
     last column is the bias) from ``labels`` (doc_id, label).
@@ -144,15 +149,13 @@ def train(docs: DataFrame, labels: DataFrame, classes: int = 1, bits: int = BITS
     chosen = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.min("label").cast("int").alias("label"))
     chosen = materialize(chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labels), "labels")
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), "doc_id", "label", "text")
-    rows = materialize(rows.mapInArrow(_vectors(bits), ddl(ROWS)), "label-features")
-    weights = np.zeros((classes, (1 << bits) + 1))
-    for epoch in range(epochs):
-        passed = rows.groupBy("shard").applyInArrow(_pass(weights, classes, epoch), "c int, at int, w double")
-        used = rows.select("shard").distinct().count()
-        mean = passed.groupBy("c", "at").agg(F.sum("w").alias("w")).toArrow()
-        weights = np.zeros_like(weights)
-        weights[mean.column("c").to_numpy(), mean.column("at").to_numpy()] = mean.column("w").to_numpy() / max(used, 1)
-    return weights.astype(np.float32)
+    rows = rows.mapInArrow(_vectors(bits), ddl(ROWS))
+    size = (1 << bits) + 1
+    passed = rows.groupBy("shard").applyInArrow(_passes(size, classes, epochs), "piece int, w binary")
+    pieces = sorted(map(tuple, passed.groupBy("piece").applyInArrow(_mean, "piece int, w binary").collect()))
+    if not pieces:
+        return np.zeros((classes, size), np.float32)
+    return np.frombuffer(b"".join(w for _, w in pieces), "<f4").reshape(classes, size)
 
 
 def _scores(weights: np.ndarray, with_text: bool):

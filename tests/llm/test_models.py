@@ -34,7 +34,7 @@ def test_features_brute_force():
 
 def test_ftrl_matches_plain_updates():
     r = np.random.default_rng(0)
-    model = linear.Ftrl(np.zeros(6), alpha=0.3, beta=1.0, l1=0.01, l2=0.1)
+    model = linear.Ftrl(6, alpha=0.3, beta=1.0, l1=0.01, l2=0.1)
     z, n = [0.0] * 6, [0.0] * 6
 
     def weight(i):
