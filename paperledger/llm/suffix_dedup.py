@@ -32,7 +32,9 @@ PART_BYTES = 16 << 20
 #: Bytes of text that wait together for what is found about them.
 HOME_BYTES = 8 << 20
 #: Bytes of runs whose suffix array is built at once, unless one minimizer has more.
-ARRAY_BYTES = 4 << 20
+ARRAY_BYTES = 1 << 20
+#: Bytes of text whose runs are dealt out together, and bytes that are hashed at once.
+SLICE_BYTES, HASH_BYTES = 8 << 20, 1 << 19
 
 SENT = pa.schema([("part", pa.int32()), ("known", pa.bool_()), ("packed", pa.binary())])
 JUDGED = pa.schema([("home", pa.int32()), ("asked", pa.bool_()), ("packed", pa.binary())])
@@ -86,13 +88,16 @@ def _smallest(key: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndar
 
 def _send(width: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in B.slices(batches):
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            data, offsets = B.utf8(batch.column("text"))
-            text, start, count, gram, content = text_runs(data, offsets, width)
-            if not len(text):
+        for batch in B.slices(batches, most=SLICE_BYTES):
+            found: list[tuple[np.ndarray, ...]] = []
+            for piece in B.slices([batch], most=HASH_BYTES):
+                ids = piece.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+                data, offsets = B.utf8(piece.column("text"))
+                text, start, count, gram, content = text_runs(data, offsets, width)
+                found.append((ids[text], start - offsets[text], count, gram, content))
+            doc, at, count, gram, content = (np.concatenate(c) for c in zip(*found, strict=True))
+            if not len(doc):
                 continue
-            doc, at = ids[text], start - offsets[text]
             order, _, later = _smallest(content, doc, at)
             out: list[tuple[int, bool, bytes]] = []
             if later.any():
