@@ -10,6 +10,9 @@ share one, so a text falls into runs of some 35 windows. Three steps follow:
 2. The bytes of those runs meet by minimizer. There a suffix array with its common prefixes is
    built; the previous and the next smaller text position in suffix order give each position's
    longest previous factor, and positions whose factor has 100 bytes or more are copies.
+   A minimizer with more bytes than one suffix array may hold (the edge of a passage that many
+   documents share) is split: its windows are dealt out by their own hashes, each home's smallest
+   place of a window only, and all places of a window but the smallest are copies.
 3. Copies go back to their texts, and the bytes that they cover are removed.
 """
 
@@ -28,17 +31,21 @@ from .common import ddl, home_of, homes_for, parts_for
 
 GRAM = 32
 #: Bytes of text whose runs one receiving group holds.
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 #: Bytes of text that wait together for what is found about them.
 HOME_BYTES = 8 << 20
-#: Bytes of runs whose suffix array is built at once, unless one minimizer has more.
+#: Bytes of runs whose suffix array is built at once; a minimizer with more is split by windows.
 ARRAY_BYTES = 1 << 20
+#: Groups that split windows are dealt to, for each group of runs.
+SPLIT = 4
 #: Bytes of text whose runs are dealt out together, and bytes that are hashed at once.
 SLICE_BYTES, HASH_BYTES = 8 << 20, 1 << 19
 
 SENT = pa.schema([("part", pa.int32()), ("known", pa.bool_()), ("packed", pa.binary())])
 JUDGED = pa.schema([("home", pa.int32()), ("asked", pa.bool_()), ("packed", pa.binary())])
-BYTES = pa.schema([("part", pa.int32()), ("packed", pa.binary()), ("content", pa.binary())])
+BYTES = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("packed", pa.binary()), ("content", pa.binary())])
+#: Kinds of BYTES: runs for a suffix array, smallest places of split windows, copies found already.
+RUNS, WINDOWS, COPIES = range(3)
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
 
@@ -125,7 +132,7 @@ def _by_home(homes: int, asked: bool, doc: np.ndarray, *columns: np.ndarray) ->
     return pa.Table.from_arrays([pa.array(home[edges], pa.int32()), pa.array([asked] * len(edges), pa.bool_()), pa.array(packed, pa.binary())], schema=JUDGED)
 
 
-def _judge(homes: int):
+def _judge(homes: int, width: int, array_bytes: int):
     def run(group: pa.Table) -> pa.Table:
         known = group.column("known").to_numpy()
         packed = group.column("packed").to_pylist()
@@ -140,9 +147,10 @@ def _judge(homes: int):
             k = k[np.argsort(gram[k])]
             starts = B.runs(gram[k])
             lens = np.diff(np.append(starts, len(k)))
-            k = k[np.repeat(lens > 1, lens)]
+            split = np.add.reduceat(count[k] + width - 1, starts) > array_bytes
+            split, k = np.repeat(split, lens)[np.repeat(lens > 1, lens)], k[np.repeat(lens > 1, lens)]
             if len(k):
-                out.append(_by_home(homes, True, doc[k], at[k], count[k], gram[k]))
+                out.append(_by_home(homes, True, doc[k], at[k], count[k], gram[k], split.astype(np.int64)))
         if len(d0):
             out.append(_by_home(homes, False, d0, a0, c0))
         return pa.concat_tables(out)
@@ -158,27 +166,64 @@ def _each(texts: pa.Table, doc: np.ndarray) -> Iterator[tuple[int, bytes, slice]
         yield i, (text.as_py() or "").encode(), slice(*at.get(i, (0, 0)))
 
 
+def _windows(body: bytes, doc: np.ndarray, at: np.ndarray, count: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """Hash, document and place of every window of the runs, whose bytes stand one after the other in ``body``."""
+    sizes = count + width - 1
+    which = np.repeat(np.arange(len(count)), count)
+    shift = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+    hashes = B.rolling_bytes(np.frombuffer(body, np.uint8)).every(width)
+    return hashes[(np.cumsum(sizes) - sizes)[which] + shift], doc[which], at[which] + shift
+
+
+def _stretches(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows as stretches of consecutive places: document, first place, number of windows."""
+    order = np.lexsort((at, doc))
+    doc, at = doc[order], at[order]
+    starts = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)))) if len(doc) else order
+    return doc[starts], at[starts], np.diff(np.append(starts, len(doc)))
+
+
 def _fetch(width: int, parts: int):
-    """The bytes of the runs that were asked for, dealt out by minimizer."""
+    """The bytes of the runs that were asked for, dealt out by minimizer; of split minimizers the
+    windows, dealt out by their hashes."""
 
     def run(texts: pa.Table, asked: pa.Table) -> pa.Table:
-        doc, at, count, gram = B.unpack_all(asked.column("packed").to_pylist(), "iiiu")
+        doc, at, count, gram, split = B.unpack_all(asked.column("packed").to_pylist(), "iiiui")
         order = np.argsort(doc, kind="stable")
-        doc, at, count, gram = doc[order], at[order], count[order], gram[order]
+        doc, at, count, gram, split = doc[order], at[order], count[order], gram[order], split[order]
         content: list[bytes] = [b""] * len(doc)
         for _, body, rows in _each(texts, doc):
             for k in range(rows.start, rows.stop):
                 x = body[at[k] : at[k] + count[k] + width - 1]
                 if len(x) == count[k] + width - 1:
                     content[k] = x
+        there = np.fromiter((bool(x) for x in content), bool, len(content))
+        out: list[tuple[int, int, bytes, bytes | None]] = []
+        order = np.flatnonzero(there & (split == 0))
         part = B.bucket_of(gram, parts)
-        order = np.argsort(part, kind="stable")
-        order = order[[bool(content[k]) for k in order.tolist()]] if len(order) else order
+        order = order[np.argsort(part[order], kind="stable")]
         edges = B.runs(part[order])
-        out = []
         for a, b in zip(edges, B.ends(edges, len(order)), strict=True):
             k = order[a:b]
-            out.append((int(part[k[0]]), B.pack(gram[k], doc[k], at[k], count[k]), B.zstandard.ZstdCompressor(level=1).compress(b"".join(content[x] for x in k.tolist()))))
+            out.append((int(part[k[0]]), RUNS, B.pack(gram[k], doc[k], at[k], count[k]), B.zstandard.ZstdCompressor(level=1).compress(b"".join(content[x] for x in k.tolist()))))
+        k = np.flatnonzero(there & (split == 1))
+        if len(k):
+            piece = np.cumsum(count[k] + width - 1) // HASH_BYTES
+            edges = B.runs(piece)
+            h, d, p = np.zeros(0, B.U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            for a, b in zip(edges, B.ends(edges, len(k)), strict=True):
+                x = k[a:b]
+                more = _windows(b"".join(content[y] for y in x.tolist()), doc[x], at[x], count[x], width)
+                h, d, p = (np.concatenate(c) for c in zip((h, d, p), more, strict=True))
+                order, starts, later = _smallest(h, d, p)
+                if later.any():
+                    y = order[later]
+                    out.append((int(d[0]) % parts, COPIES, B.pack(*_stretches(d[y], p[y])), None))
+                y = order[starts]
+                h, d, p = h[y], d[y], p[y]
+            part = parts + B.bucket_of(h, parts * SPLIT)  # h ascends
+            edges = B.runs(part)
+            out += [(int(part[a]), WINDOWS, B.pack(h[a:b], d[a:b], p[a:b]), None) for a, b in zip(edges, B.ends(edges, len(h)), strict=True)]
         return pa.Table.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(BYTES.types)], schema=BYTES)
 
     return run
@@ -238,8 +283,19 @@ def longest_previous_factor(order: np.ndarray, prefix: np.ndarray, place: np.nda
     return out
 
 
-def _match(width: int, homes: int):
+def _match(width: int, homes: int, array_bytes: int):
     def run(group: pa.Table) -> pa.Table:
+        kind = group.column("kind").to_numpy()
+        if (kind != RUNS).any():
+            packed = group.column("packed").to_pylist()
+            h, d, p = B.unpack_all((b for b, k in zip(packed, kind, strict=True) if k == WINDOWS), "uii")
+            order, _, later = _smallest(h, d, p)
+            known = B.unpack_all((b for b, k in zip(packed, kind, strict=True) if k == COPIES), "iii")
+            copies = (np.concatenate(c) for c in zip(known, _stretches(d[order[later]], p[order[later]]), strict=True))
+            return pa.concat_tables([_by_home(homes, False, *copies), suffixes(group.filter(pa.array(kind == RUNS)))])
+        return suffixes(group)
+
+    def suffixes(group: pa.Table) -> pa.Table:
         heads, bodies = group.column("packed").to_pylist(), group.column("content").to_pylist()
         gram, doc, at, count = B.unpack_all(heads, "uiii")
         if not len(gram):
@@ -253,9 +309,9 @@ def _match(width: int, homes: int):
         upto = np.cumsum(sizes[order])
         found: list[tuple[np.ndarray, np.ndarray]] = []
         a = 0
-        while a < len(edges):  # whole minimizers, about ARRAY_BYTES at once
+        while a < len(edges):  # whole minimizers, about array_bytes at once
             before = upto[edges[a] - 1] if edges[a] else 0
-            b = max(a + 1, int(np.searchsorted(upto[ends - 1], before + ARRAY_BYTES, side="right")))
+            b = max(a + 1, int(np.searchsorted(upto[ends - 1], before + array_bytes, side="right")))
             k = order[edges[a] : ends[b - 1]]
             piece = np.concatenate([data[s : s + z] for s, z in zip(start[k].tolist(), sizes[k].tolist(), strict=True)])
             run_at = np.concatenate(([0], np.cumsum(sizes[k])[:-1]))
@@ -300,7 +356,7 @@ def _remove(width: int):
     return run
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 100, part_bytes: int = PART_BYTES) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 100, part_bytes: int = PART_BYTES, array_bytes: int = ARRAY_BYTES) -> DataFrame:
     """Removes every byte covered by a ``width``-byte string that also starts earlier.
 
     Earlier: in a document with a smaller id, or in the same one further left; overlapping
@@ -320,8 +376,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     homes = homes_for(docs, "text", HOME_BYTES)
     texts = docs.withColumn("home", home_of(F.col("doc_id"), homes))
     sent = docs.where("doc_id is not null").mapInArrow(_send(width, parts), ddl(SENT))
-    judged = materialize(sent.groupBy("part").applyInArrow(_judge(homes), ddl(JUDGED)), "suffix-runs")
+    judged = materialize(sent.groupBy("part").applyInArrow(_judge(homes, width, array_bytes), ddl(JUDGED)), "suffix-runs")
     pieces = texts.groupBy("home").cogroup(judged.where("asked").groupBy("home")).applyInArrow(_fetch(width, parts), ddl(BYTES))
-    matched = pieces.groupBy("part").applyInArrow(_match(width, homes), ddl(JUDGED))
+    matched = pieces.groupBy("part").applyInArrow(_match(width, homes, array_bytes), ddl(JUDGED))
     copies = judged.where("not asked").unionByName(matched)
     return texts.groupBy("home").cogroup(copies.groupBy("home")).applyInArrow(_remove(width), ddl(RESULT))
