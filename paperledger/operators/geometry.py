@@ -60,10 +60,12 @@ def rows_by_top(words: DataFrame) -> DataFrame:
 def _by_overlap(page: pd.DataFrame) -> pd.DataFrame:
     page = page.sort_values(["y0", "x0", "seq"])
     open_rows: list[list[float]] = []
+    near: list[int] = []  # rows that end below the present word's top: no other can overlap it or a later one
     numbers = []
     for a, b in zip(page["y0"], page["y1"], strict=True):
         best, most = -1, 0.35
-        for k in range(len(open_rows) - 1, max(-1, len(open_rows) - 6), -1):
+        near = [k for k in near if open_rows[k][1] > a]
+        for k in reversed(near):
             top, bottom = open_rows[k]
             share = (min(b, bottom) - max(a, top)) / max(1e-9, min(b - a, bottom - top))
             if share > most:
@@ -71,6 +73,7 @@ def _by_overlap(page: pd.DataFrame) -> pd.DataFrame:
         if best < 0:
             open_rows.append([a, b])
             best = len(open_rows) - 1
+            near.append(best)
         else:
             open_rows[best] = [min(a, open_rows[best][0]), max(b, open_rows[best][1])]
         numbers.append(best)
