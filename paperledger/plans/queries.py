@@ -535,7 +535,7 @@ def a18(words):
 
 @query("w12_deskew", "SELECT doc_id, CAST(count(*) AS BIGINT) AS n FROM words GROUP BY 1", "words")
 def w12(words):
-    return geometry.deskew(words.withColumn("y0", F.col("y0") + F.col("x0") * 0.03).withColumn("y1", F.col("y1") + F.col("x0") * 0.03)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return geometry.deskew(words.withColumn("y0", F.col("y0") + F.col("x0") * 0.03).withColumn("y1", F.col("y1") + F.col("x0") * 0.03)).groupBy("doc_id").agg(F.count(F.when(F.col("y1") > F.col("y0"), 1)).alias("n"))
 
 
 @query("j17_slope_pairs", "SELECT a.doc_id, CAST(count(*) AS BIGINT) AS n FROM words a JOIN words b ON b.doc_id = a.doc_id AND (b.x0 + b.x1 - a.x0 - a.x1) / 2 BETWEEN 150 AND 2000 AND abs(b.y0 - a.y0) <= 24 GROUP BY 1", "words")
