@@ -35,7 +35,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five words, 0.8) keeps the one with the smallest id."""
-    groups = jaccard_join(docs, size=5, num=80, den=100)
+    groups = jaccard_join(docs, size=5, num=80, den=100, count_links=False)
     return docs.join(groups.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
 
 

@@ -9,8 +9,9 @@
 3. A hub and what is tied to it make blocks of bounded size. For each block the incidence matrix is
    multiplied with its transpose, a slice of shingles at a time; overlaps accumulate, and pairs
    below the bound that their sizes give are discarded. A hub of several blocks stands in each.
-   Documents that their block doesn't connect with the hub are multiplied with all other blocks of
-   that hub, so no link between two blocks is lost.
+   To count links, every two blocks of a hub are multiplied as well, and a pair that meets under
+   several hubs counts under the smallest one. For the components alone it is enough to multiply
+   the documents that their block doesn't connect with the hub with all other blocks of that hub.
 4. The links of a block are reduced to a spanning forest; connected components join the forests.
 """
 
@@ -40,7 +41,7 @@ PART_BYTES = 48 << 20
 SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("parts", pa.binary())])
 SENT = pa.schema([("part", pa.int32()), ("packed", pa.binary())])
 TIES = pa.schema([("hub", pa.int64()), ("doc_id", pa.int64())])
-LINKS = pa.schema([("hub", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("loose", pa.bool_())])
+LINKS = pa.schema([("hub", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("loose", pa.bool_()), ("n", pa.int64())])
 
 
 class Similarity:
@@ -231,50 +232,69 @@ def overlaps(sets: list[np.ndarray], left: int | None = None) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _forest(pairs: np.ndarray, n: int) -> tuple[list[tuple[int, int]], list[int]]:
-    """Spanning forest of the pairs, and each node's root."""
-    root = list(range(n))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
+def _forest(ok: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
+    """Spanning forest of the pairs that ``ok`` (some of all nodes by all nodes) holds, and each node's root."""
+    left, n = ok.shape
+    both = np.zeros((n, n), bool)
+    both[:left] = ok
+    both |= both.T
+    root = np.full(n, -1)
     kept = []
-    for a, b in pairs.tolist():
-        x, y = find(a), find(b)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            kept.append((a, b))
-    return kept, [find(x) for x in range(n)]
-
-
-def _multiply(size: int, similarity: Similarity, cross: bool):
-    """Blocks come as consecutive rows (hub, block, doc_id, side, text). Without ``cross`` all rows
-    of a block are multiplied, the hub's first; with it those of side 0 with those of side 1."""
+    for top in range(n):
+        if root[top] >= 0:
+            continue
+        root[top], ahead = top, [top]
+        while ahead:
+            a = ahead.pop()
+            new = np.flatnonzero(both[a] & (root < 0))
+            root[new] = top
+            kept += [(a, b) for b in new.tolist()]
+            ahead += new.tolist()
+    return kept, root.tolist()
+
+
+def _multiply(size: int, similarity: Similarity, cross: bool, count: bool):
+    """Blocks come as consecutive rows (hub, block, doc_id, side, text, n_rows, hubs). Without
+    ``cross`` all rows of a block are multiplied, the hub's first; with it those of side 0 with those
+    of side 1. With ``count`` each row's linked rows are added up too, in rows without b; pairs that
+    share a smaller hub count there."""
 
     def product(rows: list[tuple]) -> list[tuple]:
         hub = rows[0][0]
-        rows = sorted(rows, key=lambda r: (r[3], r[2] != hub, r[2])) if not cross else sorted(rows, key=lambda r: (r[3], r[2]))
+        rows = sorted(rows, key=lambda r: (r[3], cross or r[2] != hub, r[2]))
         h, offsets = shingle_sets(*B.utf8(pa.array([r[4] for r in rows], pa.string())), size)
         sets = [h[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        n = np.diff(offsets)
+        # rows that share their id and set are one
+        once = list({(r[3], r[2], x.tobytes()): k for k, (r, x) in reversed(list(enumerate(zip(rows, sets, strict=True))))}.values())[::-1]
+        rows, sets = [rows[k] for k in once], [sets[k] for k in once]
+        n = np.fromiter((len(x) for x in sets), np.int64, len(sets))
         left = sum(r[3] == 0 for r in rows) if cross else len(rows)
         over = overlaps(sets, left)
         ok = similarity.linked(over, n[:left, None], n[None, :]) & (over > 0)
         ok[np.arange(left), np.arange(left)] = False
-        kept, root = _forest(np.argwhere(ok), len(rows))
-        out = [(hub, rows[a][2], rows[b][2], False) for a, b in kept if rows[a][2] != rows[b][2]]
+        if cross:
+            ok[:, :left] = False
+        kept, root = _forest(ok)
+        out = [(hub, rows[a][2], rows[b][2], False, 0) for a, b in kept if rows[a][2] != rows[b][2]]
         if not cross:
-            out += [(hub, r[2], r[2], True) for r, x in zip(rows, root, strict=True) if x != root[0]]
+            out += [(hub, r[2], r[2], True, 0) for r, x in zip(rows, root, strict=True) if x != root[0]]
+        if count and ok.any():
+            smaller = [np.array([x for x in r[6] if x < hub], np.int64).view(B.U) for r in rows]
+            if any(len(x) for x in smaller):
+                ok &= overlaps(smaller, left) == 0
+            weight = np.array([r[5] for r in rows], np.int64)
+            linked = np.zeros(len(rows), np.int64)
+            linked[:left] = ok @ weight
+            if cross:
+                linked[left:] = weight[:left] @ ok[:, left:]
+            out += [(hub, r[2], None, False, x) for r, x in zip(rows, linked.tolist(), strict=True) if x]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         out: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            for row in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
                 if held and held[-1][:2] != row[:2]:
                     out += product(held)
                     held = []
@@ -288,17 +308,17 @@ def _multiply(size: int, similarity: Similarity, cross: bool):
     return run
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100, part_bytes: int = PART_BYTES) -> DataFrame:
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100, part_bytes: int = PART_BYTES, count_links: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links, itself included), n_links.
 
     A text's set holds its distinct shingles of ``size`` words (``[^\\x20\\x09-\\x0D]+``, A-Z
     lower-cased); with fewer words the whole sequence is its one shingle. Two documents link when
-    intersection / union >= num / den. n_links counts the links of the spanning forest that the
-    operator keeps at this document's representative (equal sets have one): 0 means no link to a
-    different set.
+    intersection / union >= num / den. n_links counts the other rows that the document links with,
+    those of an equal set included; it takes work by the square of a hub's blocks. Without
+    ``count_links`` it is null where the set is not empty, and only components are found.
 
     Null or wordless texts have an empty set and link with nothing. Rows without an id come back
-    with their n_shingles and a null component. Ids should be unique; rows that share one are
+    with their n_shingles, a null component and no links, and count for no other. Ids should be unique; rows that share one are
     returned each, joined to the component of that id. An empty table gives an empty result. Other
     columns are not read.
     """
@@ -322,29 +342,47 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = look_up(ties, counts, "hub", "n", ties.count()).select("hub", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"), "doc_id", "blocks")
     hubs = counts.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("hub").alias("doc_id"), "blocks")
     members = materialize(members.union(hubs), "jaccard-members")
-    texts = materialize(docs.join(members.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"), "jaccard-texts")
-    order = ("hub", "block", "doc_id", "side", "text")
+    order = ("hub", "block", "doc_id", "side", "text", "n_rows", "hubs")
     shape = ddl(LINKS)
+    if count_links:
+        sizes = reps.groupBy(F.col("rep").alias("doc_id")).agg(F.max("n_rows").alias("n_rows"))
+        hubs_of = members.groupBy("doc_id").agg(F.collect_set("hub").alias("hubs"))
+        about = materialize(hubs_of.join(sizes.hint("merge"), "doc_id"), "jaccard-hubs-of")
+    texts = docs.join(members.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
+    if count_links:
+        texts = texts.join(about.hint("merge"), "doc_id")
+    else:
+        texts = texts.withColumns({"n_rows": F.lit(0).cast("long"), "hubs": F.array().cast("array<bigint>")})
+    texts = materialize(texts, "jaccard-texts")
 
     def multiply(rows: DataFrame, cross: bool) -> DataFrame:
-        return texts.join(rows.hint("merge"), "doc_id").select(*order).repartition("hub", "block").sortWithinPartitions("hub", "block").mapInArrow(_multiply(size, similarity, cross), shape)
+        return texts.join(rows.hint("merge"), "doc_id").select(*order).repartition("hub", "block").sortWithinPartitions("hub", "block").mapInArrow(_multiply(size, similarity, cross, count_links), shape)
 
     links = materialize(multiply(members.select("doc_id", "hub", "block", F.lit(0).alias("side")), False), "jaccard-links")
-    edges = links.where("not loose").select("a", "b")
-    # members of hubs with several blocks that their block leaves apart from the hub
-    loose = links.where("loose").select("hub", F.col("a").alias("doc_id")).join(counts.where("blocks > 1").select("hub", "blocks"), "hub")
-    if not loose.isEmpty():
-        per = loose.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("rows"))
-        loose = materialize(loose.join(per, "hub").select("hub", "doc_id", "blocks", "rows", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("rows")).cast("int").alias("row")), "jaccard-loose")
-        left = loose.select("doc_id", "hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "row", F.lit(0).alias("side"))
-        right = members.where("doc_id <> hub").join(per, "hub").select("doc_id", "hub", F.col("block").alias("other"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), F.lit(1).alias("side"))
-        crossed = left.unionByName(right).select("doc_id", "hub", F.concat_ws(":", "row", "other").alias("block"), "side")
-        edges = edges.union(materialize(multiply(crossed, True), "jaccard-cross").select("a", "b"))
+    crossed = None
+    if count_links:
+        many = members.where("blocks > 1 and doc_id <> hub")
+        if not many.isEmpty():
+            pairs = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other <> block")
+            crossed = pairs.select("doc_id", "hub", F.concat_ws(":", F.least("block", "other"), F.greatest("block", "other")).alias("block"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+    else:
+        # members of hubs with several blocks that their block leaves apart from the hub
+        loose = links.where("loose").select("hub", F.col("a").alias("doc_id")).join(counts.where("blocks > 1").select("hub", "blocks"), "hub")
+        if not loose.isEmpty():
+            per = loose.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("rows"))
+            loose = materialize(loose.join(per, "hub").select("hub", "doc_id", "blocks", "rows", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("rows")).cast("int").alias("row")), "jaccard-loose")
+            left = loose.select("doc_id", "hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "row", F.lit(0).alias("side"))
+            right = members.where("doc_id <> hub").join(per, "hub").select("doc_id", "hub", F.col("block").alias("other"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), F.lit(1).alias("side"))
+            crossed = left.unionByName(right).select("doc_id", "hub", F.concat_ws(":", "row", "other").alias("block"), "side")
+    if crossed is not None:
+        links = links.union(materialize(multiply(crossed, True), "jaccard-cross"))
+    edges = links.where("not loose and b is not null").select("a", "b")
     edges = materialize(edges.distinct(), "jaccard-edges")
     components = connected_components(edges)
-    degree = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    known = reps.join(components.withColumnRenamed("node", "rep"), "rep", "left").join(degree.withColumnRenamed("node", "rep"), "rep", "left")
-    known = materialize(known.select("digest", F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_rows"), "jaccard-known")
+    degree = links.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n_links"))
+    n_links = F.coalesce("n_links", F.lit(0)) + F.col("n_rows") - 1 if count_links else F.lit(None).cast("long")
+    known = reps.join(components.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
+    known = materialize(known.select("digest", F.coalesce("component", "rep").alias("component_id"), n_links.alias("n_links"), "n_rows"), "jaccard-known")
     columns = ("doc_id", "n_shingles", "component_id", "n_links")
     linked = look_up(full.select("doc_id", "n_shingles", "digest"), known, "digest", "n_rows", full.count()).select(*columns)
     empty = sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
