@@ -27,28 +27,43 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col("scores")[0] >= QUALITY).select(docs.columns)
 
 
+def keyed(docs: DataFrame, name: str) -> DataFrame:
+    """The rows, written once, with a row_key: ids may be null or occur more than once, keys may not."""
+    return materialize(docs.withColumn("row_key", F.monotonically_increasing_id()), f"pipeline-{name}-rows")
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts keeps the one with the largest id."""
-    marked = exact_dedup(docs, DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}"))
-    return docs.join(marked.where("kept").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    """Of equal texts keeps one row: one with the largest id; without an id only if all lack one."""
+    rows = keyed(docs, "exact")
+    marked = exact_dedup(rows, DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}"), carry=("row_key",))
+    kept = marked.where("kept").groupBy("text_sha256").agg(F.min("row_key").alias("row_key"))
+    return rows.join(kept.select("row_key"), "row_key", "left_semi").select(docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, 0.8) keeps the one with the smallest id."""
-    groups = jaccard_join(docs, size=5, num=80, den=100, count_links=False)
-    return docs.join(groups.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    """Of each group of near copies (five words, 0.8) keeps one row: one with the smallest id; without
+    an id only if all lack one. Rows that share an id are judged each by its own text."""
+    rows = keyed(docs, "near")
+    groups = jaccard_join(rows, id_col="row_key", size=5, num=80, den=100, count_links=False)
+    groups = groups.select(F.col("doc_id").alias("row_key"), "component_id").join(rows.select("row_key", "doc_id"), "row_key")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_key"))["row_key"]
+    kept = groups.groupBy("component_id").agg(first.alias("row_key"))
+    return rows.join(kept.select("row_key"), "row_key", "left_semi").select(docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document as its fitted rate says, in the mean, and one at least.
+    """As many copies of each row as its fitted rate says, in the mean, and one at least.
 
-    The languages of the documents in ``labels`` train the classifier; all documents get posteriors.
+    The languages of the documents in ``labels`` train the classifier; all rows get posteriors, those
+    without an id too, and rows that share an id are drawn each by its own rate.
     """
+    rows = keyed(docs, "mixture")
     domain = F.coalesce(*(F.when(F.col("lang") == name, k) for k, name in enumerate(MIX_TARGETS)))
-    labels = docs.join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", domain.alias("label"))
-    rates = mix(docs, labels, tuple(MIX_TARGETS.values()), least=1.0, grow=True)
-    drawn = rates.select("doc_id", F.explode(F.sequence(F.lit(1), copies(F.col("rate"), F.col("doc_id"))))).select("doc_id")
-    return docs.join(drawn, "doc_id").select(docs.columns)
+    labels = rows.join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi").select(F.col("row_key").alias("doc_id"), domain.alias("label"))
+    rates = mix(rows.select(F.col("row_key").alias("doc_id"), "text"), labels, tuple(MIX_TARGETS.values()), least=1.0, grow=True)
+    drawn = rows.join(rates.select(F.col("doc_id").alias("row_key"), "rate"), "row_key")
+    times = copies(F.col("rate"), F.coalesce("doc_id", "row_key"))
+    return drawn.select(*docs.columns, F.explode(F.sequence(F.lit(1), times))).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,7 +49,7 @@ class DigestIndex:
         rows.write.insertInto(self.name)
 
 
-def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Deduplicates ``docs`` against the index and appends what is new.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal texts in
@@ -59,9 +59,10 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
 
     Rows without an id take part: an id beats null, and a group of null ids alone keeps all its
     rows with keep_id null. If the kept id itself occurs more than once in the group, each of its
-    rows counts as kept. An empty table gives an empty result; other columns are not read.
+    rows counts as kept. An empty table gives an empty result; of other columns, those in ``carry``
+    come back after the rest, and no more are read.
     """
-    rows = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(normalized(F.col(text_col)), 256)).alias("digest")), "digests")
+    rows = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(normalized(F.col(text_col)), 256)).alias("digest"), *carry), "digests")
     groups = materialize(rows.groupBy("digest").agg(F.max("doc_id").alias("best"), F.count(F.lit(1)).alias("group_size")), "digest-groups")
     total = rows.count()
     new = index.missing(groups)
@@ -75,4 +76,5 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
         "group_size",
         (F.col("own") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        *carry,
     )
