@@ -25,6 +25,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 _BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1
+_CHECK_BASE = 0xBB67AE8584CAA73B
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -85,6 +86,11 @@ def rolling_bytes(data: np.ndarray) -> Rolling:
     return Rolling(BYTE_VALUE[data], _BYTE_BASE)
 
 
+def check_bytes(data: np.ndarray) -> Rolling:
+    """Hashes independent of rolling_bytes': both together are 128 bits."""
+    return Rolling(mix(BYTE_VALUE ^ U(_CHECK_BASE))[data], _CHECK_BASE)
+
+
 def rolling_words(hashes: np.ndarray) -> Rolling:
     return Rolling(hashes, _WORD_BASE)
 

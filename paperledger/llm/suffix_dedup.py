@@ -5,14 +5,15 @@ Every 100-byte window is assigned to its minimizer: the smallest hash among the
 grams, the leftmost of equal ones. Equal windows have equal minimizers, and consecutive windows
 share one, so a text falls into runs of some 35 windows. Three steps follow:
 
-1. Runs are dealt out by minimizer as hashes. A run whose whole content occurs earlier is a copy.
-   A minimizer with one content only is done; elsewhere one run for each content is asked for.
+1. Runs are dealt out by minimizer as hashes. A run whose whole content (128 bits of hash) occurs
+   earlier is a copy. A minimizer with one content only is done; elsewhere one run for each content
+   is asked for.
 2. The bytes of those runs meet by minimizer. There a suffix array with its common prefixes is
    built; the previous and the next smaller text position in suffix order give each position's
    longest previous factor, and positions whose factor has 100 bytes or more are copies.
    A minimizer with more bytes than one suffix array may hold (the edge of a passage that many
-   documents share) is split: its windows are dealt out by their own hashes, each home's smallest
-   place of a window only, and all places of a window but the smallest are copies.
+   documents share) is split: its windows are dealt out by their own hashes (128 bits), each home's
+   smallest place of a window only, and all places of a window but the smallest are copies.
 3. Copies go back to their texts, and the bytes that they cover are removed.
 """
 
@@ -65,12 +66,12 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
 
 def text_runs(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
     """Runs of windows with one minimizer: text number, start in the slice, number of windows,
-    minimizer, content hash."""
+    minimizer, and both halves of the content's hash."""
     none = np.zeros(0, np.int64)
+    if len(data) < width:
+        return none, none, none, none.astype(B.U), none.astype(B.U), none.astype(B.U)
     rolling = B.rolling_bytes(data)
     grams = rolling.every(GRAM)
-    if len(data) < width:
-        return none, none, none, none.astype(B.U), none.astype(B.U)
     bits = 31  # of a position; the same for every slice, so that equal windows choose alike
     keyed = (grams >> B.U(bits)) << B.U(bits) | np.arange(len(grams), dtype=B.U)
     least = sliding_argmin(keyed, width - GRAM + 1)
@@ -81,16 +82,22 @@ def text_runs(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.nda
     last = ok.copy()
     last[:-1] &= ~ok[1:] | first[1:]
     start, end = np.flatnonzero(first), np.flatnonzero(last)
-    return text[start], start, end - start + 1, grams[(least[start] & B.U((1 << bits) - 1)).astype(np.int64)], rolling.stretch(start, end + width)
+    gram = grams[(least[start] & B.U((1 << bits) - 1)).astype(np.int64)]
+    return text[start], start, end - start + 1, gram, rolling.stretch(start, end + width), B.check_bytes(data).stretch(start, end + width)
+
 
+def _smallest(key: np.ndarray, check: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by (key, check, doc, at), and in it: starts of equal (key, check), and which rows are not the first of theirs."""
+    order = np.lexsort((at, doc, check, key))
+    k, c = key[order], check[order]
+    later = np.zeros(len(order), bool)
+    later[1:] = (k[1:] == k[:-1]) & (c[1:] == c[:-1])
+    return order, np.flatnonzero(~later), later
 
-def _smallest(key: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by (key, doc, at), and in it: starts of equal keys, and which rows are not their key's first."""
-    order = np.lexsort((at, doc, key))
-    starts = B.runs(key[order])
-    later = np.ones(len(order), bool)
-    later[starts] = False
-    return order, starts, later
+
+def _part_of(gram: np.ndarray, parts: int) -> np.ndarray:
+    """The group that a minimizer meets in. Minimizers are small hashes by choice, so they are mixed first."""
+    return B.bucket_of(B.mix(gram ^ B.U(0x94D049BB133111EB)), parts)
 
 
 def _send(width: int, parts: int):
@@ -100,23 +107,24 @@ def _send(width: int, parts: int):
             for piece in B.slices([batch], most=HASH_BYTES):
                 ids = piece.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
                 data, offsets = B.utf8(piece.column("text"))
-                text, start, count, gram, content = text_runs(data, offsets, width)
-                found.append((ids[text], start - offsets[text], count, gram, content))
-            doc, at, count, gram, content = (np.concatenate(c) for c in zip(*found, strict=True))
+                text, start, *rest = text_runs(data, offsets, width)
+                found.append((ids[text], start - offsets[text], *rest))
+            doc, at, count, gram, content, check = (np.concatenate(c) for c in zip(*found, strict=True))
             if not len(doc):
                 continue
-            order, _, later = _smallest(content, doc, at)
+            order, _, later = _smallest(content, check, doc, at)
             out: list[tuple[int, bool, bytes]] = []
             if later.any():
                 k = order[later]
                 out.append((int(content[0]) % parts, True, B.pack(doc[k], at[k], count[k])))
             k = order[~later]
-            k = k[np.argsort(gram[k])]
-            part = B.bucket_of(gram[k], parts)
+            part = _part_of(gram[k], parts)
+            by_part = np.lexsort((gram[k], part))
+            k, part = k[by_part], part[by_part]
             edges = B.runs(part)
             for a, b in zip(edges, B.ends(edges, len(k)), strict=True):
                 x = k[a:b]
-                out.append((int(part[a]), False, B.pack(gram[x], content[x], doc[x], at[x], count[x])))
+                out.append((int(part[a]), False, B.pack(gram[x], content[x], check[x], doc[x], at[x], count[x])))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), SENT.types, strict=True)], schema=SENT)
 
     return run
@@ -137,10 +145,10 @@ def _judge(homes: int, width: int, array_bytes: int):
         known = group.column("known").to_numpy()
         packed = group.column("packed").to_pylist()
         d0, a0, c0 = B.unpack_all((b for b, k in zip(packed, known, strict=True) if k), "iii")
-        gram, content, doc, at, count = B.unpack_all((b for b, k in zip(packed, known, strict=True) if not k), "uuiii")
+        gram, content, check, doc, at, count = B.unpack_all((b for b, k in zip(packed, known, strict=True) if not k), "uuuiii")
         out = [JUDGED.empty_table()]
         if len(gram):
-            order, starts, later = _smallest(content, doc, at)
+            order, starts, later = _smallest(content, check, doc, at)
             k = order[later]
             d0, a0, c0 = np.concatenate((d0, doc[k])), np.concatenate((a0, at[k])), np.concatenate((c0, count[k]))
             k = order[starts]  # the first run of each content
@@ -167,12 +175,13 @@ def _each(texts: pa.Table, doc: np.ndarray) -> Iterator[tuple[int, bytes, slice]
 
 
 def _windows(body: bytes, doc: np.ndarray, at: np.ndarray, count: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
-    """Hash, document and place of every window of the runs, whose bytes stand one after the other in ``body``."""
+    """Both halves of the hash, document and place of every window of the runs, whose bytes stand one
+    after the other in ``body``."""
     sizes = count + width - 1
     which = np.repeat(np.arange(len(count)), count)
     shift = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-    hashes = B.rolling_bytes(np.frombuffer(body, np.uint8)).every(width)
-    return hashes[(np.cumsum(sizes) - sizes)[which] + shift], doc[which], at[which] + shift
+    data, k = np.frombuffer(body, np.uint8), (np.cumsum(sizes) - sizes)[which] + shift
+    return B.rolling_bytes(data).every(width)[k], B.check_bytes(data).every(width)[k], doc[which], at[which] + shift
 
 
 def _stretches(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -200,7 +209,7 @@ def _fetch(width: int, parts: int):
         there = np.fromiter((bool(x) for x in content), bool, len(content))
         out: list[tuple[int, int, bytes, bytes | None]] = []
         order = np.flatnonzero(there & (split == 0))
-        part = B.bucket_of(gram, parts)
+        part = _part_of(gram, parts)
         order = order[np.argsort(part[order], kind="stable")]
         edges = B.runs(part[order])
         for a, b in zip(edges, B.ends(edges, len(order)), strict=True):
@@ -210,20 +219,20 @@ def _fetch(width: int, parts: int):
         if len(k):
             piece = np.cumsum(count[k] + width - 1) // HASH_BYTES
             edges = B.runs(piece)
-            h, d, p = np.zeros(0, B.U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            h, c, d, p = np.zeros(0, B.U), np.zeros(0, B.U), np.zeros(0, np.int64), np.zeros(0, np.int64)
             for a, b in zip(edges, B.ends(edges, len(k)), strict=True):
                 x = k[a:b]
                 more = _windows(b"".join(content[y] for y in x.tolist()), doc[x], at[x], count[x], width)
-                h, d, p = (np.concatenate(c) for c in zip((h, d, p), more, strict=True))
-                order, starts, later = _smallest(h, d, p)
+                h, c, d, p = (np.concatenate(both) for both in zip((h, c, d, p), more, strict=True))
+                order, starts, later = _smallest(h, c, d, p)
                 if later.any():
                     y = order[later]
                     out.append((int(d[0]) % parts, COPIES, B.pack(*_stretches(d[y], p[y])), None))
                 y = order[starts]
-                h, d, p = h[y], d[y], p[y]
+                h, c, d, p = h[y], c[y], d[y], p[y]
             part = parts + B.bucket_of(h, parts * SPLIT)  # h ascends
             edges = B.runs(part)
-            out += [(int(part[a]), WINDOWS, B.pack(h[a:b], d[a:b], p[a:b]), None) for a, b in zip(edges, B.ends(edges, len(h)), strict=True)]
+            out += [(int(part[a]), WINDOWS, B.pack(h[a:b], c[a:b], d[a:b], p[a:b]), None) for a, b in zip(edges, B.ends(edges, len(h)), strict=True)]
         return pa.Table.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(BYTES.types)], schema=BYTES)
 
     return run
@@ -239,14 +248,15 @@ def suffix_order(data: np.ndarray, starts: np.ndarray, width: int, tie: np.ndarr
     for k in range(8):
         key = key << B.U(8) | padded[k : n + k]
     ranks, have = [], 8
-    rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
+    rank = np.unique(key, return_inverse=True)[1].astype(np.int32)
     ranks.append((8, rank))
     while have * 2 <= width:
-        right = np.concatenate((rank[have:], np.full(have, -1)))
-        rank = np.unique(rank * (n + 2) + right + 1, return_inverse=True)[1].astype(np.int64)
+        pair = rank.astype(np.int64) * (n + 2)
+        pair[: n - have] += rank[have:] + 1
+        rank = np.unique(pair, return_inverse=True)[1].astype(np.int32)
         have *= 2
         ranks.append((have, rank))
-    final = rank[starts] * (n + 2) + (rank[starts + width - have] + 1)
+    final = rank[starts].astype(np.int64) * (n + 2) + (rank[starts + width - have] + 1)
     order = np.lexsort((tie, final))
     prefix = np.zeros(len(order), np.int64)
     for length, r in ranks:
@@ -288,10 +298,10 @@ def _match(width: int, homes: int, array_bytes: int):
         kind = group.column("kind").to_numpy()
         if (kind != RUNS).any():
             packed = group.column("packed").to_pylist()
-            h, d, p = B.unpack_all((b for b, k in zip(packed, kind, strict=True) if k == WINDOWS), "uii")
-            order, _, later = _smallest(h, d, p)
+            h, c, d, p = B.unpack_all((b for b, k in zip(packed, kind, strict=True) if k == WINDOWS), "uuii")
+            order, _, later = _smallest(h, c, d, p)
             known = B.unpack_all((b for b, k in zip(packed, kind, strict=True) if k == COPIES), "iii")
-            copies = (np.concatenate(c) for c in zip(known, _stretches(d[order[later]], p[order[later]]), strict=True))
+            copies = (np.concatenate(both) for both in zip(known, _stretches(d[order[later]], p[order[later]]), strict=True))
             return pa.concat_tables([_by_home(homes, False, *copies), suffixes(group.filter(pa.array(kind == RUNS)))])
         return suffixes(group)
 
