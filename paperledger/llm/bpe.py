@@ -2,13 +2,16 @@
 
 The distinct words of a batch are encoded once. They stand as rows of padded matrices, one for each
 length bucket; in every round each row merges its leftmost pair of minimum rank, found by hashed
-lookup of pairs, the row closes the gap, and rows without a pair leave the matrix.
+lookup of pairs, the row closes the gap, and rows without a pair leave the matrix. Closing gaps
+takes work by the square of a row's length, so a word of many bytes is a row of its own, whose ids
+are linked and whose pairs wait by rank: a round merges all pairs of one rank.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +27,8 @@ from .common import ddl
 
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 NONE = np.int64(1 << 40)
+#: Bytes of the longest word that shares a matrix with others.
+LONG = 1024
 #: Cells of a matrix at once.
 CELLS = 1 << 21
 #: Distinct chunks that a worker remembers.
@@ -139,6 +144,63 @@ def merge_rows(vocab: Vocabulary, ids: np.ndarray, lengths: np.ndarray) -> tuple
         ranks[right, at[right]] = vocab.pairs(work[right, at[right]], work[right, at[right] + 1])
 
 
+def merge_long(vocab: Vocabulary, ids: np.ndarray) -> np.ndarray:
+    """Merges one long row; the same ids as merge_rows in near-linear time.
+
+    Merging the leftmost pair of minimum rank again and again merges all pairs of that rank from
+    left to right, as long as no merge makes a pair of a smaller rank. Where one does (ranks that
+    weren't learned in order), merge_rows takes over.
+    """
+    n = len(ids)
+    token = np.append(ids, 0)
+    after, before = np.arange(1, n + 2), np.arange(-1, n)
+    ranks = np.full(n + 1, NONE, np.int64)
+    ranks[: n - 1] = vocab.pairs(ids[:-1], ids[1:])
+    alive = np.ones(n + 1, bool)
+    waiting: dict[int, list[np.ndarray]] = {}
+    queue: list[int] = []
+
+    def put(at: np.ndarray) -> None:
+        """Lets the pairs that begin at these places wait by their ranks."""
+        at = at[ranks[at] < NONE]
+        at = at[np.argsort(ranks[at], kind="stable")]
+        edges = B.runs(ranks[at])
+        for a, b in zip(edges.tolist(), B.ends(edges, len(at)).tolist(), strict=True):
+            rank = int(ranks[at[a]])
+            if rank not in waiting:
+                waiting[rank] = []
+                heapq.heappush(queue, rank)
+            waiting[rank].append(at[a:b])
+
+    put(np.arange(n - 1))
+    while queue:
+        rank = heapq.heappop(queue)
+        at = np.unique(np.concatenate(waiting.pop(rank)))
+        at = at[ranks[at] == rank]
+        if not len(at):
+            continue
+        # of pairs that share an id the left one goes first: every second one of a chain
+        chained = np.concatenate(([False], after[at[:-1]] == at[1:]))
+        start = np.maximum.accumulate(np.where(chained, 0, np.arange(len(at))))
+        at = at[(np.arange(len(at)) - start) % 2 == 0]
+        right = after[at]
+        token[at] = rank
+        ranks[right], alive[right] = NONE, False
+        after[at] = after[right]
+        before[after[at]] = at  # n stands for the end and is never read as a place
+        left = before[at]
+        fresh = np.unique(np.concatenate((at, left[left >= 0])))
+        follows = after[fresh]
+        ranks[fresh] = NONE
+        inner = fresh[follows < n]
+        ranks[inner] = vocab.pairs(token[inner], token[after[inner]])
+        if (ranks[inner] < rank).any():
+            rest, sizes = merge_rows(vocab, ids[None, :], np.array([n]))
+            return rest[0, : sizes[0]]
+        put(inner)
+    return token[:n][alive[:n]]
+
+
 def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """starts[k], starts[k] + 1, ... sizes[k] times, for one k after the other."""
     ends = np.cumsum(sizes)
@@ -175,7 +237,11 @@ class Encoder:
         bucket = np.where(sizes <= 64, -(-sizes // 4) * 4, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
         parts = []
         count = np.zeros(len(raw), np.int64)
-        for width in np.unique(bucket).tolist():
+        for k in np.flatnonzero(sizes > LONG).tolist():
+            ids = merge_long(self.vocab, self.vocab.byte_id[np.frombuffer(raw[k], np.uint8)])
+            count[k] = len(ids)
+            parts.append((np.array([k]), ids))
+        for width in np.unique(bucket[sizes <= LONG]).tolist():
             members = np.flatnonzero(bucket == width)
             step = max(1, CELLS // max(width, 1))
             for a in range(0, len(members), step):

@@ -28,6 +28,15 @@ CONTEXT_BONUS, CONTEXT = 0.1, 40
 _OCTET = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 
 
+#: Matches whose places are summed up together, so that no long array is copied for each match.
+BLOCK = 256
+
+
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _digits(span: Column) -> Column:
     return F.regexp_replace(span, "[^0-9]", "")
 
@@ -46,55 +55,93 @@ def luhn(digits: Column) -> Column:
 
 def mod97(iban: Column) -> Column:
     """Whether an IBAN without blanks, its first four characters moved to the end, is 1 modulo 97."""
-    moved = F.concat(F.substring(iban, F.lit(5), F.length(iban)), F.substring(iban, 1, 4))
+    def check(moved: Column) -> Column:
+        def add(acc: Column, i: Column) -> Column:
+            c = F.ascii(F.substring(moved, i, F.lit(1)))
+            return F.when(c >= 65, (acc * 100 + c - 55) % 97).otherwise((acc * 10 + c - 48) % 97)
 
-    def add(acc: Column, i: Column) -> Column:
-        c = F.ascii(F.substring(moved, i, F.lit(1)))
-        return F.when(c >= 65, (acc * 100 + c - 55) % 97).otherwise((acc * 10 + c - 48) % 97)
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(moved), F.lit(1))), F.lit(0), add) == 1
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(moved), F.lit(1))), F.lit(0), add) == 1
+    return let(F.concat(F.substring(iban, F.lit(5), F.length(iban)), F.substring(iban, 1, 4)), check)
 
 
 def confirmed(kind: str, span: Column) -> Column:
     if kind == "ip":
         return span.rlike(rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$")
     if kind == "card":
-        d = _digits(span)
-        return F.length(d).between(16, 19) & luhn(d)
+        return let(_digits(span), lambda d: F.length(d).between(16, 19) & luhn(d))
     if kind == "phone":
         return F.length(_digits(span)).between(8, 15)
     if kind == "iban":
-        plain = F.regexp_replace(span, " ", "")
-        return F.length(plain).between(15, 34) & mod97(plain)
+        return let(F.regexp_replace(span, " ", ""), lambda plain: F.length(plain).between(15, 34) & mod97(plain))
     return F.lit(True)
 
 
+FOUND = "array<struct<start:int,end:int,value:string>>"
+SPANS = "array<struct<kind:string,start:int,end:int,value:string,score:double>>"
+
+
+def _block(kind: str, pieces: Column) -> Column:
+    """Of consecutive (gap, value) pieces: their text, and the confirmed values with their places in it."""
+
+    def add(acc: Column, q: Column) -> Column:
+        start = acc["at"] + F.length(q["gap"])
+        end = (start + F.length(q["value"])).cast("int")
+        item = F.struct(start.cast("int").alias("start"), end.alias("end"), q["value"].alias("value"))
+        found = F.when(confirmed(kind, q["value"]), F.concat(acc["found"], F.array(item))).otherwise(acc["found"])
+        return F.struct(end.alias("at"), found.alias("found"))
+
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast(FOUND).alias("found"))
+    whole = F.array_join(F.transform(pieces, lambda q: F.concat(q["gap"], q["value"])), "")
+    return F.struct(F.aggregate(pieces, empty, add)["found"].alias("found"), whole.alias("text"))
+
+
 def _spans(text: Column, kind: str) -> Column:
-    """array<struct<kind, start, end, value, score>> of the confirmed matches, in order."""
+    """array<struct<kind, start, end, value, score>> of the confirmed matches, in order.
+
+    The text is matched once and once cut at the matches. Each piece is read a bounded number of
+    times: blocks of pieces are placed by themselves and then moved by the length of what precedes.
+    """
     pattern, needs, words = KINDS[kind]
     has = F.regexp_like(text, F.lit(pattern)) if needs is None else text.contains(needs)
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
 
-    def add(acc: Column, i: Column) -> Column:
-        value = F.get(matches, i)
-        start = acc["at"] + F.length(F.get(gaps, i))
-        end = start + F.length(value)
-        item = F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), value.alias("value"))
-        return F.struct(end.cast("int").alias("at"), F.concat(acc["found"], F.array(item)).alias("found"))
-
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("found"))
-    placed = F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), empty, add)["found"]
-    kept = F.filter(placed, lambda s: confirmed(kind, s["value"]))
-
-    def scored(s: Column) -> Column:
-        begin = F.greatest(s["start"] - CONTEXT, F.lit(0))
-        near = F.concat(F.substring(text, begin + 1, s["start"] - begin), F.lit(" "), F.substring(text, s["end"] + 1, F.lit(CONTEXT)))
-        bonus = F.when(F.lower(near).rlike(words), F.lit(CONTEXT_BONUS)).otherwise(F.lit(0.0))
-        return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), (F.lit(SCORE[kind]) + bonus).alias("score"))
-
-    none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string,score:double>>")
-    return F.when(has & (F.size(matches) > 0), F.transform(kept, scored)).otherwise(none)
+    def scored(b: Column, before: Column, after: Column, moved: Column) -> Column:
+        """The spans of a block with their scores; context reaches into the blocks around it."""
+        lead = F.length(before)
+
+        def one(around: Column, s: Column) -> Column:
+            begin = F.greatest(s["start"] + lead - CONTEXT, F.lit(0))
+            near = F.concat(F.substring(around, begin + 1, s["start"] + lead - begin), F.lit(" "), F.substring(around, s["end"] + lead + 1, F.lit(CONTEXT)))
+            bonus = F.when(F.lower(near).rlike(words), F.lit(CONTEXT_BONUS)).otherwise(F.lit(0.0))
+            return F.struct(F.lit(kind).alias("kind"), (s["start"] + moved).alias("start"), (s["end"] + moved).alias("end"), s["value"].alias("value"), (F.lit(SCORE[kind]) + bonus).alias("score"))
+
+        return let(F.concat(before, b["text"], after), lambda around: F.transform(b["found"], lambda s: one(around, s)))
+
+    def placed(blocks: Column, last: Column) -> Column:
+        """Blocks one after the other: (at, tail of the text so far, spans)."""
+
+        def add(acc: Column, k: Column) -> Column:
+            b, following = F.get(blocks, k), F.get(blocks, k + 1)["text"]
+            after = F.when(following.isNull(), last).otherwise(following)
+            spans = F.when(F.size(b["found"]) > 0, scored(b, acc["tail"], F.substring(after, 1, CONTEXT), acc["at"])).otherwise(F.array().cast(SPANS))
+            return F.struct(
+                (acc["at"] + F.length(b["text"])).cast("int").alias("at"),
+                F.substring(F.concat(acc["tail"], b["text"]), -CONTEXT, CONTEXT).alias("tail"),
+                F.concat(acc["spans"], F.array(F.struct(spans.alias("of")))).alias("spans"),
+            )
+
+        empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(f"array<struct<of:{SPANS}>>").alias("spans"))
+        done = F.aggregate(F.sequence(F.lit(0), F.size(blocks) - 1), empty, add)["spans"]
+        return F.flatten(F.transform(done, lambda x: x["of"]))
+
+    def cut(p: Column) -> Column:
+        pieces = F.zip_with(F.slice(p["gaps"], F.lit(1), F.size(p["values"])), p["values"], lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
+        starts = F.sequence(F.lit(1), F.size(p["values"]), F.lit(BLOCK))
+        blocks = let(pieces, lambda q: F.transform(starts, lambda k: let(F.slice(q, k, F.lit(BLOCK)), lambda some: _block(kind, some))))
+        return let(blocks, lambda b: F.when(F.exists(b, lambda x: F.size(x["found"]) > 0), placed(b, F.element_at(p["gaps"], -1))).otherwise(F.array().cast(SPANS)))
+
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("values"), F.split(text, pattern, -1).alias("gaps"))
+    return F.when(has, let(both, lambda p: F.when(F.size(p["values"]) > 0, cut(p)).otherwise(F.array().cast(SPANS)))).otherwise(F.array().cast(SPANS))
 
 
 def find_pii(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

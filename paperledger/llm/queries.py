@@ -63,7 +63,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substring_dedup(table(spark, sf_dir, "documents"))
-    return done.select("doc_id", "n_words", "n_removed", "n_intervals", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), "n_intervals")
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -80,8 +81,8 @@ def test_planes(bits):
 def test_word_tokenizer_equals_the_library():
     ours, library = token_planes.WordTokenizer(WORDS), Tokenizer.from_file(WORDS)
     texts = odd_texts(2000)
-    ids, n = ours.encode(texts, 1)
-    assert ids.tolist() == [x for e in library.encode_batch(texts, add_special_tokens=False) for x in [*e.ids, 1]]
+    ids, n = ours.encode(pa.array(texts), 1)
+    assert ours.by_words and ids.tolist() == [x for e in library.encode_batch(texts, add_special_tokens=False) for x in [*e.ids, 1]]
     assert n.tolist() == [len(e.ids) + 1 for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -104,8 +105,45 @@ def test_token_files_of_nothing(spark, tmp_path):
     assert token_planes.write_tokens(fixtures.table(spark, []), str(tmp_path), WORDS).count() == 0
     assert token_planes.read_tokens(spark, str(tmp_path)).count() == 0
     token_planes.write_tokens(fixtures.table(spark, [(None, "a"), (2, "b"), (2, "b"), (1, None)]), str(tmp_path), WORDS)
-    rows = sorted(map(tuple, token_planes.read_tokens(spark, str(tmp_path), digest=True).select("doc_id", "start", "n_tokens").collect()))
-    assert rows == [(1, 0, 1), (2, 1, 2), (2, 3, 2)]
+    rows = sorted(map(tuple, token_planes.read_tokens(spark, str(tmp_path), digest=True).select("doc_id", "start", "n_tokens").collect()), key=lambda r: r[1])
+    assert rows == [(None, 0, 2), (1, 2, 1), (2, 3, 2), (2, 5, 2)]
+
+
+def test_other_tokenizers_go_their_own_way(spark, tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    assert not token_planes.WordTokenizer(path).by_words
+    token_planes.write_tokens(fixtures.table(spark), str(tmp_path), path, end_id=50256)
+    expected = {i: (np.array([*library.encode(t or "", add_special_tokens=False).ids, 50256], "<u4").tobytes(),) for i, t in fixtures.rows()}
+    assert fixtures.by_id(token_planes.read_tokens(spark, str(tmp_path)), "ids") == expected
+
+
+def test_marks_and_letters_equal_the_library():
+    """Words of letters go to the model itself, and marks are cut from the words that they end."""
+    ours, library = token_planes.WordTokenizer(WORDS), Tokenizer.from_file(WORDS)
+    r = random.Random(8)
+    texts = ["".join(r.choice("abzàÿßÑ÷×Ωe\u0301\u0338.,!?#'st -<|>0\n") for _ in range(r.randint(0, 30))) for _ in range(4000)]
+    ids, _ = ours.encode(pa.array(texts), 1)
+    assert ids.tolist() == [x for e in library.encode_batch(texts, add_special_tokens=False) for x in [*e.ids, 1]]
+
+
+def test_long_words_equal_the_library():
+    encoder, library = bpe.Encoder(bpe.Vocabulary.load(RANKS), public_tokenizers.PATTERN), reference()
+    r = random.Random(5)
+    texts = ["".join(r.choice(letters) for _ in range(n)) for letters in ("ab", "etaoin shrdlu"[:6], "abcdefghijklmnopqrstuvwxyz", "漢字中文日本語的是") for n in (1025, 3000, 20_001)]
+    for t in [*texts, "x" * 1_000_000]:
+        assert encoder.encode([t])[0].tolist() == library.encode_ordinary(t)
+
+
+def test_long_words_of_odd_ranks():
+    """Ranks in an order that no training gives: merge_long must not differ from merge_rows."""
+    r = random.Random(6)
+    for seed in range(40):
+        tokens = [bytes([b]) for b in range(256)] + sorted({"".join(r.choice("abc") for _ in range(r.randint(2, 5))).encode() for _ in range(30)}, key=lambda _: r.random())
+        vocab = bpe.Vocabulary(tokens)
+        word = vocab.byte_id[np.frombuffer("".join(r.choice("abc") for _ in range(300)).encode(), np.uint8)]
+        rows, n = bpe.merge_rows(vocab, word[None, :], np.array([300]))
+        assert bpe.merge_long(vocab, word).tolist() == rows[0, : n[0]].tolist()
 
 
 def test_png():

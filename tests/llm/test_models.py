@@ -1,3 +1,4 @@
+import time
 import random
 
 import numpy as np
@@ -161,3 +162,15 @@ def test_pii_score_and_mask(spark):
     assert found == {1: [0.7], 2: [0.6], 3: []}
     masked = fixtures.by_id(pii.mask_pii(fixtures.table(spark, [*rows, (4, "x a@1.2.3.4 y")])), "masked")
     assert masked == {1: ("call my phone <phone> now",), 2: ("nothing " * 10 + "<phone>",), 3: ("",), 4: ("x <email> y",)}
+
+
+def test_pii_many_matches(spark):
+    """Blocks of matches are placed one after the other; a text with very many takes seconds, not hours."""
+    few = [(n, "".join(f"u{k}@h{k}.org é 10.0.{k % 300}.1 +49 30 {k:07d}; " for k in range(n))) for n in (1, 255, 256, 257, 700)]
+    got = {x["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in x["spans"] if s["kind"] in pii.BASE] for x in pii.find_pii(fixtures.table(spark, few)).collect()}
+    assert got == {i: brute.pii(t) for i, t in few}
+    began = time.time()
+    many = fixtures.table(spark, [(1, " ".join(f"u{k}@h{k}.org" for k in range(100_000)))])
+    row = pii.find_pii(many).selectExpr("size(spans) n", "spans[99999] last").first()
+    assert row["n"] == 100_000 and row["last"]["value"] == "u99999@h99999.org"
+    assert time.time() - began < 60
