@@ -21,6 +21,15 @@ def normalized(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
+#: Digests in a bucket of an index that is sized for a table (about 200 MB).
+BUCKET_ROWS = 4_000_000
+
+
+def buckets_for(docs: DataFrame, growth: int = 1) -> int:
+    """How many buckets an index for ``growth`` tables of this size should have, 16 at least."""
+    return max(16, -(-docs.count() * growth // BUCKET_ROWS))
+
+
 class DigestIndex:
     """A bucketed, sorted table (digest, keep_id, added) under ``path``.
 

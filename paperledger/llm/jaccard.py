@@ -7,18 +7,19 @@
    D parts by hash, so at least one part agrees in full. The hashes of the parts meet, and each set
    is tied to the smallest document (the hub) of every meeting.
 3. A hub and what is tied to it make blocks of bounded size. For each block the incidence matrix is
-   multiplied with its transpose, a slice of shingles at a time; overlaps accumulate, and pairs
-   below the bound that their sizes give are discarded. A hub of several blocks stands in each.
-   To count links, every two blocks of a hub are multiplied as well, and a pair that meets under
-   several hubs counts under the smallest one. For the components alone it is enough to multiply
-   the documents that their block doesn't connect with the hub with all other blocks of that hub.
+   multiplied with its transpose: shingles of many documents a slice of columns at a time, others
+   entry by entry; overlaps accumulate, and pairs below the bound that their sizes give are
+   discarded. A hub of several blocks stands in each, and the documents that their block doesn't
+   connect with the hub are multiplied with all other blocks of that hub.
 4. The links of a block are reduced to a spanning forest; connected components join the forests.
+5. A link lies inside one component, so links are counted there: a component is packed into blocks,
+   every two of which are multiplied, and the products' row sums are all that leaves them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from fractions import Fraction
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 
 from ..cluster import materialize, ship_package
 from . import bytesops as B
+from .bpe import spread
 from .common import ddl, look_up, parts_for
 from .components import connected_components
 
@@ -35,13 +37,19 @@ from .components import connected_components
 BLOCK_ROWS = 1024
 #: Shingles in a slice of the product.
 BLOCK_COLUMNS = 4096
+#: Documents and shingles (of all of them) in a block in which links are counted.
+COUNT_ROWS, COUNT_SHINGLES = 2048, 2_000_000
+#: Pairs of entries that are added up together.
+PAIRS = 1 << 21
 #: Bytes of text whose part hashes one receiving group holds.
 PART_BYTES = 48 << 20
 
 SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("parts", pa.binary())])
 SENT = pa.schema([("part", pa.int32()), ("packed", pa.binary())])
 TIES = pa.schema([("hub", pa.int64()), ("doc_id", pa.int64())])
-LINKS = pa.schema([("hub", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("loose", pa.bool_()), ("n", pa.int64())])
+LINKS = pa.schema([("hub", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("loose", pa.bool_())])
+BLOCKS = pa.schema([("component", pa.int64()), ("block", pa.int32()), ("blocks", pa.int32()), ("docs", pa.binary()), ("entries", pa.binary()), ("links", pa.binary())])
+DEGREES = pa.schema([("rep", pa.int64()), ("n_links", pa.int64())])
 
 
 class Similarity:
@@ -209,27 +217,48 @@ def _tie(group: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=TIES)
 
 
-def overlaps(sets: list[np.ndarray], left: int | None = None) -> np.ndarray:
-    """Overlap counts of the sets (of the first ``left`` with all): incidence times its transpose, a
-    slice of shingles at a time. Shingles in one set only cannot overlap and are left out."""
+def sorted_entries(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The incidence matrix of the sets as entries (shingle, row), by shingle."""
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     h = np.concatenate(sets) if sets else np.zeros(0, B.U)
-    order = np.argsort(h)
-    h, owner = h[order], owner[order]
-    starts = B.runs(h)
-    lens = np.diff(np.append(starts, len(h)))
-    column = np.repeat(np.cumsum(lens > 1) - 1, lens)
-    shared = np.repeat(lens > 1, lens)
-    owner, column = owner[shared], column[shared]
-    rows = len(sets) if left is None else left
-    out = np.zeros((rows, len(sets)), np.float64)
-    n = int(column[-1]) + 1 if len(column) else 0
-    for a in range(0, n, BLOCK_COLUMNS):
-        i, j = np.searchsorted(column, (a, a + BLOCK_COLUMNS))
-        block = np.zeros((len(sets), min(BLOCK_COLUMNS, n - a)), np.float32)
-        block[owner[i:j], column[i:j] - a] = 1
-        out += block[:rows] @ block.T
-    return out.astype(np.int64)
+    order = np.argsort(h, kind="stable")
+    return h[order], owner[order]
+
+
+def product(h1: np.ndarray, rows1: np.ndarray, n1: int, h2: np.ndarray, rows2: np.ndarray, n2: int) -> np.ndarray:
+    """Overlap counts, n1 by n2: one incidence matrix times the other's transpose. Columns that fill
+    a good part of both are multiplied as dense slices, the rest add up pairs of entries."""
+    out = np.zeros((n1, n2), np.float32)
+    s1, s2 = B.runs(h1), B.runs(h2)
+    common, i, j = np.intersect1d(h1[s1], h2[s2], assume_unique=True, return_indices=True)
+    if not len(common):
+        return out
+    l1, l2 = np.diff(np.append(s1, len(h1)))[i], np.diff(np.append(s2, len(h2)))[j]
+    s1, s2 = s1[i], s2[j]
+    dense = l1 * l2 * 64 > n1 * n2
+    for a in range(0, int(dense.sum()), BLOCK_COLUMNS):
+        k = np.flatnonzero(dense)[a : a + BLOCK_COLUMNS]
+        left, right = np.zeros((n1, len(k)), np.float32), np.zeros((n2, len(k)), np.float32)
+        left[rows1[spread(s1[k], l1[k])], np.repeat(np.arange(len(k)), l1[k])] = 1
+        right[rows2[spread(s2[k], l2[k])], np.repeat(np.arange(len(k)), l2[k])] = 1
+        out += left @ right.T
+    s1, s2, l1, l2 = s1[~dense], s2[~dense], l1[~dense], l2[~dense]
+    piece = np.cumsum(l1 * l2) // PAIRS
+    edges = B.runs(piece)
+    for a, b in zip(edges, B.ends(edges, len(piece)), strict=True):
+        x = np.repeat(rows1[spread(s1[a:b], l1[a:b])], np.repeat(l2[a:b], l1[a:b]))
+        y = rows2[spread(np.repeat(s2[a:b], l1[a:b]), np.repeat(l2[a:b], l1[a:b]))]
+        out += np.bincount(x * n2 + y, minlength=n1 * n2).reshape(n1, n2)
+    return out
+
+
+def overlaps(sets: list[np.ndarray], left: int | None = None) -> np.ndarray:
+    """Overlap counts of the sets (of the first ``left`` with all)."""
+    h, rows = sorted_entries(sets)
+    if left is None:
+        return product(h, rows, len(sets), h, rows, len(sets)).astype(np.int64)
+    on = rows < left
+    return product(h[on], rows[on], left, h, rows, len(sets)).astype(np.int64)
 
 
 def _forest(ok: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
@@ -253,13 +282,11 @@ def _forest(ok: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
     return kept, root.tolist()
 
 
-def _multiply(size: int, similarity: Similarity, cross: bool, count: bool):
-    """Blocks come as consecutive rows (hub, block, doc_id, side, text, n_rows, hubs). Without
-    ``cross`` all rows of a block are multiplied, the hub's first; with it those of side 0 with those
-    of side 1. With ``count`` each row's linked rows are added up too, in rows without b; pairs that
-    share a smaller hub count there."""
+def _multiply(size: int, similarity: Similarity, cross: bool):
+    """Blocks come as consecutive rows (hub, block, doc_id, side, text). Without ``cross`` all rows of
+    a block are multiplied, the hub's first; with it those of side 0 with those of side 1."""
 
-    def product(rows: list[tuple]) -> list[tuple]:
+    def multiply(rows: list[tuple]) -> list[tuple]:
         hub = rows[0][0]
         rows = sorted(rows, key=lambda r: (r[3], cross or r[2] != hub, r[2]))
         h, offsets = shingle_sets(*B.utf8(pa.array([r[4] for r in rows], pa.string())), size)
@@ -275,47 +302,132 @@ def _multiply(size: int, similarity: Similarity, cross: bool, count: bool):
         if cross:
             ok[:, :left] = False
         kept, root = _forest(ok)
-        out = [(hub, rows[a][2], rows[b][2], False, 0) for a, b in kept if rows[a][2] != rows[b][2]]
+        out = [(hub, rows[a][2], rows[b][2], False) for a, b in kept if rows[a][2] != rows[b][2]]
         if not cross:
-            out += [(hub, r[2], r[2], True, 0) for r, x in zip(rows, root, strict=True) if x != root[0]]
-        if count and ok.any():
-            smaller = [np.array([x for x in r[6] if x < hub], np.int64).view(B.U) for r in rows]
-            if any(len(x) for x in smaller):
-                ok &= overlaps(smaller, left) == 0
-            weight = np.array([r[5] for r in rows], np.int64)
-            linked = np.zeros(len(rows), np.int64)
-            linked[:left] = ok @ weight
-            if cross:
-                linked[left:] = weight[:left] @ ok[:, left:]
-            out += [(hub, r[2], None, False, x) for r, x in zip(rows, linked.tolist(), strict=True) if x]
+            out += [(hub, r[2], r[2], True) for r, x in zip(rows, root, strict=True) if x != root[0]]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         out: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+            for row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 if held and held[-1][:2] != row[:2]:
-                    out += product(held)
+                    out += multiply(held)
                     held = []
                 held.append(row)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), LINKS.types, strict=True)], schema=LINKS)
                 out = []
-        if held and (out := product(held)):
+        if held and (out := multiply(held)):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), LINKS.types, strict=True)], schema=LINKS)
 
     return run
 
 
+def _links_of(over: np.ndarray, n1: np.ndarray, n2: np.ndarray, similarity: Similarity) -> np.ndarray:
+    """Which rows of a product link."""
+    return similarity.linked(over.astype(np.int64), n1[:, None], n2[None, :]) & (over > 0)
+
+
+def _count_blocks(size: int, similarity: Similarity):
+    """Blocks come as consecutive rows (component, block, blocks, doc_id, n_rows, text); each becomes
+    one row with its documents, the links inside it, and its entries if the component has more blocks."""
+
+    def packed(rows: list[tuple]) -> tuple:
+        h, offsets = shingle_sets(*B.utf8(pa.array([r[5] for r in rows], pa.string())), size)
+        n = np.diff(offsets)
+        doc, weight = (np.array([r[k] for r in rows], np.int64) for k in (3, 4))
+        entries = sorted_entries([h[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
+        ok = _links_of(product(*entries, len(rows), *entries, len(rows)), n, n, similarity)
+        ok &= doc[:, None] != doc[None, :]
+        several = rows[0][2] > 1
+        return (*rows[0][:3], B.pack(doc, n, weight), B.pack(*entries) if several else None, B.pack(ok @ weight))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                yield from zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True)
+
+        out: list[tuple] = []
+        for _, some in groupby(rows(), key=lambda r: r[:2]):
+            out.append(packed(list(some)))
+            if len(out) >= 256 or out[-1][4] is not None:
+                yield _records(out, BLOCKS)
+                out = []
+        if out:
+            yield _records(out, BLOCKS)
+
+    return run
+
+
+def _records(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+
+def _count_pairs(similarity: Similarity):
+    """Two blocks of a component in each row: the links of each with the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {name: batch.column(name)[k].as_py() for name in batch.schema.names}
+                doc1, n1, w1 = B.unpack(row["docs1"], "iii")
+                doc2, n2, w2 = B.unpack(row["docs2"], "iii")
+                ok = _links_of(product(*B.unpack(row["entries1"], "ui"), len(n1), *B.unpack(row["entries2"], "ui"), len(n2)), n1, n2, similarity)
+                ok &= doc1[:, None] != doc2[None, :]
+                both = [(row["component"], row["i"], None, None, None, B.pack(ok @ w2)), (row["component"], row["j"], None, None, None, B.pack(w1 @ ok))]
+                yield _records(both, BLOCKS)
+
+    return run
+
+
+def _degrees(group: pa.Table) -> pa.Table:
+    """Sums of the links of a block's documents, which stand in one of the rows."""
+    docs = next(x for x in group.column("docs").to_pylist() if x is not None)
+    links = sum(B.unpack(x, "i")[0] for x in group.column("links").to_pylist())
+    return pa.Table.from_arrays([pa.array(B.unpack(docs, "iii")[0]), pa.array(links)], schema=DEGREES)
+
+
+def _own_degrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        docs = [B.unpack(x, "iii")[0] for x in batch.column("docs").to_pylist()]
+        links = [B.unpack(x, "i")[0] for x in batch.column("links").to_pylist()]
+        if docs:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(np.concatenate(links))], schema=DEGREES)
+
+
+def links_within(texts: DataFrame, size: int, similarity: Similarity) -> DataFrame:
+    """rep, n_links of the texts (doc_id, component, n_rows, n_shingles, text): how many rows of its
+    component each links with, where every text stands for n_rows rows."""
+    sizes = texts.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.greatest(F.count(F.lit(1)) / COUNT_ROWS, F.sum("n_shingles") / COUNT_SHINGLES)).cast("int").alias("blocks"))
+    sizes = materialize(sizes, "jaccard-sizes")
+    dealt = look_up(texts, sizes, "component", "n", texts.count())
+    dealt = dealt.select("component", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"), "blocks", "doc_id", "n_rows", "text")
+    counted = dealt.repartition("component", "block").sortWithinPartitions("component", "block").mapInArrow(_count_blocks(size, similarity), ddl(BLOCKS))
+    counted = materialize(counted, "jaccard-blocks")
+    alone = counted.where("blocks = 1").select("docs", "links").mapInArrow(_own_degrees, ddl(DEGREES))
+    several = counted.where("blocks > 1")
+    if several.isEmpty():
+        return alone
+    # a block may have got no documents; pairs with it join nothing
+    pairs = sizes.where("blocks > 1").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 2)))
+    pairs = pairs.select("component", "i", F.explode(F.sequence(F.col("i") + 1, F.col("blocks") - 1)).alias("j"))
+    side = lambda k, name: several.select("component", F.col("block").alias(name), F.col("docs").alias(f"docs{k}"), F.col("entries").alias(f"entries{k}")).hint("merge")
+    met = pairs.join(side(1, "i"), ["component", "i"]).join(side(2, "j"), ["component", "j"]).repartition("component", "i", "j")
+    crossed = materialize(met.mapInArrow(_count_pairs(similarity), ddl(BLOCKS)), "jaccard-crossed")
+    summed = several.union(crossed).select("component", "block", "docs", "links").groupBy("component", "block").applyInArrow(_degrees, ddl(DEGREES))
+    return alone.union(summed)
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100, part_bytes: int = PART_BYTES, count_links: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links, itself included), n_links.
 
     A text's set holds its distinct shingles of ``size`` words (``[^\\x20\\x09-\\x0D]+``, A-Z
     lower-cased); with fewer words the whole sequence is its one shingle. Two documents link when
     intersection / union >= num / den. n_links counts the other rows that the document links with,
-    those of an equal set included; it takes work by the square of a hub's blocks. Without
-    ``count_links`` it is null where the set is not empty, and only components are found.
+    those of an equal set included; the products for it take work by the square of a component's
+    different sets. Without ``count_links`` it is null where the set is not empty.
 
     Null or wordless texts have an empty set and link with nothing. Rows without an id come back
     with their n_shingles, a null component and no links, and count for no other. Ids should be unique; rows that share one are
@@ -339,50 +451,42 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     counts = ties.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
     counts = materialize(counts, "jaccard-hubs")
-    members = look_up(ties, counts, "hub", "n", ties.count()).select("hub", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"), "doc_id", "blocks")
+    n_ties = ties.count()
+    members = look_up(ties, counts, "hub", "n", n_ties).select("hub", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"), "doc_id", "blocks")
     hubs = counts.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("hub").alias("doc_id"), "blocks")
     members = materialize(members.union(hubs), "jaccard-members")
-    order = ("hub", "block", "doc_id", "side", "text", "n_rows", "hubs")
-    shape = ddl(LINKS)
-    if count_links:
-        sizes = reps.groupBy(F.col("rep").alias("doc_id")).agg(F.max("n_rows").alias("n_rows"))
-        hubs_of = members.groupBy("doc_id").agg(F.collect_set("hub").alias("hubs"))
-        about = materialize(hubs_of.join(sizes.hint("merge"), "doc_id"), "jaccard-hubs-of")
-    texts = docs.join(members.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
-    if count_links:
-        texts = texts.join(about.hint("merge"), "doc_id")
-    else:
-        texts = texts.withColumns({"n_rows": F.lit(0).cast("long"), "hubs": F.array().cast("array<bigint>")})
-    texts = materialize(texts, "jaccard-texts")
+    order = ("hub", "block", "doc_id", "side", "text")
+    texts = materialize(docs.join(members.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"), "jaccard-texts")
 
     def multiply(rows: DataFrame, cross: bool) -> DataFrame:
-        return texts.join(rows.hint("merge"), "doc_id").select(*order).repartition("hub", "block").sortWithinPartitions("hub", "block").mapInArrow(_multiply(size, similarity, cross, count_links), shape)
+        return texts.join(rows.hint("merge"), "doc_id").select(*order).repartition("hub", "block").sortWithinPartitions("hub", "block").mapInArrow(_multiply(size, similarity, cross), ddl(LINKS))
 
     links = materialize(multiply(members.select("doc_id", "hub", "block", F.lit(0).alias("side")), False), "jaccard-links")
-    crossed = None
+    # members of hubs with several blocks that their block leaves apart from the hub
+    apart = links.where("loose").select("hub", F.col("a").alias("doc_id"))
+    many = counts.where("blocks > 1")
+    loose = materialize(look_up(apart, many, "hub", "n", n_ties), "jaccard-apart")
+    if not loose.isEmpty():
+        per = materialize(loose.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("rows"), F.max("n").alias("n")), "jaccard-loose")
+        left = look_up(loose.select("hub", "doc_id", "blocks"), per, "hub", "n", n_ties)
+        left = left.withColumn("row", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("rows")).cast("int"))
+        left = left.select("doc_id", "hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "row", F.lit(0).alias("side"))
+        right = look_up(members.where("doc_id <> hub"), per, "hub", "n", n_ties)
+        right = right.select("doc_id", "hub", F.col("block").alias("other"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), F.lit(1).alias("side"))
+        crossed = left.unionByName(right).select("doc_id", "hub", F.concat_ws(":", "row", "other").alias("block"), "side")
+        links = links.union(materialize(multiply(crossed, True), "jaccard-cross"))
+    edges = materialize(links.where("not loose").select("a", "b").distinct(), "jaccard-edges")
+    components = materialize(connected_components(edges), "jaccard-components")
+    known = reps.join(components.withColumnRenamed("node", "rep"), "rep", "left")
     if count_links:
-        many = members.where("blocks > 1 and doc_id <> hub")
-        if not many.isEmpty():
-            pairs = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other <> block")
-            crossed = pairs.select("doc_id", "hub", F.concat_ws(":", F.least("block", "other"), F.greatest("block", "other")).alias("block"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+        about = reps.groupBy(F.col("rep").alias("doc_id")).agg(F.max("n_rows").alias("n_rows")).join(components.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id")
+        shape = sets.select("doc_id", "n_shingles").groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
+        grouped = materialize(texts.join(about.join(shape.hint("merge"), "doc_id").hint("merge"), "doc_id").select("component", "doc_id", "n_rows", "n_shingles", "text"), "jaccard-grouped")
+        degree = links_within(grouped, size, similarity).groupBy("rep").agg(F.sum("n_links").alias("n_links"))
+        known = known.join(degree, "rep", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)) + F.col("n_rows") - 1)
     else:
-        # members of hubs with several blocks that their block leaves apart from the hub
-        loose = links.where("loose").select("hub", F.col("a").alias("doc_id")).join(counts.where("blocks > 1").select("hub", "blocks"), "hub")
-        if not loose.isEmpty():
-            per = loose.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("rows"))
-            loose = materialize(loose.join(per, "hub").select("hub", "doc_id", "blocks", "rows", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("rows")).cast("int").alias("row")), "jaccard-loose")
-            left = loose.select("doc_id", "hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "row", F.lit(0).alias("side"))
-            right = members.where("doc_id <> hub").join(per, "hub").select("doc_id", "hub", F.col("block").alias("other"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), F.lit(1).alias("side"))
-            crossed = left.unionByName(right).select("doc_id", "hub", F.concat_ws(":", "row", "other").alias("block"), "side")
-    if crossed is not None:
-        links = links.union(materialize(multiply(crossed, True), "jaccard-cross"))
-    edges = links.where("not loose and b is not null").select("a", "b")
-    edges = materialize(edges.distinct(), "jaccard-edges")
-    components = connected_components(edges)
-    degree = links.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n_links"))
-    n_links = F.coalesce("n_links", F.lit(0)) + F.col("n_rows") - 1 if count_links else F.lit(None).cast("long")
-    known = reps.join(components.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
-    known = materialize(known.select("digest", F.coalesce("component", "rep").alias("component_id"), n_links.alias("n_links"), "n_rows"), "jaccard-known")
+        known = known.withColumn("n_links", F.lit(None).cast("long"))
+    known = materialize(known.select("digest", F.coalesce("component", "rep").alias("component_id"), "n_links", "n_rows"), "jaccard-known")
     columns = ("doc_id", "n_shingles", "component_id", "n_links")
     linked = look_up(full.select("doc_id", "n_shingles", "digest"), known, "digest", "n_rows", full.count()).select(*columns)
     empty = sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))

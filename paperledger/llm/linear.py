@@ -184,7 +184,10 @@ def score(docs: DataFrame, weights: np.ndarray, keep: tuple[str, ...] = ("doc_id
     """The columns ``keep``, n_words, and scores (one sigmoid for each row of ``weights``) of every text;
     ``with_text`` returns the texts too, without shuffling them.
 
-    Null texts count as empty; empty ones have the score of the bias alone."""
+    Null texts count as empty; empty ones have the score of the bias alone. Columns named n_words or
+    scores can't be kept: that is an error."""
+    if {"n_words", "scores"} & {k.lower() for k in keep}:
+        raise ValueError("n_words and scores are columns of the result")
     ship_package(docs.sparkSession)
     rows = docs.select(*dict.fromkeys((*keep, "text")))
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if with_text or f.name != "text")

@@ -9,6 +9,7 @@ kept for documents, and a lost executor costs nothing but its task.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -119,7 +120,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: Sequence[float], least: flo
     ``labels`` (doc_id, label) holds domain numbers from 0; ``targets`` are the shares of the
     domains. The mixture has as many tokens as the documents or, with ``grow``, the fewest for which
     no domain has to shrink; with ``least`` 1 every document is then kept. A rate is the expected
-    number of copies.
+    number of copies. Where the bounds of the rates keep the mixture from its shares by more than 0.01,
+    a warning says how far it came.
 
     Null texts count as empty; a text without words has the rate of its posteriors,
     and changes no sum. Null and
@@ -134,7 +136,10 @@ def mix(docs: DataFrame, labels: DataFrame, targets: Sequence[float], least: flo
     if grow:
         have = members.agg(*(F.sum(F.col("n_tokens") * F.col("posteriors")[c]).alias(f"d{c}") for c in range(k))).first()
         tokens = max((x or 0.0) * sum(targets) / t for x, t in zip(have, targets, strict=True) if t > 0)
-    steps, _ = fit_rates(members, targets, least, tokens)
+    steps, sums = fit_rates(members, targets, least, tokens)
+    share, goal = sums / max(sums.sum(), 1e-300), np.asarray(targets, float) / sum(targets)
+    if steps and np.abs(share - goal).max() > 0.01:
+        warnings.warn(f"the mixture's shares are {share.round(4).tolist()}, the targets {goal.round(4).tolist()}", stacklevel=2)
     return with_rates(members, steps, k, least)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..cluster import shared_path, table
 from . import bpe, linear
-from .exact_dedup import DigestIndex, exact_dedup
+from .exact_dedup import DigestIndex, buckets_for, exact_dedup
 from .jaccard import jaccard_join
 from .media_archive import media_features, read_archives, write_archives
 from .mixing import mix
@@ -57,8 +57,8 @@ def op4_media_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
-    index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
-    return exact_dedup(table(spark, sf_dir, "documents"), index)
+    docs = table(spark, sf_dir, "documents")
+    return exact_dedup(docs, DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", buckets=buckets_for(docs)))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

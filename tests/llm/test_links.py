@@ -30,6 +30,7 @@ def test_number_of_links(spark, monkeypatch, block_rows):
     want = {i: sum(j != i and len(x & y) * 100 >= 80 * len(x | y) > 0 for j, y in sets.items()) for i, x in sets.items()}
     assert max(want.values()) > 5 and len(Counter(want.values())) > 4
     monkeypatch.setattr(jaccard, "BLOCK_ROWS", block_rows)
+    monkeypatch.setattr(jaccard, "COUNT_ROWS", 2 * block_rows)
     args = dict(size=3, num=80, den=100)
     got = jaccard.jaccard_join(fixtures.table(spark, rows), **args)
     assert fixtures.by_id(got, "n_links") == {i: (n,) for i, n in want.items()}

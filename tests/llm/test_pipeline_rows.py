@@ -28,3 +28,19 @@ def test_null_and_repeated_ids(spark, tmp_path):
     assert set(mixed) == set(once) and all(n >= once[k] for k, n in mixed.items())
     # one language grows to its share, the other stays; no row is drawn once for each of its namesakes
     assert mixed[7, c] <= 2 * once[7, c] * max(1, max(n / once[k] for k, n in mixed.items() if once[k] == 1))
+
+
+def test_clashing_names_and_empty_tables(spark, tmp_path):
+    """Columns named like those that the stages use inside pass through with their values; an empty table stays empty."""
+    rows = [(k, fixtures.prose(9600 + k, 40) if k % 5 else None, "ende"[2 * (k % 2) :][:2], f"s{k}", k + 0.5, 1000 + k, -k, f"x{k}", k) for k in range(20)]
+    shape = "doc_id bigint, text string, lang string, scores string, rate double, row_key bigint, n_words int, digest string, copy int"
+    docs = spark.createDataFrame(rows, shape)
+    spark.createDataFrame([(k, 1, 0) for k in range(20)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        got = {tuple(r) for r in out.collect()}
+        assert got <= set(rows) and len(got) >= 16, name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+    assert corpus_pipeline.encode(spark, docs, str(tmp_path)).count() == 20
+    assert corpus_pipeline.encode(spark, docs.limit(0), str(tmp_path)).count() == 0
