@@ -2,34 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import money, parties, text
 from ..operators import accuracy, catalog, extract, geometry, lines, rules, store
 from ..streaming import batch as flows
+from . import table_queries  # noqa: F401
 from .projections import oracle, projection
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from .registry import ORACLE_SQL, QUERIES, query
 
 AS_OF = "1999-06-01 00:00:00"
 
 
-def query(name: str, sql: str | None, *inputs: str):
-    """Registers a function of the named projections (or base tables)."""
-
-    def add(fn):
-        QUERIES[name] = lambda spark, sf_dir: fn(*(projection(spark, sf_dir, i) for i in inputs))
-        if sql:
-            ORACLE_SQL[name] = oracle(sql)
-        return fn
-
-    return add
-
-
 def as_of():
     return F.lit(AS_OF).cast("timestamp")
 
