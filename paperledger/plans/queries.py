@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import money, parties, text
 from ..operators import accuracy, catalog, extract, geometry, lines, rules, store
 from ..streaming import batch as flows
-from . import table_queries  # noqa: F401
+from . import evidence_queries, table_queries  # noqa: F401
 from .projections import oracle, projection
 from .registry import ORACLE_SQL, QUERIES, query
 

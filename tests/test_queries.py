@@ -10,8 +10,7 @@ import __spark_entry__
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"j3_counterparty_by_name", "a1_field_accuracy", "w2_group_words", "w3_rows_by_top"}
-CHOSEN = [n for n in __spark_entry__.oracle_sql() if n not in SLOW][::3]
+CHOSEN = list(__spark_entry__.oracle_sql())
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 
