@@ -30,9 +30,9 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it again: the lineage ends there and
-    a lost executor costs no recomputation of what lies before."""
+    a lost executor costs no recomputation of what lies before. Texts take a third less room by zstd."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
