@@ -29,8 +29,12 @@ def fresh(docs: DataFrame, name: str) -> str:
 
 
 def keyed(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """The rows, written once, with a key, and the key's name: ids may be null or occur more than once, keys may not."""
+    """The rows with a key that no two share, and the key's name: the id where each row has one of its
+    own; ids that are null or occur more than once make it a number that is written with the rows."""
     key = fresh(docs, "row_key")
+    n, named, distinct = docs.agg(F.count(F.lit(1)), F.count("doc_id"), F.count_distinct("doc_id")).first()
+    if n == named == distinct:
+        return docs.withColumn(key, F.col("doc_id").cast("long")), key
     return materialize(docs.withColumn(key, F.monotonically_increasing_id()), f"pipeline-{name}-rows"), key
 
 
