@@ -10,8 +10,11 @@ from .text import let
 MONEY = r"^[+-]?[0-9]+([.,][0-9]{1,2})?$"
 NUMERIC_CELL = "^-?[0-9]{1,3}(?:[  ]?[0-9]{3})*(?:[.,][0-9]{1,6})?\\s*%?$"
 
-#: Letters that recognition puts for digits.
-OCR_LETTERS, OCR_DIGITS = "ОоOoЗзБбlI|іSs ", "00003366" + "1111" + "55 "
+#: Letters that recognition puts for digits; blanks stay.
+OCR_DIGITS = {
+    "О": "0", "о": "0", "O": "0", "o": "0", "З": "3", "з": "3", "Б": "6", "б": "6",
+    "l": "1", "I": "1", "|": "1", "і": "1", "S": "5", "s": "5",
+}
 
 
 def normalize_number(c: Column) -> Column:
@@ -40,7 +43,7 @@ def tidy_number(c: Column) -> Column:
 def repair_numeric_cell(c: Column) -> Column:
     """Letters taken for digits are put right only if the cell is a number then."""
     t = F.trim(c)
-    fixed = F.translate(t, OCR_LETTERS, OCR_DIGITS)
+    fixed = F.translate(t, "".join(OCR_DIGITS), "".join(OCR_DIGITS.values()))
     return F.when(t.rlike(NUMERIC_CELL), tidy_number(t)).when(t.rlike("[0-9]") & fixed.rlike(NUMERIC_CELL), tidy_number(fixed)).otherwise(t)
 
 
@@ -69,8 +72,9 @@ def to_cents(amount: Column) -> Column:
 
 
 def format_cents(c: Column) -> Column:
+    """A sum with two decimals; null stays null."""
     sign = F.when(c < 0, "-").otherwise("")
-    return F.concat(sign, F.format_string("%d.%02d", F.floor(F.abs(c) / 100).cast("bigint"), F.abs(c) % 100))
+    return F.when(c.isNotNull(), F.concat(sign, F.format_string("%d.%02d", F.floor(F.abs(c) / 100).cast("bigint"), F.abs(c) % 100)))
 
 
 def money_in_text(text: Column, amount: Column) -> Column:
@@ -103,32 +107,74 @@ def _map(values: dict) -> Column:
     return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))
 
 
-def words_to_int(c: Column) -> Column:
-    """A number in Russian words; null when a word is unknown or no numeral is there."""
-    words = F.transform(F.split(F.lower(F.translate(c, "-", " ")), r"\s+"), lambda w: F.regexp_replace(w, "^[.,:;()]+|[.,:;()]+$", ""))
-    words = F.filter(words, lambda w: (w != "") & ~w.isin(*SKIPPED))
+def _number(words: Column) -> Column:
+    """A number from an array of lower-case words; null when one is unknown or no numeral is there.
+
+    Read from the end: each numeral waits for the scale word before which it stands, so a stretch is
+    closed as soon as the next scale word to the left opens another. A scale word alone is one of it.
+    """
     units, scales = _map(UNITS), _map(SCALES)
+    said = F.filter(words, lambda w: (w != "") & ~w.isin(*SKIPPED))
+    known = F.forall(said, lambda w: w.isin(*UNITS, *SCALES))
+    state = lambda done, scale, sum_: F.struct(done.cast("bigint").alias("done"), scale.cast("bigint").alias("scale"), sum_.cast("bigint").alias("sum"))
+    closed = lambda s: s["done"] + F.when(s["scale"] == 1, s["sum"]).otherwise(F.greatest(s["sum"], F.lit(1)) * s["scale"])
 
-    def add(a: Column, w: Column) -> Column:
-        unit, scale = F.try_element_at(units, w), F.try_element_at(scales, w)
-        return F.struct(
-            F.when(scale.isNotNull(), a["total"] + F.greatest(a["group"], F.lit(1)) * scale).otherwise(a["total"]).cast("bigint").alias("total"),
-            F.when(scale.isNotNull(), 0).otherwise(a["group"] + F.coalesce(unit, F.lit(0))).cast("bigint").alias("group"),
-            (a["bad"] | (unit.isNull() & scale.isNull())).alias("bad"),
-        )
+    def step(s: Column, w: Column) -> Column:
+        scale = F.try_element_at(scales, w)
+        return F.when(scale.isNotNull(), state(closed(s), scale, F.lit(0))).otherwise(state(s["done"], s["scale"], s["sum"] + F.try_element_at(units, w)))
 
-    done = F.aggregate(words, F.struct(F.lit(0).cast("bigint").alias("total"), F.lit(0).cast("bigint").alias("group"), F.lit(False).alias("bad")), add)
-    return F.when((F.size(words) > 0) & ~done["bad"], done["total"] + done["group"])
+    value = F.aggregate(F.reverse(said), state(F.lit(0), F.lit(1), F.lit(0)), step, closed)
+    return F.when((F.size(said) > 0) & known, value)
 
 
-_IN_WORDS = r"(?iu)([а-яё]+(?:[\s-]+[а-яё]+){0,9})\s+рубл\S*\s*([0-9]{1,2}|[а-яё]+(?:\s+[а-яё]+)?)\s*коп\S*"
+def words_to_int(c: Column) -> Column:
+    """A number in Russian words; null when a word is unknown or no numeral is there."""
+    return _number(F.transform(F.split(F.lower(c), r"[\s-]+"), lambda w: F.regexp_replace(w, "^[.,:;()]+|[.,:;()]+$", "")))
+
+
+#: Words of roubles and of kopecks that are read at most.
+ROUBLE_WORDS, KOPECK_WORDS = 10, 2
 
 
 def money_from_words(c: Column) -> Column:
-    """Cents of the first sum written out in roubles and kopecks; null if there is none."""
-    whole, rest = F.regexp_extract(c, _IN_WORDS, 1), F.regexp_extract(c, _IN_WORDS, 2)
-    kopecks = F.when(rest.rlike("^[0-9]+$"), rest.try_cast("bigint")).otherwise(words_to_int(rest))
-    return F.when((whole != "") & (kopecks < 100), words_to_int(whole) * 100 + kopecks)
+    """Cents of the first sum written out in roubles and kopecks; null if there is none.
+
+    The text becomes an array of words, where anything but letters, digits, blanks and hyphens is a
+    word of its own. The sum is the words before the first rouble word that a kopeck word follows, back
+    to the nearest word that isn't letters or belongs to a sum before; kopecks are words or one or two digits.
+    """
+    low = F.regexp_replace(F.lower(c), r"(?<![а-яё])(рубл|коп)\S*", " $1 ")
+    words = F.filter(F.split(F.regexp_replace(low, r"[^а-яё0-9\s-]", " | "), r"[\s-]+"), lambda w: w != "")
+
+    def amount(ws: Column) -> Column:
+        ends = F.sequence(F.lit(2), F.lit(KOPECK_WORDS + 1))
+        gap = lambda i: F.coalesce(F.get(F.filter(ends, lambda k: F.get(ws, i + k) == "коп"), F.lit(0)), F.lit(0))
+        found = F.filter(F.transform(ws, lambda w, i: F.struct(i.alias("at"), F.when(w == "рубл", gap(i)).otherwise(0).alias("gap"))), lambda s: s["gap"] > 0)
+        return let(F.get(found, F.lit(0)), lambda s: parts(ws, s["at"], s["gap"]))
+
+    def parts(ws: Column, at: Column, gap: Column) -> Column:
+        before = F.slice(ws, F.greatest(at - ROUBLE_WORDS, F.lit(0)) + 1, F.least(at, F.lit(ROUBLE_WORDS)))
+        breaks = F.transform(before, lambda w, i: F.when(w.isin("рубл", "коп") | ~w.rlike("^[а-яё]+$"), i + 1).otherwise(0))
+        whole = let(F.coalesce(F.array_max(breaks), F.lit(0)), lambda k: _number(F.slice(before, k + 1, F.size(before))))
+        rest = F.slice(ws, at + 2, gap - 1)
+        kopecks = F.when(F.get(rest, F.lit(0)).rlike("^[0-9]{1,2}$") & (gap == 2), F.get(rest, F.lit(0)).try_cast("bigint")).otherwise(_number(rest))
+        return F.when(at.isNotNull() & (kopecks < 100), whole * 100 + kopecks)
+
+    return F.when(c.rlike("(?iu)рубл"), let(words, amount))
+
+
+#: Captions of VAT sums.
+VAT_CAPTIONS = ("в том числе ндс", "в т.ч. ндс", "в т.ч ндс", "в тч ндс", "сумма ндс")
+
+
+def caption_pattern(captions: tuple[str, ...]) -> str:
+    """A pattern of any of the captions, with blanks as wide as they are printed."""
+    return "(?:" + "|".join(c.replace(".", r"\.\s*").replace(" ", r"\s*") for c in sorted(captions, key=len, reverse=True)) + ")"
+
+
+def vat_from_words(c: Column) -> Column:
+    """Cents of VAT written out in words after its caption; null if there is none."""
+    return money_from_words(F.regexp_extract(c, rf"(?iu){caption_pattern(VAT_CAPTIONS)}\s*[:-]?\s*([а-яё\s-]+?рубл[^\n]{{0,60}})", 1))
 
 
 #: Months in the genitive.

@@ -31,6 +31,13 @@ def test_words(spark):
     assert one(spark, "два миллиона тысяча", money.words_to_int) == 2001000
     assert one(spark, "двадцать кошек", money.words_to_int) is None
     assert one(spark, "Сто двадцать белорусских рублей 05 копеек", money.money_from_words) == 12005
+    assert one(spark, "Сумма: семь рублей, двадцать шесть копеек", money.money_from_words) == 726
+    assert one(spark, "Сумма семь рублей 26 копеек", money.money_from_words) is None  # a word that is no numeral
+    assert one(spark, "5 рублей; тысяча рублей 1 коп.", money.money_from_words) == 100001
+    assert one(spark, "семь рублей сто копеек", money.money_from_words) is None
+    assert one(spark, "Итого 5,00, в т.ч. НДС: сорок четыре рубля 05 копеек", money.vat_from_words) == 4405
+    assert one(spark, "НДС не облагается", money.vat_from_words) is None
+    assert one(spark, "О3lЗ,5Б", money.repair_numeric_cell) == "0313.56"
     assert one(spark, "«31» января 2023 г.", money.date_from_words) == "31.01.2023"
 
 

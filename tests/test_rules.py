@@ -17,6 +17,19 @@ def test_extract(spark):
     assert not [k for k in got if k[0] == 2]
 
 
+def test_captions_and_labels(spark):
+    pages = [
+        (1, "Всего наименований: три\nАрендодатель и его адрес: ООО Дом, г. Минск, тел. 12\nНаниматель - ЧП Сад ИНН 7701234567\nВ т.ч. НДС 20% : 1 200,50\nИтого без НДС: 6 002,50\nроссийских рублей"),
+        (2, "Поставщик (исполнитель): Лес\nПокупатель без знака\nв том числе НДС: сто рублей 10 копеек\nRUR"),
+    ]
+    docs = spark.createDataFrame(pages, "doc_id bigint, text string")
+    got = {(r["doc_id"], r["key"]): r["value"] for r in extract.extract_fields(docs).collect()}
+    assert got[1, "counterparty"] == "ООО Дом, г. Минск" and got[1, "organization"] == "ЧП Сад" and got[1, "organization_unp"] == "7701234567"
+    assert got[1, "vat_amount"] == "1200.50" and got[1, "amount_no_vat"] == "6002.50" and got[1, "currency"] == "RUB"
+    assert got[1, "total"] == "6002.50"  # a caption without a sum gives none
+    assert got[2, "counterparty"] == "Лес" and (2, "organization") not in got and got[2, "vat_amount"] == "100.10" and got[2, "currency"] == "RUB"
+
+
 FIELDS = "doc_id bigint, key string, value string, confidence double, source string"
 
 
