@@ -5,8 +5,8 @@
    one edge, filled up with END where the piece ends: these are the corrections at the ends of pieces.
 2. The weight of an edge is the number of its occurrences. What flows out of a node, its END edges
    included, is the number of the node's occurrences; summing nodes by their first words gives all
-   shorter counts. Nodes and edges are dealt out by node; a node with more than a thousandth of all
-   words is dealt out by edge.
+   shorter counts. Edges are dealt out by their first word, so that nearly all sums are complete where
+   they are; those of a first word with more than a thousandth of all words by two words, and so on.
 3. Edges and nodes of some weight stay. A node is unary if one edge that enters and one that leaves it
    have its whole weight; edges in a row over unary nodes are compacted to paths by pointer doubling.
    Inside a path every count is the path's weight; only at its two ends nodes are looked up.
@@ -31,7 +31,7 @@ from . import bytesops as B
 HELD = 2 << 20
 #: Words whose spellings a task holds before it reduces them to distinct ones.
 SPELT = 1 << 19
-#: A node is dealt out by edge if more than one in HOT words starts it.
+#: Edges that begin with a gram are dealt out by one word more if more than one in HOT words starts it.
 HOT = 1000
 #: Shares in which a language's candidates are ranked first.
 SHARES = 256
@@ -95,17 +95,26 @@ def added_up(columns: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray]
     return [c[starts] for c in columns], np.add.reduceat(n[order], starts)
 
 
+def _key(columns: Sequence[np.ndarray]) -> np.ndarray:
+    """One hash of the words of each gram."""
+    return reduce(lambda h, c: B.mix(h ^ c), columns, np.full(len(columns[0]), len(columns), B.U))
+
+
 def _edges(most: int, hot: list[tuple[int, ...]]):
-    """w1 .. w_most, salt and n of the edges of a task. The salt of an edge from a hot node comes from its last word."""
-    node = lambda columns: reduce(lambda h, c: B.mix(h ^ c), columns, np.full(len(columns[0]), 7, B.U))
-    busy = np.sort(node([np.array(c, np.int64).view(B.U) for c in zip(*hot, strict=True)])) if hot else np.zeros(0, B.U)
+    """w1 .. w_most, salt and n of the edges of a task.
+
+    Edges are dealt out by their first word, those whose first word is hot by their first two, and so
+    on; the salt is the hash of the words behind the first by which an edge is dealt out, or 0.
+    """
+    busy = [np.sort(_key([np.array(c, np.int64).view(B.U) for c in zip(*own, strict=True)])) for k in range(1, most) if (own := [h for h in hot if len(h) == k])]
     names = [*(f"w{k + 1}" for k in range(most)), "salt", "n"]
 
     def record(columns: list[np.ndarray], n: np.ndarray) -> pa.RecordBatch:
         salt = np.zeros(len(n), np.int64)
-        if len(busy):
-            on = np.isin(node(columns[: most - 1]), busy)
-            salt[on] = 1 + (B.mix(columns[-1][on]) >> B.U(52)).astype(np.int64)
+        on = np.arange(len(n))
+        for k, keys in enumerate(busy, 1):  # a gram is hot only if all its beginnings are
+            on = on[np.isin(_key([c[on] for c in columns[:k]]), keys)]
+            salt[on] = 1 + (_key([c[on] for c in columns[1 : k + 1]]) >> B.U(52)).astype(np.int64)
         return pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in columns), pa.array(salt.astype(np.int32)), pa.array(n)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,9 +140,9 @@ def _edges(most: int, hot: list[tuple[int, ...]]):
 
 
 def _words(most: int):
-    """Rows of two kinds: each task's distinct words (w, lang, word), and the nodes that start more than one
-    in 2*HOT of the words held at a time (w null; node and n)."""
-    names = ["w", "lang", "word", "node", "n"]
+    """Rows of two kinds: each task's distinct words (w, lang, word), and the grams shorter than edges that
+    start at more than one in 2*HOT of the words held at a time (w null; gram and n)."""
+    names = ["w", "lang", "word", "gram", "n"]
     types = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,10 +153,12 @@ def _words(most: int):
 
         def count() -> None:
             columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-            columns, n = added_up(columns, np.ones(len(columns[0]), np.int64))
-            for k in np.flatnonzero(n * 2 * HOT > n.sum()).tolist():
-                node = tuple(int(c.view(np.int64)[k]) for c in columns)
-                busy[node] = busy.get(node, 0) + int(n[k])
+            n = np.ones(size, np.int64)
+            for length in range(most - 1, 0, -1):
+                columns, n = added_up(columns[:length], n)
+                for k in np.flatnonzero(n * 2 * HOT > size).tolist():
+                    gram = tuple(int(c.view(np.int64)[k]) for c in columns)
+                    busy[gram] = busy.get(gram, 0) + int(n[k])
 
         for batch in B.slices(batches):
             p = Pieces(batch)
@@ -205,40 +216,38 @@ class PhraseGraph:
         return self.grams.where(at if k == self.most else at & (F.col(f"w{k + 1}") == END)).select(*_w(k), "f")
 
     def _spelt(self, docs: DataFrame) -> DataFrame:
-        rows = docs.mapInArrow(_words(self.most), "w bigint, lang string, word string, node array<bigint>, n bigint")
-        return rows.groupBy("w", "lang", "word", "node").agg(F.sum("n").alias("n"))
+        rows = docs.mapInArrow(_words(self.most), "w bigint, lang string, word string, gram array<bigint>, n bigint")
+        return rows.groupBy("w", "lang", "word", "gram").agg(F.sum("n").alias("n"))
 
     def _hot(self, spelt: DataFrame) -> list[tuple[int, ...]]:
-        """Under 2*HOT nodes for each task's sum, among them all that start one in HOT words or more.
+        """At most 2*HOT grams of each length, among them all that start at one in HOT words or more.
 
-        A node with that share has half of it or more in tasks where one in 2*HOT words starts it, so what
-        these report adds up to half of that share.
+        Of the occurrences of such a gram at least half are in stretches of text where it starts at one
+        in 2*HOT words, so what is reported of it adds up to one in 2*HOT of all words.
         """
-        busy = spelt.where("node is not null").select("node", "n").orderBy(F.desc("n"), "node").limit(2 * HOT).collect()
-        return [tuple(r["node"]) for r in busy]
+        reports = spelt.where("gram is not null").select("gram", "n")
+        most = (reports.where(F.size("gram") == k).orderBy(F.desc("n"), "gram").limit(2 * HOT).collect() for k in range(1, self.most))
+        return [tuple(r["gram"]) for rows in most for r in rows]
 
     def _grams(self, docs: DataFrame, hot: list[tuple[int, ...]]) -> DataFrame:
         m = self.most
-        ws, node = _w(m), _w(m - 1)
-        zero = F.lit(END).cast("long")
+        ws = _w(m)
         raw = docs.mapInArrow(_edges(m, hot), ", ".join([*(f"{w} bigint" for w in ws), "salt int", "n bigint"]))
-        dealt = raw.repartition(*node, "salt")
-        edges = dealt.groupBy(*node, "salt", f"w{m}").agg(F.sum("n").alias("n"))
-        gram = lambda *columns: F.struct(*(c.alias(w) for c, w in zip(columns, ws, strict=True)))
-        whole = gram(*(F.col(w) for w in ws))
-        start = gram(*(F.col(w) for w in node), zero)
-        # what flows out of a node, summed in the partition that has its edges (or a share of a hot one's)
-        flows = edges.select("salt", "n", F.explode(F.array(F.when((F.col(f"w{m}") != END) & (F.col("n") >= self.least), whole), start)).alias("g")).where("g is not null")
-        flows = flows.select(*(F.col("g")[w].alias(w) for w in ws), "salt", "n").groupBy(*node, "salt", f"w{m}").agg(F.sum("n").alias("n"))
-        # shorter counts: nodes by their first words
-        own = F.when((F.col(f"w{m - 1}") != END) & ((F.col("n") >= self.least) | (F.col("salt") > 0)), whole)
-        if m == 2:
-            own = whole  # nodes are words, and all of them stay
-        at_node = F.col(f"w{m}") == END
-        shorter = [F.when(at_node & (F.col(f"w{k}") != END), gram(*(F.col(w) for w in ws[:k]), *[zero] * (m - k))) for k in range(1, m - 1)]
-        counted = flows.select("n", F.explode(F.array(own, *shorter)).alias("g")).where("g is not null")
-        counted = counted.select(*(F.col("g")[w].alias(w) for w in ws), "n").groupBy(*ws).agg(F.sum("n").alias("f"))
-        return counted.where((F.col("f") >= self.least) | (F.col("w2") == END))
+        # all below is summed in the partition that has a first word's edges, or a share of a hot one's
+        dealt = ["w1", "salt", *ws[1:]]
+        flows = raw.repartition("w1", "salt").groupBy(*dealt).agg(F.sum("n").alias("n"))
+        for k in range(m, 1, -1):
+            # what flows out of a gram of k - 1 words, END included, is what it occurs; of grams of k words
+            # stay those of some weight and shares of hot ones
+            filled = [F.col(w) for w in ws[: k - 1]] + [F.lit(END).cast("long")] * (m - k + 1)
+            size_k = F.lit(True) if k == m else F.col(ws[k]) == END
+            from_k = F.struct(*(c.alias(w) for c, w in zip(filled, ws, strict=True)))
+            same = F.struct(*ws)
+            heavy = (F.col(ws[k - 1]) != END) & ((F.col("n") >= self.least) | (F.col("salt") > 0)) if k < m else (F.col(ws[k - 1]) != END) & (F.col("n") >= self.least)
+            rows = flows.select("salt", "n", F.explode(F.array(F.when(~size_k | heavy, same), F.when(size_k, from_k))).alias("g")).where("g is not null")
+            flows = rows.select(*(F.col("g")[w].alias(w) for w in ws), "salt", "n").groupBy(*dealt).agg(F.sum("n").alias("n"))
+        summed = flows.groupBy(*ws).agg(F.sum("n").alias("f"))
+        return summed.where((F.col("f") >= self.least) | (F.col("w2") == END))
 
     def _paths(self) -> DataFrame:
         m = self.most
