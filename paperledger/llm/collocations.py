@@ -35,6 +35,8 @@ SPELT = 1 << 19
 HOT = 1000
 #: Shares in which a language's candidates are ranked first.
 SHARES = 256
+#: More than the words of the longest phrases.
+DEEP = 16
 #: Nothing follows in this piece.
 END = 0
 
@@ -104,7 +106,8 @@ def _edges(most: int, hot: list[tuple[int, ...]]):
     """w1 .. w_most, salt and n of the edges of a task.
 
     Edges are dealt out by their first word, those whose first word is hot by their first two, and so
-    on; the salt is the hash of the words behind the first by which an edge is dealt out, or 0.
+    on. The salt is 0 for the first, else a hash of the words behind the first by which an edge is dealt
+    out and, modulo DEEP, the number of words by which it is.
     """
     busy = [np.sort(_key([np.array(c, np.int64).view(B.U) for c in zip(*own, strict=True)])) for k in range(1, most) if (own := [h for h in hot if len(h) == k])]
     names = [*(f"w{k + 1}" for k in range(most)), "salt", "n"]
@@ -114,7 +117,7 @@ def _edges(most: int, hot: list[tuple[int, ...]]):
         on = np.arange(len(n))
         for k, keys in enumerate(busy, 1):  # a gram is hot only if all its beginnings are
             on = on[np.isin(_key([c[on] for c in columns[:k]]), keys)]
-            salt[on] = 1 + (_key([c[on] for c in columns[1 : k + 1]]) >> B.U(52)).astype(np.int64)
+            salt[on] = (_key([c[on] for c in columns[1 : k + 1]]) >> B.U(52)).astype(np.int64) * DEEP + k + 1
         return pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in columns), pa.array(salt.astype(np.int32)), pa.array(n)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,8 +202,8 @@ class PhraseGraph:
     """
 
     def __init__(self, docs: DataFrame, most: int = 3, least: int = 10, lang_col: str = "lang", text_col: str = "text") -> None:
-        if most < 2 or least < 1:
-            raise ValueError("phrases have two words or more and occur")
+        if not 2 <= most < DEEP or least < 1:
+            raise ValueError(f"phrases have 2 to {DEEP - 1} words and occur")
         ship_package(docs.sparkSession)
         self.most, self.least = most, least
         docs = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -243,7 +246,7 @@ class PhraseGraph:
             size_k = F.lit(True) if k == m else F.col(ws[k]) == END
             from_k = F.struct(*(c.alias(w) for c, w in zip(filled, ws, strict=True)))
             same = F.struct(*ws)
-            heavy = (F.col(ws[k - 1]) != END) & ((F.col("n") >= self.least) | (F.col("salt") > 0)) if k < m else (F.col(ws[k - 1]) != END) & (F.col("n") >= self.least)
+            heavy = (F.col(ws[k - 1]) != END) & ((F.col("n") >= self.least) | (F.pmod("salt", F.lit(DEEP)) > k))
             rows = flows.select("salt", "n", F.explode(F.array(F.when(~size_k | heavy, same), F.when(size_k, from_k))).alias("g")).where("g is not null")
             flows = rows.select(*(F.col("g")[w].alias(w) for w in ws), "salt", "n").groupBy(*dealt).agg(F.sum("n").alias("n"))
         summed = flows.groupBy(*ws).agg(F.sum("n").alias("f"))
