@@ -241,14 +241,14 @@ class PhraseGraph:
         flows = raw.repartition("w1", "salt").groupBy(*dealt).agg(F.sum("n").alias("n"))
         for k in range(m, 1, -1):
             # what flows out of a gram of k - 1 words, END included, is what it occurs; of grams of k words
-            # stay those of some weight and shares of hot ones
-            filled = [F.col(w) for w in ws[: k - 1]] + [F.lit(END).cast("long")] * (m - k + 1)
-            size_k = F.lit(True) if k == m else F.col(ws[k]) == END
-            from_k = F.struct(*(c.alias(w) for c, w in zip(filled, ws, strict=True)))
-            same = F.struct(*ws)
+            # stay those of some weight and shares of hot ones. The first word and the salt are not part of
+            # what is exploded, so that Spark knows the rows to be dealt out by them still
+            filled = [F.col(w) for w in ws[1 : k - 1]] + [F.lit(END).cast("long")] * (m - k + 1)
+            of_k = F.lit(True) if k == m else F.col(ws[k]) == END
+            from_k = F.struct(*(c.alias(w) for c, w in zip(filled, ws[1:], strict=True)))
             heavy = (F.col(ws[k - 1]) != END) & ((F.col("n") >= self.least) | (F.pmod("salt", F.lit(DEEP)) > k))
-            rows = flows.select("salt", "n", F.explode(F.array(F.when(~size_k | heavy, same), F.when(size_k, from_k))).alias("g")).where("g is not null")
-            flows = rows.select(*(F.col("g")[w].alias(w) for w in ws), "salt", "n").groupBy(*dealt).agg(F.sum("n").alias("n"))
+            rows = flows.select("w1", "salt", "n", F.explode(F.array(F.when(~of_k | heavy, F.struct(*ws[1:])), F.when(of_k, from_k))).alias("g")).where("g is not null")
+            flows = rows.select("w1", *(F.col("g")[w].alias(w) for w in ws[1:]), "salt", "n").groupBy(*dealt).agg(F.sum("n").alias("n"))
         summed = flows.groupBy(*ws).agg(F.sum("n").alias("f"))
         return summed.where((F.col("f") >= self.least) | (F.col("w2") == END))
 
