@@ -359,12 +359,16 @@ def fix_name_column(tables: DataFrame) -> DataFrame:
 
 def clean_table(tables: DataFrame) -> DataFrame:
     """T7. Cells cleaned; empty, numbering and repeated header rows dropped; totals moved out; header rows
-    absorbed; the name's column fixed; equal rows once; empty columns removed; under two columns: none."""
+    absorbed; positions on several lines merged; the name's column fixed; equal rows once; empty columns
+    removed; under two columns: none."""
+    from .positions import merge_multiline_rows
+
     cleaned = lambda rows: F.transform(rows, lambda r: F.transform(r, lambda c: clean_cell(F.coalesce(c, F.lit("")))))
     rows = absorb_header_rows(settle(tables, rows=cleaned(F.col("rows")), totals=cleaned(F.col("totals"))))
     rows = settle(rows, rows=F.filter("rows", lambda r: (filled(r) > 0) & ~is_numbering_row(r) & ~row_equals_header(r, F.col("titles"))))
-    rows = settle(rows, totals=F.concat(F.filter("rows", is_total_row), "totals"), rows=F.array_distinct(F.filter("rows", lambda r: ~is_total_row(r))))
-    rows = take_hidden_totals(fix_name_column(rows))
+    rows = settle(rows, totals=F.concat(F.filter("rows", is_total_row), "totals"), rows=F.filter("rows", lambda r: ~is_total_row(r)))
+    rows = merge_multiline_rows(rows)
+    rows = take_hidden_totals(fix_name_column(settle(rows, rows=F.array_distinct("rows"))))
     used = F.filter(F.sequence(F.lit(0), F.size("titles") - 1), lambda i: F.exists("rows", lambda r: F.coalesce(F.trim(F.get(r, i)), F.lit("")) != ""))
     rows = settle(rows, used=used)
     only = lambda cells: F.transform("used", lambda i: F.get(cells, i))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import money
-from ..operators import tables
+from ..operators import positions, tables
 from .registry import query
 
 TITLES = ("Наименование", "Кол-во", "Ед.", "Цена", "Сумма")
@@ -193,3 +193,71 @@ def w28(lines):
     """Codes stand under the name's caption."""
     rows = _by_document(lines, F.array(F.col("part_id").cast("string"), "name", F.col("qty").cast("string"), money.format_cents(F.col("amount"))))
     return tables.fix_name_column(plain_tables(rows, ("Наименование", "x", "Кол-во", "Сумма"))).select("doc_id", F.array_join("roles", ",").alias("roles"))
+
+
+def _several_lines(lines: DataFrame) -> DataFrame:
+    """Printed rows of each document. By line_no modulo 4: VAT and total one line below; the name begun above
+    and its address in a column for numbers; the name's tail below; all on one line."""
+    vat = F.floor((F.col("amount") * 20 + 50) / 100)
+    net, tax, whole = (money.format_cents(c) for c in (F.col("amount"), vat, F.col("amount") + vat))
+    name, blank = F.initcap("name"), F.lit("")
+    row = lambda *cells: F.array(*cells)
+    full = lambda n: row(n, F.col("qty").cast("string"), money.format_cents(F.col("price")), net, F.lit("20%"), tax, whole)
+    split = row(name, F.col("qty").cast("string"), money.format_cents(F.col("price")), net, F.lit("20%"), blank, blank)
+    kind = F.col("line_no") % 4
+    printed = F.when(kind == 0, F.array(split, row(*[blank] * 5, tax, whole)))
+    printed = printed.when(kind == 1, F.array(row(name, blank, blank, F.lit("ул. Лесная"), blank, blank, blank), full(F.lit("(часть)"))))
+    printed = printed.when(kind == 2, F.array(full(name), row(F.lit("в коробке"), *[blank] * 6))).otherwise(F.array(full(name)))
+    rows = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", printed.alias("r")))).alias("rows"))
+    return plain_tables(rows.select("doc_id", F.flatten(F.transform("rows", lambda r: r["r"])).alias("rows")), ("Наименование", "Кол-во", "Цена", "Стоимость без НДС", "Ставка НДС", "Сумма НДС", "Всего с НДС"))
+
+
+_NAME = "array_to_string(list_transform(string_split(name, ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' ')"
+
+
+@query("w22_merge_multiline_rows", f"""
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS INT) AS line_no,
+        CASE line_no % 4 WHEN 1 THEN {_NAME} || ' (часть) ул. Лесная' WHEN 2 THEN {_NAME} || ' в коробке' ELSE {_NAME} END AS name,
+        qty, amount AS net, (amount * 20 + 50) // 100 AS vat, amount + (amount * 20 + 50) // 100 AS total
+    FROM lines""", "lines")
+def w22(lines):
+    found = tables.lines_from_cells(positions.merge_multiline_rows(_several_lines(lines)))
+    return found.select("doc_id", "line_no", "name", F.col("qty").cast("bigint").alias("qty"), *(money.cents(F.col(a)).alias(b) for a, b in (("amount_no_vat", "net"), ("vat", "vat"), ("amount", "total"))))
+
+
+def _answered(lines: DataFrame) -> DataFrame:
+    """Models' answers whose rows stand in five orders; a third of the rows lack their last cell, and
+    every document ends with a total."""
+    value = lambda c: money.format_cents(F.col(c))
+    q = F.concat(F.col("qty").cast("string"), F.lit(".500"))  # no order but one fits a quantity with a fraction
+    a = money.format_cents(F.floor((2 * F.col("qty") + 1) * F.col("price") / 2))
+    orders = [(q, value("price"), a), (a, q, value("price")), (value("price"), a, q), (q, a, value("price")), (a, value("price"), q)]
+    kind = F.col("line_no") % len(orders)
+    cells = F.coalesce(*(F.when(kind == k, F.array("name", *o)) for k, o in enumerate(orders)))
+    row = F.when(F.col("line_no") % 3 == 0, cells).otherwise(F.concat(cells, F.array(F.lit("шт"))))
+    rows = _by_document(lines, row)
+    whole = F.concat("rows", F.array(F.array(F.lit("Итого"), F.lit(""), F.lit(""), F.lit("1.00"))))
+    columns = F.array(*(F.lit(t) for t in ("Наименование", "Кол-во", "Цена", "Сумма", "Ед.")))
+    return rows.select("doc_id", F.to_json(F.struct(F.struct(columns.alias("columns"), whole.alias("rows")).alias("table"))).alias("answer"))
+
+
+@query("t6_table_from_model", "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS INT) AS line_no, name, CASE WHEN line_no % 3 = 0 THEN '' ELSE 'шт' END AS unit, ((2 * qty + 1) * price) // 2 AS amount, 1 AS n_totals FROM lines", "lines")
+def t6(lines):
+    found = positions.table_from_model(_answered(lines))
+    return tables.lines_from_cells(found).join(found.select("doc_id", F.size("totals").alias("n_totals")), "doc_id").select("doc_id", "line_no", "name", "unit", money.cents(F.col("amount")).alias("amount"), "n_totals")
+
+
+_ROTATED = "list_value(qty * 100, price, amount, 0)[1 + ({} + line_no) % 4]"
+
+
+@query("t9_repair_row_order", f"""
+    SELECT doc_id, line_no, CASE WHEN fits THEN amount ELSE {_ROTATED.format(2)} END AS amount, CASE WHEN fits THEN 0 ELSE {_ROTATED.format(3)} END AS rate
+    FROM (SELECT *, abs(qty * price - amount) <= greatest(2, qty * price * 0.01) AS fits FROM lines) l""", "lines")
+def t9(lines):
+    """Quantity, price, amount and rate in four rotations; rows whose product is another stay as they are."""
+    cells = [F.col("qty").cast("string"), money.format_cents(F.col("price")), money.format_cents(F.col("amount")), F.lit("0%")]
+    kind = F.col("line_no") % 4
+    row = F.coalesce(*(F.when(kind == k, F.array(F.col("line_no").cast("string"), *cells[k:], *cells[:k])) for k in range(4)))
+    done = positions.repair_row_order(plain_tables(_by_document(lines, row), ("№", "Кол-во", "Цена", "Сумма", "Ставка НДС")))
+    r = done.select("doc_id", F.explode("rows").alias("r"))
+    return r.select("doc_id", F.get("r", F.lit(0)).cast("bigint").alias("line_no"), *(money.cents(F.regexp_replace(F.get("r", F.lit(k)), "%", "")).alias(n) for k, n in ((3, "amount"), (4, "rate"))))
