@@ -4,7 +4,10 @@ x0, y0, x1, y1. A page has some hundred words, so work by page is small groups a
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,52 +42,94 @@ def _typed(words: DataFrame) -> DataFrame:
     return words.select(F.col("doc_id").cast("bigint"), F.col("page_no").cast("int"), F.col("seq").cast("bigint"), "text", *(F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")))
 
 
-def _by_top(page: pd.DataFrame) -> pd.DataFrame:
-    page = page.sort_values(["y0", "x0", "seq"])
-    heights = sorted(page["y1"] - page["y0"])
-    limit = 0.6 * heights[len(heights) // 2]
+def _by_top(y0: list[float], y1: list[float]) -> list[int]:
+    limit = 0.6 * sorted(b - a for a, b in zip(y0, y1, strict=True))[len(y0) // 2]
     rows, top, n = [], None, -1
-    for y in page["y0"]:
+    for y in y0:
         if top is None or abs(y - top) >= limit:
             n, top = n + 1, y
         rows.append(n)
-    return page.assign(row_no=pd.Series(rows, index=page.index, dtype="int32"))
+    return rows
+
+
+def _by_overlap(y0: list[float], y1: list[float]) -> list[int]:
+    """Words come from top to bottom, so a row that ends above one can't take it or a later one, and rows
+    open from top to bottom."""
+    numbers, n = [], 0
+    near: list[list[float]] = []  # number, top, bottom
+    for a, b in zip(y0, y1, strict=True):
+        near = [r for r in near if r[2] > a]
+        row = next((r for r in near if min(r[2], b) - a > 0.35 * max(r[2] - r[1], 1)), None)
+        if row is None:
+            row, n = [n, a, b], n + 1
+            near.append(row)
+        row[2] = max(row[2], b)
+        numbers.append(int(row[0]))
+    return numbers
+
+
+def by_page(words: DataFrame, number, shape: str, columns: tuple[str, ...], name: str) -> DataFrame:
+    """``words`` with an int column ``name``, which ``number`` gives for a page's lists of ``columns``.
+
+    Pages are dealt out once and sorted; a task takes them from batch to batch, many to a batch.
+    """
+    ship_package(words.sparkSession)
+    at = words.columns.index("page_no")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done(rows: pa.Table) -> pa.RecordBatch:
+            out: list[int] = []
+            doc, page = rows.column("doc_id").to_numpy(), rows.column(at).to_numpy()
+            starts = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (page[1:] != page[:-1]))))
+            values = [rows.column(c).to_pylist() for c in columns]
+            for a, b in zip(starts, np.append(starts[1:], len(doc)), strict=True):
+                out += number(*(v[a:b] for v in values))
+            return rows.append_column(name, pa.array(out, pa.int32())).combine_chunks().to_batches()[0]
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            doc, page = batch.column("doc_id").to_numpy(), batch.column(at).to_numpy()
+            same = np.flatnonzero((doc != doc[-1]) | (page != page[-1]))
+            last = int(same[-1]) + 1 if len(same) else 0  # where the batch's last page begins
+            if held and (doc[0], page[0]) != (held[0].column("doc_id")[0].as_py(), held[0].column(at)[0].as_py()):
+                yield done(pa.Table.from_batches(held))
+                held = []
+            if last:
+                yield done(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield done(pa.Table.from_batches(held))
+
+    return words.repartition(*PAGE).sortWithinPartitions(*PAGE, "y0", "x0", "seq").mapInArrow(run, shape)
 
 
 def rows_by_top(words: DataFrame) -> DataFrame:
     """W3. Adds row_no: a new row where a word's top is 0.6 median heights or more from the row's first."""
-    ship_package(words.sparkSession)
-    return _typed(words).groupBy(*PAGE).applyInPandas(_by_top, ROWS)
-
-
-def _by_overlap(page: pd.DataFrame) -> pd.DataFrame:
-    page = page.sort_values(["y0", "x0", "seq"])
-    open_rows: list[list[float]] = []
-    near: list[int] = []  # rows that end below the present word's top: no other can overlap it or a later one
-    numbers = []
-    for a, b in zip(page["y0"], page["y1"], strict=True):
-        best, most = -1, 0.35
-        near = [k for k in near if open_rows[k][1] > a]
-        for k in reversed(near):
-            top, bottom = open_rows[k]
-            share = (min(b, bottom) - max(a, top)) / max(1e-9, min(b - a, bottom - top))
-            if share > most:
-                best, most = k, share
-        if best < 0:
-            open_rows.append([a, b])
-            best = len(open_rows) - 1
-            near.append(best)
-        else:
-            open_rows[best] = [min(a, open_rows[best][0]), max(b, open_rows[best][1])]
-        numbers.append(best)
-    order = {k: n for n, k in enumerate(sorted(range(len(open_rows)), key=lambda k: (open_rows[k][0], k)))}
-    return page.assign(row_no=pd.Series([order[k] for k in numbers], index=page.index, dtype="int32"))
+    return by_page(_typed(words), _by_top, ROWS, ("y0", "y1"), "row_no")
 
 
 def group_words_into_rows(words: DataFrame) -> DataFrame:
-    """W2. Adds row_no: words join the row that they overlap most, by more than 0.35 of the height."""
-    ship_package(words.sparkSession)
-    return _typed(words).groupBy(*PAGE).applyInPandas(_by_overlap, ROWS)
+    """W2. Adds row_no, from top to bottom. A word, from top to bottom, joins the first row that it overlaps by
+    more than 0.35 of the row's present height (1 at least); the row grows to its bottom."""
+    return by_page(_typed(words), _by_overlap, ROWS, ("y0", "y1"), "row_no")
+
+
+def rows_density(rows: DataFrame) -> DataFrame:
+    """A19. doc_id, page_no, density: words of a row in the mean, of rows with two words or more; 0 without such rows."""
+    sizes = rows.groupBy(*PAGE, "row_no").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.groupBy(*PAGE).agg(F.coalesce(F.avg(F.when(F.col("n") > 1, F.col("n"))), F.lit(0.0)).alias("density"))
+
+
+def straight_rows(words: DataFrame) -> DataFrame:
+    """W2 on the words as they are, or straightened where rows are denser by two percent then (A19)."""
+    plain, fixed = group_words_into_rows(words), group_words_into_rows(deskew(words))
+    denser = rows_density(plain).withColumnRenamed("density", "d").join(rows_density(fixed), list(PAGE)).select(*PAGE, (F.col("density") > F.col("d") * 1.02).alias("fix"))
+    marked = lambda rows, wanted: rows.join(denser.where(F.col("fix") == wanted).drop("fix"), list(PAGE), "left_semi")
+    return marked(plain, False).unionByName(marked(fixed, True))
 
 
 def layout_text(rows: DataFrame, gap_factor: float = 2.5) -> DataFrame:
@@ -102,9 +147,11 @@ def layout_text(rows: DataFrame, gap_factor: float = 2.5) -> DataFrame:
 
 def column_bands(words: DataFrame) -> DataFrame:
     """W6. doc_id, page_no, band, lo, hi: x-intervals of the words merged over gaps up to 1.5 characters
-    (4 at least); borders in the middle of gaps, one character beyond at the ends."""
+    (4 at least); borders in the middle of gaps, one character beyond at the ends. Pages of fewer than
+    four boxes have none."""
     metrics = page_metrics(words).select(*PAGE, "char_width")
     order = Window.partitionBy(*PAGE).orderBy("x0", "x1", "seq")
+    words = words.withColumn("boxes", F.count(F.lit(1)).over(Window.partitionBy(*PAGE))).where("boxes >= 4")
     before = F.max("x1").over(order.rowsBetween(Window.unboundedPreceding, -1))
     limit = F.greatest(F.col("char_width") * 1.5, F.lit(4.0))
     marked = words.join(metrics, list(PAGE)).withColumn("new", F.when(F.col("x0") - before > limit, 1).otherwise(0))
@@ -135,24 +182,37 @@ def words_in_boxes(words: DataFrame, boxes: DataFrame) -> DataFrame:
     return hits.groupBy(*PAGE, "box").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y0", "x0", "seq", "text"))), lambda x: x["text"]), " ").alias("text"))
 
 
-def word_slope_pairs(words: DataFrame, band: int = 320) -> DataFrame:
-    """J17. doc_id, page_no, band_no, slope of pairs of words in a band of the page whose centres are 150
-    to 2000 apart across and 1.2 heights at most down. Bands overlap by half, and a pair counts in the
-    band of its first word's half."""
-    half = band // 2
-    w = words.select(*PAGE, "seq", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"), (F.col("y1") - F.col("y0")).alias("h")).withColumn("half", F.floor(F.col("cy") / half).cast("int"))
-    other = w.select(*PAGE, F.explode(F.array(F.col("half") - 1, "half", F.col("half") + 1)).alias("half"), F.col("cx").alias("ox"), F.col("cy").alias("oy"))
-    dx, dy = F.col("ox") - F.col("cx"), F.col("oy") - F.col("cy")
-    return w.join(other, [*PAGE, "half"]).where(dx.between(150, 2000) & (F.abs(dy) <= 1.2 * F.col("h"))).select(*PAGE, F.col("half").alias("band_no"), (dy / dx).alias("slope"))
+#: Height of a band in which one slope holds; words half as far above or below count for it too.
+SLOPE_BAND = 160
+
+
+def _from_top(words: DataFrame) -> DataFrame:
+    """Adds down: how far a word's top lies below the page's."""
+    return words.withColumn("down", F.col("y0") - F.min("y0").over(Window.partitionBy(*PAGE)))
+
+
+def word_slope_pairs(words: DataFrame, band: int = SLOPE_BAND) -> DataFrame:
+    """J17. doc_id, page_no, band_no, slope of pairs of words, the second later in the engine's order, whose
+    upper left corners are 150 to 2000 apart across and 1.2 heights of the first at most down. A page's
+    bands are counted from its top; both words lie in the band or half a band beside it, so a pair can
+    count in several."""
+    w = _from_top(words).where("y1 > y0").select(*PAGE, "seq", "x0", "y0", (F.col("y1") - F.col("y0")).alias("h"), "down")
+    w = w.withColumn("last", F.floor(F.max("down").over(Window.partitionBy(*PAGE)) / band))
+    first_in, last_in = F.greatest(F.ceil(F.col("down") / band - 1.5), F.lit(0)), F.least(F.floor(F.col("down") / band + 0.5), F.col("last"))
+    w = w.withColumn("band_no", F.explode(F.sequence(first_in.cast("int"), last_in.cast("int"))))
+    other = w.select(*PAGE, "band_no", F.col("seq").alias("later"), F.col("x0").alias("ox"), F.col("y0").alias("oy"))
+    dx, dy = F.col("ox") - F.col("x0"), F.col("oy") - F.col("y0")
+    return w.join(other, [*PAGE, "band_no"]).where((F.col("later") > F.col("seq")) & dx.between(150, 2000) & (F.abs(dy) <= 1.2 * F.col("h"))).select(*PAGE, "band_no", (dy / dx).alias("slope"))
 
 
 def deskew(words: DataFrame) -> DataFrame:
-    """W12. Straightened words: per band the median slope of 12 pairs or more, used from 0.020 to 0.05."""
+    """W12. Straightened words: per band (J17) the upper median of 12 slopes or more, used from 0.020 to 0.05,
+    for the words whose top lies in the band itself."""
     slopes = word_slope_pairs(words).groupBy(*PAGE, "band_no").agg(F.count(F.lit(1)).alias("n"), upper_median(F.collect_list("slope")).alias("k"))
     used = slopes.where("n >= 12 and abs(k) between 0.020 and 0.05").select(*PAGE, "band_no", "k")
-    rows = words.withColumn("band_no", F.floor((F.col("y0") + F.col("y1")) / 2 / 160).cast("int")).join(used, [*PAGE, "band_no"], "left")
+    rows = _from_top(words).withColumn("band_no", F.floor(F.col("down") / SLOPE_BAND).cast("int")).join(used, [*PAGE, "band_no"], "left")
     shift = F.coalesce(F.col("k") * F.col("x0"), F.lit(0.0))
-    return rows.withColumn("y0", F.col("y0") - shift).withColumn("y1", F.col("y1") - shift).drop("band_no", "k")
+    return rows.withColumn("y0", F.col("y0") - shift).withColumn("y1", F.col("y1") - shift).drop("band_no", "k", "down")
 
 
 def duplicate_rows(cells: DataFrame) -> DataFrame:

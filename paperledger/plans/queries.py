@@ -518,14 +518,28 @@ def a18(words):
     return geometry.page_metrics(words).select("doc_id", "height", "char_width")
 
 
-@query("w12_deskew", "SELECT doc_id, CAST(count(*) AS BIGINT) AS n FROM words GROUP BY 1", "words")
+_SKEW = "SELECT doc_id, seq, x0, y0 + x0 * 0.03 AS y0, y1 - y0 AS h, y0 + x0 * 0.03 - min(y0 + x0 * 0.03) OVER (PARTITION BY doc_id) AS down FROM words"
+_PAIRS = """
+    SELECT a.doc_id, a.b AS band_no, (c.y0 - a.y0) / (c.x0 - a.x0) AS slope
+    FROM (SELECT *, unnest(range(greatest(0, ceil(down / 160 - 1.5))::BIGINT, least(floor(down / 160 + 0.5), bottom)::BIGINT + 1)) AS b FROM (SELECT *, floor(max(down) OVER (PARTITION BY doc_id) / 160) AS bottom FROM w) t) a
+    JOIN (SELECT *, unnest(range(greatest(0, ceil(down / 160 - 1.5))::BIGINT, least(floor(down / 160 + 0.5), bottom)::BIGINT + 1)) AS b FROM (SELECT *, floor(max(down) OVER (PARTITION BY doc_id) / 160) AS bottom FROM w) t) c
+    ON c.doc_id = a.doc_id AND c.b = a.b AND c.seq > a.seq AND c.x0 - a.x0 BETWEEN 150 AND 2000 AND abs(c.y0 - a.y0) <= 1.2 * a.h"""
+
+
+def _skewed(words: DataFrame) -> DataFrame:
+    return words.withColumn("y0", F.col("y0") + F.col("x0") * 0.03).withColumn("y1", F.col("y1") + F.col("x0") * 0.03)
+
+
+@query("w12_deskew", f"""
+    SELECT * FROM (WITH w AS ({_SKEW}), k AS (SELECT doc_id, band_no, count(*) AS n, list_sort(list(slope))[count(*) // 2 + 1] AS k FROM ({_PAIRS}) p GROUP BY 1, 2)
+    SELECT w.doc_id, seq, round(y0 - coalesce(k, 0) * x0, 4) AS y0 FROM w LEFT JOIN k ON k.doc_id = w.doc_id AND band_no = floor(down / 160) AND n >= 12 AND abs(k) BETWEEN 0.020 AND 0.05) x""", "words")
 def w12(words):
-    return geometry.deskew(words.withColumn("y0", F.col("y0") + F.col("x0") * 0.03).withColumn("y1", F.col("y1") + F.col("x0") * 0.03)).groupBy("doc_id").agg(F.count(F.when(F.col("y1") > F.col("y0"), 1)).alias("n"))
+    return geometry.deskew(_skewed(words)).select("doc_id", "seq", F.round("y0", 4).alias("y0"))
 
 
-@query("j17_slope_pairs", "SELECT a.doc_id, CAST(count(*) AS BIGINT) AS n FROM words a JOIN words b ON b.doc_id = a.doc_id AND (b.x0 + b.x1 - a.x0 - a.x1) / 2 BETWEEN 150 AND 2000 AND abs(b.y0 - a.y0) <= 24 GROUP BY 1", "words")
+@query("j17_slope_pairs", f"SELECT * FROM (WITH w AS ({_SKEW}) SELECT doc_id, CAST(band_no AS INT) AS band_no, count(*) AS n, round(sum(slope), 6) AS slopes FROM ({_PAIRS}) p GROUP BY 1, 2) x", "words")
 def j17(words):
-    return geometry.word_slope_pairs(words).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return geometry.word_slope_pairs(_skewed(words)).groupBy("doc_id", "band_no").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("slope"), 6).alias("slopes"))
 
 
 _CELLS = "SELECT doc_id, seq // 10 AS row_no, max(CASE WHEN seq % 10 = 0 THEN text END) AS a, max(CASE WHEN seq % 10 = 1 THEN text END) AS b FROM words WHERE seq % 10 < 2 GROUP BY 1, 2"

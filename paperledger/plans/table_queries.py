@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import money
-from ..operators import positions, tables
+from ..operators import columns, positions, tables
 from .registry import query
 
 TITLES = ("Наименование", "Кол-во", "Ед.", "Цена", "Сумма")
@@ -261,3 +261,52 @@ def t9(lines):
     done = positions.repair_row_order(plain_tables(_by_document(lines, row), ("№", "Кол-во", "Цена", "Сумма", "Ставка НДС")))
     r = done.select("doc_id", F.explode("rows").alias("r"))
     return r.select("doc_id", F.get("r", F.lit(0)).cast("bigint").alias("line_no"), *(money.cents(F.regexp_replace(F.get("r", F.lit(k)), "%", "")).alias(n) for k, n in ((3, "amount"), (4, "rate"))))
+
+
+COLUMN_X = {"name": 40, "qty": 400, "price": 520, "amount": 680}
+
+
+def _printed_words(lines: DataFrame, totals: DataFrame) -> DataFrame:
+    """Pages as word boxes: a text, captions, the lines, a total, a signature. Odd documents are skewed, and
+    their rows are as high as the skew across a page."""
+    word = lambda text, x, y: F.struct(text.alias("text"), x.cast("double").alias("x0"), y.cast("double").alias("y"))
+    y = 100 + 40 * F.col("line_no")
+    names = F.split("name", " ")
+    first = F.get(names, F.lit(0))
+    cells = [word(first, F.lit(40), y), word(F.get(names, F.lit(1)), 48 + 8 * F.length(first), y)]
+    cells += [word(v, F.lit(COLUMN_X[c]), y) for c, v in (("qty", F.col("qty").cast("string")), ("price", money.format_cents(F.col("price"))), ("amount", money.format_cents(F.col("amount"))))]
+    body = lines.groupBy("doc_id").agg(F.flatten(F.collect_list(F.array(*cells))).alias("w"), F.max("line_no").alias("n"))
+    fixed = [(t, x, 20) for t, x in (("Накладная", 40), ("за", 300), ("день", 500))] + [(t, x, 90) for t, x in zip(("Наименование", "Кол-во", "Цена", "Сумма"), COLUMN_X.values(), strict=True)]
+    head = F.array(*(word(F.lit(t), F.lit(x), F.lit(v)) for t, x, v in fixed))
+    tail = F.array(word(F.lit("Итого"), F.lit(40), 150 + 40 * F.col("n")), word(money.format_cents(F.col("total")), F.lit(680), 150 + 40 * F.col("n")), word(F.lit("Директор"), F.lit(40), 220 + 40 * F.col("n")))
+    words = body.join(totals, "doc_id").select("doc_id", F.posexplode(F.concat(head, "w", tail)).alias("seq", "w")).where("w.text is not null")
+    down = F.when(F.col("doc_id") % 2 == 1, F.col("w.x0") * 0.025).otherwise(0.0)
+    words = words.select("doc_id", F.lit(1).alias("page_no"), F.col("seq").cast("bigint").alias("seq"), "w.text", "w.x0", (F.col("w.y") + down).alias("y0"))
+    return words.select("doc_id", "page_no", "seq", "text", "x0", "y0", (F.col("x0") + 8 * F.length("text")).alias("x1"), (F.col("y0") + 24).alias("y1"))
+
+
+@query("t4_table_from_words", "SELECT doc_id, name, qty, price, amount FROM (SELECT DISTINCT doc_id, name, qty, price, amount FROM lines) x", "lines", "totals")
+def t4(lines, totals):
+    found = columns.table_from_words(_printed_words(lines, totals))
+    return _read(tables.lines_from_cells(found)).select("doc_id", "name", "qty", "price", "amount")
+
+
+@query("w8_find_table_band", "SELECT doc_id, CAST(0 AS INT) AS head, CAST(2 AS INT) AS first, CAST(count(*) + 2 AS INT) AS last FROM lines GROUP BY 1", "lines", "totals")
+def w8(lines, totals):
+    """The text right above the captions is taken for their first line: it has no sum, and the higher beginning wins."""
+    from ..operators import geometry
+
+    rows = columns.page_rows(geometry.straight_rows(_printed_words(lines, totals)))
+    return columns.find_table_band(rows).select("doc_id", *(F.col(c).cast("int").alias(c) for c in ("head", "first", "last")))
+
+
+@query("j14_split_across_bands", "SELECT doc_id, line_no, name, CAST(qty AS VARCHAR) AS qty, CAST(amount AS VARCHAR) AS amount FROM lines", "lines")
+def j14(lines):
+    """Name, quantity and amount of a line as one box, read back into three columns. Boxes of letters equally wide."""
+    text = F.concat_ws(" ", "name", F.col("qty").cast("string"), F.col("amount").cast("string"))
+    token = lines.select("doc_id", F.lit(1).alias("page_no"), F.col("line_no").alias("seq"), text.alias("text"), F.lit(0.0).alias("x0"), (10.0 * F.length(text)).alias("x1"), (10.0 * F.length("name") + 5).alias("a"), (10.0 * (F.length("name") + F.length(F.col("qty").cast("string"))) + 15).alias("b"))
+    edge = lambda lo, hi: F.struct(lo.cast("double").alias("lo"), hi.cast("double").alias("hi"))
+    pages = token.select((F.col("doc_id") * 100 + F.col("seq")).alias("doc_id"), "page_no", F.col("doc_id").alias("own"), "seq", "text", "x0", "x1", F.array(edge(F.lit(-1), F.col("a")), edge(F.col("a"), F.col("b")), edge(F.col("b"), F.col("x1") + 1)).alias("bands"))
+    cut = columns.split_across_bands(pages.drop("bands"), pages.select("doc_id", "page_no", "bands"))
+    at = lambda k: F.max(F.when(F.col("band") == k, F.col("text")))
+    return cut.groupBy("own", "seq").agg(at(0).alias("name"), at(1).alias("qty"), at(2).alias("amount")).select(F.col("own").alias("doc_id"), F.col("seq").alias("line_no"), "name", "qty", "amount")

@@ -11,20 +11,17 @@ SHAPE = "doc_id bigint, page_no int, seq bigint, text string, x0 double, y0 doub
 
 
 def straightened(words):
-    """y0 and y1 of each word after deskewing, by all pairs of words of a page."""
-    centre = lambda w: ((w[4] + w[6]) / 2, (w[5] + w[7]) / 2)
-    slopes = {}
-    for w in words:
-        (cx, cy), h = centre(w), w[7] - w[5]
-        for o in words:
-            (ox, oy) = centre(o)
-            if o[:2] == w[:2] and 150 <= ox - cx <= 2000 and abs(oy - cy) <= 1.2 * h and abs(math.floor(cy / 160) - math.floor(oy / 160)) <= 1:
-                slopes.setdefault((*w[:2], math.floor(cy / 160)), []).append((oy - cy) / (ox - cx))
+    """y0 and y1 of each word after deskewing, by all pairs of words of a band and half a band beside it."""
     out = {}
-    for w in words:
-        s = sorted(slopes.get((*w[:2], math.floor(centre(w)[1] / 160)), []))
-        k = s[len(s) // 2] if len(s) >= 12 and 0.020 <= abs(s[len(s) // 2]) <= 0.05 else 0.0
-        out[w[0], w[2]] = (pytest.approx(w[5] - k * w[4], abs=1e-6), pytest.approx(w[7] - k * w[4], abs=1e-6))
+    for page in {w[:2] for w in words}:
+        own = sorted((w for w in words if w[:2] == page), key=lambda w: w[2])
+        top = min(w[5] for w in own)
+        for w in own:
+            lo = top + 160 * math.floor((w[5] - top) / 160)
+            near = [x for x in own if lo - 80 <= x[5] <= lo + 240]
+            s = sorted((o[5] - x[5]) / (o[4] - x[4]) for i, x in enumerate(near) for o in near[i + 1 :] if 150 <= o[4] - x[4] <= 2000 and abs(o[5] - x[5]) <= 1.2 * (x[7] - x[5]))
+            k = s[len(s) // 2] if len(s) >= 12 and 0.020 <= abs(s[len(s) // 2]) <= 0.05 else 0.0
+            out[w[0], w[2]] = (pytest.approx(w[5] - k * w[4], abs=1e-6), pytest.approx(w[7] - k * w[4], abs=1e-6))
     return out
 
 
