@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import let
+from .text import behind, let, lines_of
 
 MONEY = r"^[+-]?[0-9]+([.,][0-9]{1,2})?$"
 NUMERIC_CELL = "^-?[0-9]{1,3}(?:[  ]?[0-9]{3})*(?:[.,][0-9]{1,6})?\\s*%?$"
@@ -40,11 +40,20 @@ def tidy_number(c: Column) -> Column:
     return F.concat(F.when(s.rlike("[.,]"), F.concat(F.translate(head, ".,", ""), F.lit("."), tail)).otherwise(s), percent)
 
 
+def is_numeric_cell(c: Column) -> Column:
+    """A number or percentage: digits, those behind a blank in threes, and up to six decimals."""
+    bare = F.regexp_replace(F.rtrim(F.regexp_replace(c, "%$", "")), "^-", "")
+    parts = F.split(F.translate(bare, ",\u00a0", ". "), "[.]", -1)
+    whole = lambda g, k: g.rlike("^[0-9]+$") & ((k == 0) | (F.length(g) % 3 == 0))
+    groups = lambda p: F.forall(F.transform(F.split(F.get(p, F.lit(0)), " ", -1), whole), lambda x: x)
+    return let(parts, lambda p: (F.size(p) <= 2) & groups(p) & F.coalesce(F.get(p, F.lit(1)).rlike("^[0-9]+$") & (F.length(F.get(p, F.lit(1))) <= 6), F.lit(True)))
+
+
 def repair_numeric_cell(c: Column) -> Column:
     """Letters taken for digits are put right only if the cell is a number then."""
     t = F.trim(c)
     fixed = F.translate(t, "".join(OCR_DIGITS), "".join(OCR_DIGITS.values()))
-    return F.when(t.rlike(NUMERIC_CELL), tidy_number(t)).when(t.rlike("[0-9]") & fixed.rlike(NUMERIC_CELL), tidy_number(fixed)).otherwise(t)
+    return F.when(is_numeric_cell(t), tidy_number(t)).when(t.rlike("[0-9]") & is_numeric_cell(fixed), tidy_number(fixed)).otherwise(t)
 
 
 def clean_cell(c: Column) -> Column:
@@ -110,21 +119,25 @@ def _map(values: dict) -> Column:
 def _number(words: Column) -> Column:
     """A number from an array of lower-case words; null when one is unknown or no numeral is there.
 
-    Read from the end: each numeral waits for the scale word before which it stands, so a stretch is
-    closed as soon as the next scale word to the left opens another. A scale word alone is one of it.
+    Numerals add up to a triad: hundreds, then tens or a teen, then units. A scale word multiplies the triad
+    before it (one, if there is none). Scales fall from left to right, and so do the numerals of a triad;
+    words in another order are no number.
     """
     units, scales = _map(UNITS), _map(SCALES)
     said = F.filter(words, lambda w: (w != "") & ~w.isin(*SKIPPED))
-    known = F.forall(said, lambda w: w.isin(*UNITS, *SCALES))
-    state = lambda done, scale, sum_: F.struct(done.cast("bigint").alias("done"), scale.cast("bigint").alias("scale"), sum_.cast("bigint").alias("sum"))
-    closed = lambda s: s["done"] + F.when(s["scale"] == 1, s["sum"]).otherwise(F.greatest(s["sum"], F.lit(1)) * s["scale"])
+    state = lambda total, triad, below, scale: F.struct(total.cast("bigint").alias("total"), triad.cast("bigint").alias("triad"), below.cast("bigint").alias("below"), scale.cast("bigint").alias("scale"))
 
     def step(s: Column, w: Column) -> Column:
-        scale = F.try_element_at(scales, w)
-        return F.when(scale.isNotNull(), state(closed(s), scale, F.lit(0))).otherwise(state(s["done"], s["scale"], s["sum"] + F.try_element_at(units, w)))
+        n, scale = F.try_element_at(units, w), F.try_element_at(scales, w)
+        # what the next numeral of the triad must be less than; a teen takes the places of tens and units
+        room = F.when(n >= 100, 100).when(n >= 20, 10).otherwise(1)
+        needs = F.when(n.between(10, 19), 100).otherwise(room * 10)
+        numeral = F.when(n.isNotNull() & (needs <= s["below"]), state(s["total"], s["triad"] + n, room, s["scale"]))
+        closed = F.when(scale < s["scale"], state(s["total"] + F.when(s["below"] == 1000, 1).otherwise(s["triad"]) * scale, F.lit(0), F.lit(1000), scale))
+        return F.coalesce(numeral, closed)
 
-    value = F.aggregate(F.reverse(said), state(F.lit(0), F.lit(1), F.lit(0)), step, closed)
-    return F.when((F.size(said) > 0) & known, value)
+    whole = F.aggregate(said, state(F.lit(0), F.lit(0), F.lit(1000), F.lit(10**12)), step)
+    return F.when(F.size(said) > 0, whole["total"] + whole["triad"])
 
 
 def words_to_int(c: Column) -> Column:
@@ -132,49 +145,40 @@ def words_to_int(c: Column) -> Column:
     return _number(F.transform(F.split(F.lower(c), r"[\s-]+"), lambda w: F.regexp_replace(w, "^[.,:;()]+|[.,:;()]+$", "")))
 
 
-#: Words of roubles and of kopecks that are read at most.
-ROUBLE_WORDS, KOPECK_WORDS = 10, 2
-
-
 def money_from_words(c: Column) -> Column:
     """Cents of the first sum written out in roubles and kopecks; null if there is none.
 
-    The text becomes an array of words, where anything but letters, digits, blanks and hyphens is a
-    word of its own. The sum is the words before the first rouble word that a kopeck word follows, back
-    to the nearest word that isn't letters or belongs to a sum before; kopecks are words or one or two digits.
+    A sum is said in one stretch of words, digits, blanks and commas: all its words up to "рубл..", behind
+    the kopecks of a sum before, are a number, and those from there to the next "коп.." are one below a
+    hundred, in words or digits. Other marks, and words in digits before the roubles, end a stretch.
     """
     low = F.regexp_replace(F.lower(c), r"(?<![а-яё])(рубл|коп)\S*", " $1 ")
-    words = F.filter(F.split(F.regexp_replace(low, r"[^а-яё0-9\s-]", " | "), r"[\s-]+"), lambda w: w != "")
+    stretches = F.split(F.regexp_replace(low, r"[^а-яё0-9,\s-]|\n", "|"), "[|]")
 
-    def amount(ws: Column) -> Column:
-        ends = F.sequence(F.lit(2), F.lit(KOPECK_WORDS + 1))
-        gap = lambda i: F.coalesce(F.get(F.filter(ends, lambda k: F.get(ws, i + k) == "коп"), F.lit(0)), F.lit(0))
-        found = F.filter(F.transform(ws, lambda w, i: F.struct(i.alias("at"), F.when(w == "рубл", gap(i)).otherwise(0).alias("gap"))), lambda s: s["gap"] > 0)
-        return let(F.get(found, F.lit(0)), lambda s: parts(ws, s["at"], s["gap"]))
+    def sums(stretch: Column) -> Column:
+        """Of each part that ends with kopecks its cents."""
+        return F.transform(F.filter(F.split(stretch, "коп"), lambda p: p.contains("рубл")), lambda p: cents_of(F.split(p, "рубл")))
 
-    def parts(ws: Column, at: Column, gap: Column) -> Column:
-        before = F.slice(ws, F.greatest(at - ROUBLE_WORDS, F.lit(0)) + 1, F.least(at, F.lit(ROUBLE_WORDS)))
-        breaks = F.transform(before, lambda w, i: F.when(w.isin("рубл", "коп") | ~w.rlike("^[а-яё]+$"), i + 1).otherwise(0))
-        whole = let(F.coalesce(F.array_max(breaks), F.lit(0)), lambda k: _number(F.slice(before, k + 1, F.size(before))))
-        rest = F.slice(ws, at + 2, gap - 1)
-        kopecks = F.when(F.get(rest, F.lit(0)).rlike("^[0-9]{1,2}$") & (gap == 2), F.get(rest, F.lit(0)).try_cast("bigint")).otherwise(_number(rest))
-        return F.when(at.isNotNull() & (kopecks < 100), whole * 100 + kopecks)
+    def cents_of(halves: Column) -> Column:
+        said = lambda h: F.filter(F.split(F.translate(h, ",-", "  "), r"\s+"), lambda w: w != "")
+        whole, part = F.get(halves, F.size(halves) - 2), said(F.get(halves, F.size(halves) - 1))
+        whole = said(F.regexp_replace(F.regexp_replace(whole, "^.*[0-9]", ""), "^.*,", ""))
+        kopecks = F.coalesce(F.when(F.size(part) == 1, F.get(part, F.lit(0)).try_cast("bigint")), _number(part))
+        return let(F.struct(_number(whole).alias("r"), kopecks.alias("k")), lambda x: F.when(x["k"] < 100, x["r"] * 100 + x["k"]))
 
-    return F.when(c.rlike("(?iu)рубл"), let(words, amount))
+    # a part that kopecks don't follow is the last of its stretch
+    ended = F.filter(F.transform(stretches, lambda s: F.when(s.contains("коп"), F.regexp_replace(s, "(.*коп).*", "$1"))), lambda s: s.isNotNull())
+    return F.when(c.rlike("(?iu)рубл"), F.get(F.flatten(F.transform(ended, sums)), F.lit(0)))
 
 
 #: Captions of VAT sums.
 VAT_CAPTIONS = ("в том числе ндс", "в т.ч. ндс", "в т.ч ндс", "в тч ндс", "сумма ндс")
 
 
-def caption_pattern(captions: tuple[str, ...]) -> str:
-    """A pattern of any of the captions, with blanks as wide as they are printed."""
-    return "(?:" + "|".join(c.replace(".", r"\.\s*").replace(" ", r"\s*") for c in sorted(captions, key=len, reverse=True)) + ")"
-
-
 def vat_from_words(c: Column) -> Column:
-    """Cents of VAT written out in words after its caption; null if there is none."""
-    return money_from_words(F.regexp_extract(c, rf"(?iu){caption_pattern(VAT_CAPTIONS)}\s*[:-]?\s*([а-яё\s-]+?рубл[^\n]{{0,60}})", 1))
+    """Cents of VAT written out in words behind its caption on its line; null if there is none."""
+    said = F.transform(lines_of(c), lambda line: money_from_words(behind(line, VAT_CAPTIONS)))
+    return F.get(F.filter(said, lambda x: x.isNotNull()), F.lit(0))
 
 
 #: Months in the genitive.

@@ -142,3 +142,23 @@ def doc_number_norm(c: Column) -> Column:
 def looks_like_account_number(c: Column) -> Column:
     """A bank account (two letters, two digits, four letters, more) or its label."""
     return c.rlike(r"[A-Z]{2}[0-9]{2}\s?[A-Z]{4}\s?[0-9]{4}") | c.rlike(r"(?iu)(р\s*/\s*с|расч[её]тн|iban|bic|бик)")
+
+
+NUMBER_SIGN = "№"
+
+
+def even(text: Column) -> Column:
+    """The text with single blanks, every number's sign as a word of its own, and dots only inside numbers."""
+    signs = F.regexp_replace(F.regexp_replace(text, r"(?i)(?<!\p{L})no?(?=[: ]*[0-9])", NUMBER_SIGN), NUMBER_SIGN, f" {NUMBER_SIGN} ")
+    return F.regexp_replace(F.regexp_replace(signs, "[.](?![0-9])", " "), r"[ \t\u00a0]+", " ")
+
+
+def lines_of(text: Column) -> Column:
+    return F.split(even(text), "\n", -1)
+
+
+def behind(line: Column, captions: tuple[str, ...]) -> Column:
+    """What stands behind the first of the captions in a line, of captions at one place the longest; else null."""
+    known = sorted({" ".join(c.replace("ё", "е").replace(".", " ").split()) for c in captions})
+    found = let(lower_e(line), lambda low: F.array_min(F.filter(F.array(*(F.struct(F.locate(c, low).alias("at"), F.lit(-len(c)).alias("size")) for c in known)), lambda x: x["at"] > 0)))
+    return let(found, lambda x: F.when(x.isNotNull(), F.substr(line, x["at"] - x["size"], F.length(line))))

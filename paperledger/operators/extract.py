@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.money import caption_pattern, date_from_words, format_cents, money_from_words, vat_from_words
-from ..functions.text import let, looks_like_account_number
+from ..functions.money import date_from_words, format_cents, money_from_words, vat_from_words
+from ..functions.text import NUMBER_SIGN as SIGN
+from ..functions.text import behind, let, lines_of, looks_like_account_number, lower_e
 
 RULE, GUESS = 0.7, 0.3
 
@@ -27,16 +28,10 @@ CURRENCY_CODES = {"BYN": "BYN", "RUB": "RUB", "RUR": "RUB", "USD": "USD", "EUR":
 #: Beginnings of the words of each currency's name.
 CURRENCY_WORDS = {"BYN": ("бел руб", "белорусск рубл"), "RUB": ("росийск рубл", "российск рубл"), "USD": ("доллар сша",), "EUR": ("евро",)}
 
-#: Characters that a number may stand behind its title, a contract's number and date behind its word, a sum
-#: behind its caption; and that a line may print up to the end of a party's caption.
-TITLE_GAP, DEAL_GAP, DATE_GAP, NET_GAP, TOTAL_WINDOW, CAPTION_END = 40, 30, 60, 20, 80, 70
-
-_SIGN = "(?:№|No|N)"
-_NUMBER = rf"{_SIGN}[:\s]*([-/\p{{IsLatin}}\p{{IsCyrillic}}0-9]+)"
-_DATE = r"[0-9]{2}[.][0-9]{2}[.][0-9]{4}"
-_DIGITS_AND_BLANKS = "[0-9][0-9 \u00a0]*"
-_MONEY = rf"(?<![0-9.,]){_DIGITS_AND_BLANKS}[.,][0-9]{{2}}(?![0-9])"
-_TAX_ID = r"(?iu)У(?:НП|НН)[:№\s]*([0-9]{9})(?![0-9])|ИНН[:№\s]*([0-9]{12}|[0-9]{10})(?![0-9])"
+#: Words that may stand between a document's title and the sign of its number, between a contract's word and
+#: its number's sign or date, between a caption and its sum, and that a total is looked for behind its
+#: caption; letters of a line up to the end of a party's caption.
+TITLE_WORDS, DEAL_WORDS, DATE_WORDS, NET_WORDS, TOTAL_REACH, CAPTION_END = 6, 5, 8, 3, 12, 70
 
 
 def words(options: tuple[str, ...]) -> str:
@@ -44,12 +39,48 @@ def words(options: tuple[str, ...]) -> str:
     return "(?:" + "|".join(w.replace(".", "[.]") for w in sorted(options, key=len, reverse=True)) + ")"
 
 
-def numbered(options: tuple[str, ...], gap: int) -> str:
-    """A pattern of a word, at most ``gap`` characters of its line without a sign, and a number."""
-    return rf"(?iu){words(options)}[^N№\n]{{0,{gap}}}{_NUMBER}"
+def words_of(rest: Column) -> Column:
+    """Words of a line's rest; colons and hyphens between words are none."""
+    return F.filter(F.split(F.regexp_replace(rest, "(?<![0-9])[:-]|[:-](?![-/0-9\\p{L}])", " "), " "), lambda w: w != "")
+
+
+def first_of(values: Column) -> Column:
+    return F.get(F.filter(values, lambda v: v.isNotNull()), F.lit(0))
+
+
+def numbered(w: Column, reach: int) -> Column:
+    """The number behind the first sign, with at most ``reach`` words before it."""
+
+    def at(k: Column) -> Column:
+        number = F.regexp_replace(F.get(w, k), r"^[^\p{L}0-9]+|[^\p{L}0-9]+$", "")
+        return F.when((k > 0) & (k <= reach + 1) & (number != ""), number)
+
+    return let(F.array_position(w, SIGN).cast("int"), at)
+
+
+def _core(w: Column) -> Column:
+    """A word from its first digit to its last."""
+    return F.regexp_replace(w, "^[^0-9]+|[^0-9]+$", "")
+
 
+def sums_in(w: Column) -> Column:
+    """Of each word its sum (digits, two decimals), null for other words. Digits that blanks group in threes
+    are one word."""
+    return F.transform(w, lambda x: let(_core(x), lambda c: F.when(c.rlike("^[0-9]+[.,][0-9]{2}$"), c)))
 
-_CONTRACT = numbered(DEALS, DEAL_GAP)
+
+def grouped(line: Column) -> Column:
+    """A line whose digits aren't grouped by blanks."""
+    return F.regexp_replace(line, "(?<=[0-9]) (?=[0-9]{3}(?![0-9]))", "")
+
+
+def dates_in(w: Column) -> Column:
+    return F.transform(w, lambda x: let(_core(x), lambda c: F.when(c.rlike("^[0-9]{2}[.][0-9]{2}[.][0-9]{4}$"), c)))
+
+
+def contract_numbers(lines: Column) -> Column:
+    """E4. The numbers behind contracts' words."""
+    return F.filter(F.transform(lines, lambda x: numbered(words_of(behind(x, DEALS)), DEAL_WORDS)), lambda n: n.isNotNull())
 
 
 def captioned(text: Column, captions: tuple[str, ...]) -> Column:
@@ -78,44 +109,81 @@ def first(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
-def all_of(text: Column, pattern: str, group: int = 1) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-
-
 def money_value(c: Column) -> Column:
     """A printed sum with a dot and without blanks."""
-    return F.translate(F.translate(c, "  ", ""), ",", ".")
+    return F.translate(F.translate(c, " \u00a0", ""), ",", ".")
 
 
 def _largest(sums: Column) -> Column:
     """The largest of printed sums, as printed; the first of equal ones."""
-    keyed = F.transform(sums, lambda m, i: F.struct(F.regexp_replace(m, "[^0-9]", "").try_cast("decimal(38,0)").alias("v"), (-i).alias("i"), m.alias("m")))
+    keyed = F.transform(F.filter(sums, lambda m: m.isNotNull()), lambda m, i: F.struct(F.regexp_replace(m, "[^0-9]", "").try_cast("decimal(38,0)").alias("v"), (-i).alias("i"), m.alias("m")))
     return F.array_max(keyed)["m"]
 
 
 def doc_number(text: Column) -> Column:
     """E3. struct<value, confidence>: after the document's title, else the first sign; never a contract's
     number when there is another, never a bank account."""
-    contracts = all_of(text, _CONTRACT)
-    anchored = F.filter(all_of(text, numbered(TITLES, TITLE_GAP)), lambda n: ~looks_like_account_number(n))
-    own = F.get(F.filter(anchored, lambda n: ~F.array_contains(contracts, n)), F.lit(0))
-    other = F.get(F.filter(all_of(text, rf"(?iu){_NUMBER}"), lambda n: ~looks_like_account_number(n) & ~F.array_contains(contracts, n)), F.lit(0))
     pick = lambda v, c: F.when(v.isNotNull(), F.struct(v.alias("value"), F.lit(c).alias("confidence")))
-    return F.coalesce(pick(own, RULE), pick(F.get(anchored, F.lit(0)), RULE), pick(other, GUESS))
+    fits = lambda ns: F.filter(ns, lambda n: n.isNotNull() & ~looks_like_account_number(n))
+
+    def found(lines: Column) -> Column:
+        return let(F.struct(contract_numbers(lines).alias("deals"), fits(F.transform(lines, lambda x: numbered(words_of(behind(x, TITLES)), TITLE_WORDS))).alias("own"), fits(every(lines)).alias("all")), chosen)
+
+    def every(lines: Column) -> Column:
+        w = F.flatten(F.transform(lines, words_of))
+        return F.zip_with(w, F.slice(w, 2, 1_000_000), lambda a, b: F.when(a == SIGN, F.nullif(F.regexp_replace(b, r"^[^\p{L}0-9]+|[^\p{L}0-9]+$", ""), F.lit(""))))
+
+    def chosen(d: Column) -> Column:
+        other = lambda ns: F.get(F.filter(ns, lambda n: ~F.array_contains(d["deals"], n)), F.lit(0))
+        return F.coalesce(pick(other(d["own"]), RULE), pick(F.get(d["own"], F.lit(0)), RULE), pick(other(d["all"]), GUESS))
+
+    return let(lines_of(text), found)
 
 
 def total(text: Column) -> Column:
-    """E6. struct<value, confidence>: the largest sum within 80 characters after a caption, unless the
-    first sum there is labelled as VAT; else in words; else the largest sum of the text as a guess."""
+    """E6. struct<value, confidence>: the largest sum among the words behind a caption, unless VAT or tax is
+    named before the first; else in words; else the largest sum of the text as a guess."""
+
+    def labelled(line: Column) -> Column:
+        rest = behind(line, TOTALS)
+        return let(F.struct(rest.alias("rest"), F.slice(words_of(grouped(rest)), 1, TOTAL_REACH).alias("w")), lambda d: let(sums_in(d["w"]), lambda sums: value(d, sums)))
+
+    def value(d: Column, sums: Column) -> Column:
+        at = F.array_position(F.transform(sums, lambda x: x.isNotNull()), F.lit(True)).cast("int")
+        taxed = F.exists(F.slice(d["w"], F.lit(1), F.greatest(at - 1, F.lit(0))), lambda x: lower_e(x).rlike("ндс|налог"))
+        return F.when(d["rest"].isNull() | ((at > 0) & taxed), F.lit(None).cast("string")).otherwise(F.coalesce(money_value(_largest(sums)), format_cents(money_from_words(d["rest"]))))
+
+    def chosen(lines: Column) -> Column:
+        found = first_of(F.transform(lines, labelled))
+        guess = money_value(_largest(F.flatten(F.transform(lines, lambda x: sums_in(words_of(grouped(x)))))))
+        return let(F.struct(found.alias("found"), guess.alias("guess")), lambda d: F.when(d["found"].isNotNull(), F.struct(d["found"].alias("value"), F.lit(RULE).alias("confidence"))).when(d["guess"].isNotNull(), F.struct(d["guess"].alias("value"), F.lit(GUESS).alias("confidence"))))
+
+    return let(lines_of(text), chosen)
+
+
+def sum_behind(lines: Column, captions: tuple[str, ...], reach: int, bare: bool) -> Column:
+    """E7. The first sum behind a caption on its line, with at most ``reach`` words without digits before it;
+    if ``bare`` nothing but a rate in percent may stand there."""
+
+    def in_line(line: Column) -> Column:
+        return let(words_of(grouped(behind(line, captions))), lambda w: let(sums_in(w), lambda sums: near(w, sums)))
+
+    def near(w: Column, sums: Column) -> Column:
+        at = F.array_position(F.transform(sums, lambda x: x.isNotNull()), F.lit(True)).cast("int")
+        before = F.slice(w, F.lit(1), F.greatest(at - 1, F.lit(0)))
+        odd = (lambda x: ~x.rlike("^[0-9]{0,2}%?:?$")) if bare else (lambda x: x.rlike("[0-9]"))
+        return F.when((at > 0) & (F.size(before) <= reach) & ~F.exists(before, odd), F.get(sums, at - 1))
 
-    def window(w: Column) -> Column:
-        before = F.lower(F.regexp_extract(w, f"^(.*?)(?={_MONEY})", 1))
-        sums = all_of(w, f"({_MONEY})")
-        return F.when(before.rlike("ндс|налог") & (F.size(sums) > 0), F.lit(None).cast("string")).otherwise(F.coalesce(money_value(_largest(sums)), format_cents(money_from_words(w))))
+    return first_of(F.transform(lines, in_line))
 
-    found = F.get(F.filter(F.transform(all_of(text, rf"(?iu){words(TOTALS)}([^\n]{{0,{TOTAL_WINDOW}}})"), window), lambda v: v.isNotNull()), F.lit(0))
-    guess = money_value(_largest(all_of(text, f"({_MONEY})")))
-    return F.when(found.isNotNull(), F.struct(found.alias("value"), F.lit(RULE).alias("confidence"))).when(guess.isNotNull(), F.struct(guess.alias("value"), F.lit(GUESS).alias("confidence")))
+
+def contract_date(lines: Column) -> Column:
+    """E5. The first date behind "от" behind a contract's word."""
+
+    def in_line(line: Column) -> Column:
+        return let(words_of(behind(line, DEALS)), lambda w: let(F.array_position(F.transform(w, lambda x: lower_e(x)), "от").cast("int"), lambda k: F.when((k > 0) & (k <= DATE_WORDS), F.get(dates_in(w), k))))
+
+    return first_of(F.transform(lines, in_line))
 
 
 def currency(text: Column) -> Column:
@@ -135,10 +203,25 @@ def party(behind: Column) -> Column:
     return F.get(F.filter(names, lambda n: F.length(n) >= 3), F.lit(0))
 
 
+#: Labels of registration numbers and how many digits each has.
+ID_DIGITS = {"унп": (9,), "унн": (9,), "инн": (10, 12)}
+
+
+def labelled(text: Column, digits: dict[str, tuple[int, ...]]) -> Column:
+    """All numbers of the right length that stand behind one of the labels."""
+    apart = F.regexp_replace(lower_e(text), f"(?<!\\p{{L}})({'|'.join(digits)})(?!\\p{{L}})", " $1 ")
+    w = F.filter(F.split(apart, r"[:№\s]+"), lambda x: x != "")
+
+    def pair(a: Column, b: Column) -> Column:
+        n = F.regexp_replace(b, "[^0-9].*$", "")
+        return F.coalesce(*(F.when((a == name) & F.length(n).isin(*sizes), n) for name, sizes in digits.items()))
+
+    return F.filter(let(w, lambda x: F.zip_with(x, F.slice(x, 2, 1_000_000), pair)), lambda n: n.isNotNull())
+
+
 def labelled_ids(text: Column) -> Column:
     """All labelled tax ids: nine digits, or ten or twelve behind the Russian label."""
-    nine, more = all_of(text, _TAX_ID, 1), all_of(text, _TAX_ID, 2)
-    return F.zip_with(nine, more, lambda a, b: F.when(a != "", a).otherwise(b))
+    return labelled(text, ID_DIGITS)
 
 
 def tax_id(text: Column, behind: Column, own: Column | None = None) -> Column:
@@ -154,16 +237,17 @@ def extract_fields(docs: DataFrame) -> DataFrame:
     sure = lambda key, s: F.struct(F.lit(key).alias("key"), s["value"].alias("value"), s["confidence"].alias("confidence"))
 
     def fields(t: Column) -> Column:
-        return let(F.struct(t.alias("text"), captioned(t, SELLERS).alias("sellers"), captioned(t, BUYERS).alias("buyers")), listed)
+        return let(F.struct(t.alias("text"), captioned(t, SELLERS).alias("sellers"), captioned(t, BUYERS).alias("buyers"), lines_of(t).alias("lines")), listed)
 
     def listed(d: Column) -> Column:
         t, sellers, buyers = d["text"], d["sellers"], d["buyers"]
         buyer = F.get(labelled_ids(F.coalesce(F.get(F.filter(buyers, lambda n: n.isNotNull()), F.lit(0)), F.lit(""))), F.lit(0))
-        vat = first(t, rf"(?iu){caption_pattern(VAT_SUMS)}\s*(?:[0-9]{{1,2}}\s*%)?\s*[:-]?\s*({_DIGITS_AND_BLANKS}[.,][0-9]{{2}})")
-        net = first(t, rf"(?iu){caption_pattern(NET_SUMS)}[^0-9\n]{{0,{NET_GAP}}}({_DIGITS_AND_BLANKS}[.,][0-9]{{2}})")
+        lines = d["lines"]
+        vat, net = sum_behind(lines, VAT_SUMS, 3, True), sum_behind(lines, NET_SUMS, NET_WORDS, False)
+        dates = first_of(F.flatten(F.transform(lines, lambda x: dates_in(words_of(x)))))
         return F.array(
             sure("number", doc_number(t)),
-            plain("date", F.coalesce(first(t, rf"(?<![0-9.])({_DATE})(?![0-9])"), date_from_words(t))),
+            plain("date", F.coalesce(dates, date_from_words(t))),
             sure("total", total(t)),
             plain("vat_amount", F.coalesce(money_value(vat), format_cents(vat_from_words(t)))),
             plain("amount_no_vat", money_value(net)),
@@ -172,9 +256,9 @@ def extract_fields(docs: DataFrame) -> DataFrame:
             plain("organization", party(buyers)),
             plain("organization_unp", buyer),
             plain("unp", tax_id(t, sellers, buyer)),
-            plain("kpp", first(t, r"(?iu)КПП[\s:]*([0-9]{9})(?![0-9])")),
-            plain("contract_number", first(t, _CONTRACT)),
-            plain("contract_date", first(t, rf"(?iu){words(DEALS)}[^\n]{{0,{DATE_GAP}}}?от[:\s]*({_DATE})")),
+            plain("kpp", F.get(labelled(t, {"кпп": (9,)}), F.lit(0))),
+            plain("contract_number", F.get(contract_numbers(lines), F.lit(0))),
+            plain("contract_date", contract_date(lines)),
         )
 
     rows = docs.select("doc_id", F.explode(let(F.coalesce("text", F.lit("")), fields)).alias("f"))

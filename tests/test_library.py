@@ -30,6 +30,13 @@ def test_words(spark):
     assert one(spark, "одна тысяча двести тридцать четыре", money.words_to_int) == 1234
     assert one(spark, "два миллиона тысяча", money.words_to_int) == 2001000
     assert one(spark, "двадцать кошек", money.words_to_int) is None
+    for words, n in {"двадцать двадцать": None, "пять сто": None, "двадцать пятнадцать": None, "тысяча миллион": None, "сто пятнадцать": 115, "сто двадцать пять": 125, "девятьсот девяносто девять тысяч один": 999001, "ноль": 0, "тысяча": 1000, "": None}.items():
+        assert one(spark, words, money.words_to_int) == n
+    for words, cents in {"Сорок четыре рубля 00 копеек": 4400, "Тридцать шесть белорусских рублей 78 копеек": 3678, "Одна тысяча двести рублей 05 копеек": 120005, "Шесть рублей тринадцать копеек": 613, "Триста рублей 31 копейка": 30031, "Сорок мяу рубля 00 копеек": None, "два рубля, три рубля 5 копеек": 305, "рублей 5 копеек": None, "сто рублей": None}.items():
+        assert one(spark, words, money.money_from_words) == cents, words
+    cells = {"5": True, "-1 234,50": True, "1234567.1": True, "20 %": True, "1 000": True, "1 23": False, "1,2,3": False, "": False, "5 шт": False, "0.1234567": False, "1.": False, "%": False}
+    for cell, good in cells.items():
+        assert one(spark, cell, money.is_numeric_cell) is good, cell
     assert one(spark, "Сто двадцать белорусских рублей 05 копеек", money.money_from_words) == 12005
     assert one(spark, "Сумма: семь рублей, двадцать шесть копеек", money.money_from_words) == 726
     assert one(spark, "Сумма семь рублей 26 копеек", money.money_from_words) is None  # a word that is no numeral
