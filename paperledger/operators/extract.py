@@ -40,8 +40,8 @@ def words(options: tuple[str, ...]) -> str:
 
 
 def words_of(rest: Column) -> Column:
-    """Words of a line's rest; colons and hyphens between words are none."""
-    return F.filter(F.split(F.regexp_replace(rest, "(?<![0-9])[:-]|[:-](?![-/0-9\\p{L}])", " "), " "), lambda w: w != "")
+    """Words of a line's rest; colons, and hyphens that don't join, are none."""
+    return F.filter(F.split(F.regexp_replace(rest, r":|(?<![\p{L}0-9])-|-(?![\p{L}0-9])", " "), " "), lambda w: w != "")
 
 
 def first_of(values: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.money import cents, clean_cell
+from ..functions.money import cents, clean_cell, is_numeric_cell
 from ..functions.text import contains_any, let, lower_e
 
 ROW = "array<string>"
@@ -84,9 +84,15 @@ def garbled_total_word(c: Column) -> Column:
     return F.length(w).between(4, 6) & (F.least(*(letter_diff(w, t) for t in PLAIN_TOTALS)) <= 2)
 
 
+#: How numerals begin.
+NUMERAL_STEMS = ("один", "одна", "одно", "два", "две", "три", "четыр", "пят", "шест", "сем", "восем", "девят", "десят", "сорок", "тысяч", "миллион")
+
+
 def is_spelled_amount(c: Column) -> Column:
-    """C22. An amount in words: it names roubles or kopecks and has three words or more."""
-    return lower_e(c).rlike(r"рубл|копе") & (F.size(F.split(F.trim(c), r"\s+")) >= 3)
+    """C22. An amount in words: a word that begins like a numeral, or "сто", and one that names roubles or kopecks."""
+    words = F.transform(F.split(lower_e(F.trim(c)), r"\s+"), lambda w: F.regexp_replace(w, r"^[^\p{L}]+", ""))
+    numeral = lambda w: starts(w, NUMERAL_STEMS) | (F.regexp_replace(w, r"[^\p{L}]+$", "") == "сто")
+    return let(words, lambda ws: F.exists(ws, lambda w: starts(w, ("рубл", "копе"))) & F.exists(ws, numeral))
 
 
 def is_name_word(c: Column) -> Column:
@@ -346,14 +352,20 @@ def take_hidden_totals(tables: DataFrame) -> DataFrame:
 
 
 def fix_name_column(tables: DataFrame) -> DataFrame:
-    """W28. The column with most real texts becomes the name if it has one and a half times as many as
-    the present one, and texts in half of the rows."""
-    texts = F.transform("roles", lambda r, i: F.size(F.filter("rows", lambda x: is_name_word(F.coalesce(F.get(x, i), F.lit(""))))))
-    rows = settle(tables, texts=texts, own=F.array_position("roles", "name").cast("int") - 1)
-    rows = settle(rows, best=F.array_position("texts", F.array_max("texts")).cast("int") - 1)
-    n, have = F.get("texts", F.col("best")), F.when(F.col("own") >= 0, F.get("texts", F.col("own"))).otherwise(0)
-    better = (n * 2 >= F.size("rows")) & (n * 2 >= have * 3) & (n > 0) & (F.col("best") != F.col("own"))
-    roles = F.transform("roles", lambda r, i: F.when(i == F.col("best"), F.lit("name")).when(i == F.col("own"), F.lit("other")).otherwise(r))
+    """W28. Among the columns without a role (or other) the one with most texts, cells of four characters or more
+    with letters that are no number, becomes the name if it has over one and a half times as many as the
+    present name's column (the first, if there is none) and as many as half of the rows; of equal ones the
+    first. The former name's column becomes other, or index if it has no texts at all."""
+    text = lambda c: (F.length(F.trim(c)) >= 4) & c.rlike(r"\p{L}") & ~is_numeric_cell(F.trim(c))
+    texts = F.transform("roles", lambda r, i: F.size(F.filter("rows", lambda x: text(F.coalesce(F.get(x, i), F.lit(""))))))
+    rows = settle(tables, texts=texts, own=F.greatest(F.array_position("roles", "name").cast("int") - 1, F.lit(0)))
+    free = F.zip_with("texts", "roles", lambda n, r: F.when(F.coalesce(r, F.lit("")).isin("", "other"), n).otherwise(-1))
+    free = F.transform(free, lambda n, i: F.when(i == F.col("own"), -1).otherwise(n))
+    rows = settle(settle(rows, free=free), best=F.array_position("free", F.array_max("free")).cast("int") - 1)
+    n, have = F.get("free", F.col("best")), F.get("texts", F.col("own"))
+    better = F.coalesce((n * 2 > have * 3) & (n * 2 >= F.size("rows")) & (n > 0), F.lit(False))
+    former = lambda r: F.when(r != "name", r).when(have > 0, "other").otherwise("index")
+    roles = F.transform("roles", lambda r, i: F.when(i == F.col("best"), F.lit("name")).when(i == F.col("own"), former(r)).otherwise(r))
     return settle(rows, roles=F.when(better, roles).otherwise(F.col("roles"))).select(*tables.columns)
 
 
@@ -376,18 +388,34 @@ def clean_table(tables: DataFrame) -> DataFrame:
     return rows.where((F.size("used") >= 2) & (F.size("rows") > 0)).select(*tables.columns)
 
 
+#: Columns that take no part in sums.
+NO_SUMS = ("qty", "price", "vat_rate", "index", "unit")
+
+
 def infer_roles_by_arithmetic(cells: DataFrame) -> DataFrame:
-    """A21. doc_id, source, net_col, vat_col, total_col: columns a < b and another, c, with a + b = c within a
-    cent's half in 60 percent of the rows that have all three; most rows, then the rightmost c; of a
-    and b the one with the larger sum is without VAT."""
-    rows = cells.where("not is_total").groupBy("doc_id", "source", "row_no").agg(F.array_sort(F.collect_list(F.struct("col_no", cents(F.col("value")).alias("v")))).alias("c"))
-    known = F.filter("c", lambda x: x["v"].isNotNull())
-    rows = rows.select("doc_id", "source", "row_no", known.alias("c")).where(F.size("c") >= 3)
+    """A21. doc_id, source, net_col, vat_col, total_col: columns a < b and another, c, with a + b = c to half a
+    cent. cells: doc_id, source, row_no, col_no, role, value, is_total.
+
+    The name's column (the first, if none has that role), quantities, prices, rates, units and indexes take
+    no part. Rows count if all three are positive and c is printed with two decimals, and 60 percent of them
+    must agree; most rows, then the rightmost c, then the leftmost a and b. Of these the one with the larger
+    sum over the rows that have both is without VAT. Tables whose present roles (first and last amount, VAT)
+    agree in over half of the rows with a total are left alone.
+    """
+    names = cells.groupBy("doc_id", "source").agg(F.coalesce(F.min(F.when(F.col("role") == "name", F.col("col_no"))), F.lit(0)).alias("name_col"))
+    amount = lambda f: f(F.when(F.col("role") == "amount", F.col("col_no")))
+    present = cells.groupBy("doc_id", "source").agg(amount(F.min).alias("net_col"), F.min(F.when(F.col("role") == "vat", F.col("col_no"))).alias("vat_col"), amount(F.max).alias("total_col"))
+    fine = roles_reconcile(cells, present.where("net_col < total_col and vat_col is not null")).where("ok * 2 > n").select("doc_id", "source")
+    v = F.struct("col_no", cents(F.col("value")).alias("v"), F.trim("value").rlike("[.,][0-9]{2}$").alias("money"))
+    open_ = cells.where("not is_total").join(names, ["doc_id", "source"]).where((F.col("col_no") != F.col("name_col")) & ~F.coalesce("role", F.lit("")).isin(*NO_SUMS))
+    rows = open_.join(fine, ["doc_id", "source"], "left_anti").groupBy("doc_id", "source", "row_no").agg(F.array_sort(F.collect_list(v)).alias("c"))
+    rows = rows.select("doc_id", "source", "row_no", F.filter("c", lambda x: x["v"].isNotNull()).alias("c")).where(F.size("c") >= 3)
     rows = rows.select("doc_id", "source", "c", F.explode("c").alias("a")).select("doc_id", "source", "a", "c", F.explode("c").alias("b")).where("b.col_no > a.col_no")
     rows = rows.select("doc_id", "source", "a", "b", F.explode("c").alias("t")).where("t.col_no <> a.col_no and t.col_no <> b.col_no")
-    ok = (F.col("a.v") + F.col("b.v") == F.col("t.v")) & (F.col("t.v") != 0)
-    triples = rows.groupBy("doc_id", "source", F.col("a.col_no").alias("a"), F.col("b.col_no").alias("b"), F.col("t.col_no").alias("t")).agg(F.count(F.when(ok, 1)).alias("ok"), F.count(F.lit(1)).alias("n"), F.sum("a.v").alias("sa"), F.sum("b.v").alias("sb"))
-    best = triples.where("ok > 0 and ok * 10 >= n * 6").groupBy("doc_id", "source").agg(F.max_by(F.struct("a", "b", "t", "sa", "sb"), F.struct("ok", "t", -F.col("a"), -F.col("b"))).alias("x"))
+    counts = (F.least("a.v", "b.v", "t.v") > 0) & F.col("t.money")
+    ok = counts & (F.col("a.v") + F.col("b.v") == F.col("t.v"))
+    triples = rows.groupBy("doc_id", "source", F.col("a.col_no").alias("a"), F.col("b.col_no").alias("b"), F.col("t.col_no").alias("t")).agg(F.count(F.when(ok, 1)).alias("ok"), F.count(F.when(counts, 1)).alias("n"), F.sum("a.v").alias("sa"), F.sum("b.v").alias("sb"))
+    best = triples.where("ok > 0 and ok * 5 >= n * 3").groupBy("doc_id", "source").agg(F.max_by(F.struct("a", "b", "t", "sa", "sb"), F.struct("ok", "t", -F.col("a"), -F.col("b"))).alias("x"))
     larger = F.col("x.sa") >= F.col("x.sb")
     return best.select("doc_id", "source", F.when(larger, F.col("x.a")).otherwise(F.col("x.b")).alias("net_col"), F.when(larger, F.col("x.b")).otherwise(F.col("x.a")).alias("vat_col"), F.col("x.t").alias("total_col"))
 

@@ -188,7 +188,7 @@ def w23(lines):
     return tables.absorb_header_rows(plain_tables(rows, TITLES)).select("doc_id", F.array_join("titles", ",").alias("titles"), F.size("rows").alias("n_rows"))
 
 
-@query("w28_fix_name_column", "SELECT DISTINCT doc_id, 'other,name,qty,amount' AS roles FROM lines", "lines")
+@query("w28_fix_name_column", "SELECT DISTINCT doc_id, 'index,name,qty,amount' AS roles FROM lines", "lines")
 def w28(lines):
     """Codes stand under the name's caption."""
     rows = _by_document(lines, F.array(F.col("part_id").cast("string"), "name", F.col("qty").cast("string"), money.format_cents(F.col("amount"))))
