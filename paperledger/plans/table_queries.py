@@ -310,3 +310,48 @@ def j14(lines):
     cut = columns.split_across_bands(pages.drop("bands"), pages.select("doc_id", "page_no", "bands"))
     at = lambda k: F.max(F.when(F.col("band") == k, F.col("text")))
     return cut.groupBy("own", "seq").agg(at(0).alias("name"), at(1).alias("qty"), at(2).alias("amount")).select(F.col("own").alias("doc_id"), F.col("seq").alias("line_no"), "name", "qty", "amount")
+
+
+_SHEET = "SELECT doc_id // 32 AS sheet, row_number() OVER (PARTITION BY doc_id // 32 ORDER BY doc_id, line_no) - 1 AS r, amount FROM lines"
+
+
+def _sheets(lines: DataFrame, slide: int) -> DataFrame:
+    """The lines of 32 documents on one page, five columns that slide down by ``slide`` each."""
+    from pyspark.sql import Window
+
+    rows = lines.withColumn("sheet", F.floor(F.col("doc_id") / 32))
+    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("sheet").orderBy("doc_id", "line_no")) - 1).drop("doc_id").withColumnRenamed("sheet", "doc_id")
+    cells = [F.lit("Позиция"), *(F.concat(F.col("amount").cast("string"), F.lit(f",{b}0")) for b in range(4))]
+    boxes = F.array(*(F.struct(F.lit(k).alias("k"), c.alias("text"), F.lit(20.0 if k == 0 else 50.0 + 100 * k).alias("x0"), (100 + 40 * F.col("r") + slide * max(k - 1, 0)).cast("double").alias("y0")) for k, c in enumerate(cells)))
+    words = rows.select("doc_id", "r", F.explode(boxes).alias("w"))
+    return words.select("doc_id", F.lit(1).alias("page_no"), (F.col("r") * 5 + F.col("w.k")).cast("bigint").alias("seq"), "w.text", "w.x0", "w.y0", (F.col("w.x0") + 60).alias("x1"), (F.col("w.y0") + 12).alias("y1"))
+
+
+def _sheet_bands() -> Column:
+    edge = lambda lo, hi: F.struct(F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"))
+    return F.array(edge(0, 120), *(edge(130 + 100 * b, 230 + 100 * b) for b in range(4)))
+
+
+@query("w13_column_drift", f"SELECT sheet AS doc_id, unnest(range(5 * r, 5 * r + 5)) AS seq, CAST(r AS INT) AS row_no, CAST(100 + 40 * r AS DOUBLE) AS y0 FROM ({_SHEET}) x", "lines")
+def w13(lines):
+    from ..operators import geometry
+
+    rows = geometry.group_words_into_rows(_sheets(lines, 9)).withColumn("band", columns.band_at((F.col("x0") + F.col("x1")) / 2, _sheet_bands()))
+    return columns.fix_column_drift(rows).select("doc_id", "seq", "row_no", F.round("y0", 6).alias("y0"))
+
+
+@query("j18_row_shift", f"SELECT sheet AS doc_id, CAST(unnest([2, 3, 4]) AS INT) AS band, CAST(9 AS DOUBLE) AS shift FROM ({_SHEET}) x GROUP BY 1", "lines")
+def j18(lines):
+    items = _sheets(lines, 9).withColumn("band", columns.band_at((F.col("x0") + F.col("x1")) / 2, _sheet_bands())).withColumn("c", (F.col("y0") + F.col("y1")) / 2)
+    return columns.nearest_row_shift(items.where("band > 0"), columns.row_pitch(items)).select("doc_id", "band", F.round("shift", 6).alias("shift"))
+
+
+@query("w7_split_by_numbers", f"SELECT sheet AS doc_id, CAST(unnest([0, 130, 230, 345, 430]) AS DOUBLE) AS lo FROM ({_SHEET}) x GROUP BY 1", "lines")
+def w7(lines):
+    """Two columns of decimals, 40 apart, were found as one; the cut lies in the middle of the gap."""
+    edge = lambda lo, hi: F.struct(F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"))
+    sheets = _sheets(lines, 0)
+    bands = sheets.select("doc_id", "page_no").distinct().withColumn("bands", F.array(edge(0, 130), edge(130, 345), edge(345, 430), edge(430, 500)))
+    rows = sheets.withColumn("row_no", F.floor(F.col("seq") / 5).cast("int"))
+    cut = columns.split_bands_by_numbers(bands, rows)
+    return cut.select("doc_id", F.explode("bands").alias("b")).select("doc_id", F.col("b.lo").alias("lo"))
