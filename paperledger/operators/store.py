@@ -76,6 +76,18 @@ def visible_documents(users: DataFrame, documents: DataFrame, links: DataFrame)
     return owned.union(bound).union(everything)
 
 
+def visible_totals(users: DataFrame, documents: DataFrame, links: DataFrame) -> DataFrame:
+    """F4 counted: user_id, n and ids (number and sum of the ids of what visible_documents gives each user; one
+    and 0 for users who see everything). Documents are summed by company and by owner first, so no user is
+    multiplied with documents."""
+    scope = visible_companies(users.where("role <> 'client'"), links)
+    total = lambda key: documents.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
+    owned = users.where("role = 'client'").select(F.col("id").alias("user_id")).join(total("owner_id").withColumnRenamed("owner_id", "user_id"), "user_id").select("user_id", "n", "ids")
+    bound = scope.where("not sees_all").join(total("company_id"), "company_id").select("user_id", "n", "ids")
+    everything = scope.where("sees_all").select("user_id", F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("ids"))
+    return owned.union(bound).union(everything).groupBy("user_id").agg(F.sum("n").alias("n"), F.sum("ids").alias("ids"))
+
+
 def expired_archived(documents: DataFrame, companies: DataFrame, keep_days: int, as_of: Column, limit: int = 500) -> DataFrame:
     """F5. Archived for longer than keep_days, oldest first; nothing if keep_days is not positive."""
     limit = limit if 1 <= limit <= 1000 else 500

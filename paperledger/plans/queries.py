@@ -48,7 +48,7 @@ def f3(users, links):
     "users", "store_documents", "company_accountants",
 )
 def f4(users, documents, links):
-    return store.visible_documents(users, documents, links).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("document_id"), F.lit(0)).alias("ids"))
+    return store.visible_totals(users, documents, links)
 
 
 @query("f5_expired_archived", f"SELECT id FROM store_documents WHERE archived_at < {TS} - INTERVAL '504' HOUR ORDER BY archived_at, id LIMIT 500", "store_documents", "companies")
