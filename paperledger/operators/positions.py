@@ -22,9 +22,9 @@ from ..cluster import ship_package
 from .tables import _fit_left, assign_roles, filled, is_total_row, settle
 
 CELLS = ArrayType(ArrayType(StringType()))
-#: Columns whose texts are no data but neighbours that strayed in.
+#: Columns whose texts are no data but neighbours that strayed in.
 NUMERIC_ROLES = frozenset(("qty", "price", "amount", "vat", "vat_rate", "index"))
-#: Marks that no phrase begins with.
+#: Marks that no phrase begins with.
 MIDDLE_MARKS = ")](,;.:-–—/\\"
 #: Sums must agree to half a cent; products may be rounded: a cent's half and a bit, or half a percent.
 SUM_OFF, PRODUCT_OFF, PRODUCT_SHARE = 0.005, 0.006, 0.005

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..cluster import materialize
@@ -141,3 +141,60 @@ def table_markdown(cells: DataFrame) -> DataFrame:
     bar = lambda v: F.concat(F.lit("| "), F.array_join(v, " | "), F.lit(" |"))
     rule = bar(F.transform("h", lambda _: F.lit("---")))
     return head.join(body, "doc_id").select("doc_id", F.array_join(F.concat(F.array(bar(F.col("h")), rule), F.transform("rows", bar)), "\n").alias("md"))
+
+
+OCR_RESPONSE = "text string, flat string, error string, boxes array<struct<text: string, bbox: array<double>>>, tables array<struct<cells: array<struct<row: int, col: int, rowspan: int, colspan: int, header: boolean, text: string>>>>, _corrupt_record string"
+
+
+def read_ocr_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """S6. words (doc_id, page_no, seq, text, x0, y0, x1, y1), grid_cells (doc_id, grid_no, row, col, rowspan,
+    colspan, header, text) and pages (doc_id, page_no, layout, flat, error) of an OCR service's responses, one
+    file each, named ``<doc>.json`` or ``<doc>-p<page>.json`` (a file without a page is page 1).
+
+    A blank flat text is the layout without its cells' bars. Files that are no response and responses
+    with an error come as pages with that error, and have neither words nor cells. Blank words and boxes
+    without four numbers drop out. Grids are numbered over a document's pages, in the pages' order.
+    """
+    raw = spark.read.text(path, wholetext=True).select("value", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json$", 1).alias("name"))
+    page = F.regexp_extract("name", r"^(.*?)-p([0-9]+)$", 2).try_cast("int")
+    doc = F.when(page.isNotNull(), F.regexp_extract("name", r"^(.*?)-p([0-9]+)$", 1)).otherwise(F.col("name"))
+    r = F.from_json("value", OCR_RESPONSE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    rows = raw.select(doc.alias("doc_id"), F.coalesce(page, F.lit(1)).alias("page_no"), r.alias("r"))
+    error = F.when(F.col("r._corrupt_record").isNotNull() | F.col("r").isNull(), F.lit("no response")).otherwise(F.nullif(F.col("r.error"), F.lit("")))
+    rows = rows.withColumn("error", error)
+    layout = F.when(F.col("error").isNull(), F.coalesce("r.text", F.lit("")))
+    bare = F.regexp_replace(F.regexp_replace("r.text", r" \| ", " "), r"\|", " ")
+    flat = F.when(F.col("error").isNull(), F.when(F.trim(F.coalesce("r.flat", F.lit(""))) != "", F.col("r.flat")).otherwise(F.coalesce(bare, F.lit(""))))
+    pages = rows.select("doc_id", "page_no", layout.alias("layout"), flat.alias("flat"), "error")
+    good = rows.where("error is null")
+    words = good.select("doc_id", "page_no", F.posexplode("r.boxes").alias("seq", "b")).where(F.size("b.bbox") == 4)
+    words = words.select("doc_id", "page_no", F.col("seq").cast("bigint").alias("seq"), "b.text", *(F.get("b.bbox", F.lit(k)).alias(c) for k, c in enumerate(("x0", "y0", "x1", "y1"))))
+    words = words.where("trim(text) <> '' and x0 is not null and y0 is not null and x1 is not null and y1 is not null")
+    before = F.sum(F.size(F.coalesce("r.tables", F.array().cast("array<struct<cells: array<struct<row: int, col: int, rowspan: int, colspan: int, header: boolean, text: string>>>>")))).over(Window.partitionBy("doc_id").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1))
+    grids = good.withColumn("before", F.coalesce(before, F.lit(0))).select("doc_id", "before", F.posexplode("r.tables").alias("k", "t"))
+    cells = grids.select("doc_id", (F.col("before") + F.col("k")).cast("int").alias("grid_no"), F.explode("t.cells").alias("c")).select("doc_id", "grid_no", "c.*")
+    return words, cells, pages
+
+
+def read_expected(spark: SparkSession, path: str) -> DataFrame:
+    """S9. doc_id, key, value of golden files under ``path``: ``<doc>/expected.json``, else ``<doc>.json`` beside it,
+    else the entry of the document's name in a shared ``expected.json`` at the top.
+
+    A file has doc_type and fields ({key: {value}} or {key: value}), or all keys flat; nested values other
+    than these are left out, and a null value is an expectation that there is none. Files that are no
+    JSON object give no rows.
+    """
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("at"))
+    top = F.lit(path.rstrip("/").rpartition("/")[2])
+    parts = files.withColumn("name", F.regexp_extract("at", r"([^/]+)\.json$", 1)).withColumn("folder", F.regexp_extract("at", r"([^/]+)/[^/]+\.json$", 1)).withColumn("m", F.from_json("value", "map<string, string>"))
+    is_shared = (F.col("name") == "expected") & (F.col("folder") == top)
+    own = parts.where(~is_shared).select(F.when(F.col("name") == "expected", F.col("folder")).otherwise(F.col("name")).alias("doc_id"), F.when(F.col("name") == "expected", 0).otherwise(1).alias("rank"), "m")
+    shared = parts.where(is_shared).select(F.explode("m").alias("name", "entry")).select(F.regexp_replace("name", r"\.[A-Za-z0-9]+$", "").alias("doc_id"), F.lit(2).alias("rank"), F.from_json("entry", "map<string, string>").alias("m"))
+    best = own.unionByName(shared).where("m is not null").groupBy("doc_id").agg(F.min_by("m", "rank").alias("m"))
+    fields = F.from_json(F.try_element_at("m", F.lit("fields")), "map<string, string>")
+    flat = best.select("doc_id", F.explode(F.map_filter("m", lambda k, v: k != "fields")).alias("key", "raw"))
+    rows = flat.unionByName(best.select("doc_id", F.explode(fields).alias("key", "raw")))
+    nested = F.from_json("raw", "map<string, string>")
+    rows = rows.withColumn("value", F.when(F.col("raw").rlike(r"^\s*\{"), F.try_element_at(nested, F.lit("value"))).otherwise(F.col("raw")))
+    keep = F.col("raw").isNull() | ~F.col("raw").rlike(r"^\s*[\[{]") | F.array_contains(F.map_keys(nested), "value")
+    return rows.where(keep).select("doc_id", "key", F.trim("value").alias("value"))
