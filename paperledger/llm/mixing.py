@@ -23,6 +23,10 @@ from .linear import score, train
 #: Steps end when every domain's tokens are this close to the target, relatively.
 TOLERANCE = 1e-4
 MOST_STEPS = 60
+#: With a free total, steps end when the shares are this close, or when the largest error fell by less than a
+#: tenth in so many steps: then the bounds keep the shares from the targets.
+SHARE_TOLERANCE = 1e-3
+STALLED = 20
 
 SHAPE = "doc_id bigint, n_tokens bigint, posteriors array<double>"
 
@@ -70,15 +74,15 @@ def _moments(k: int, steps: list[np.ndarray], least: float, scale: float):
     return run
 
 
-def fit_rates(members: DataFrame, targets: Sequence[float], least: float = 0.0, tokens: float | None = None, most_steps: int = MOST_STEPS) -> tuple[list[np.ndarray], np.ndarray]:
+def fit_rates(members: DataFrame, targets: Sequence[float], least: float = 0.0, tokens: float | None = None, free: bool = False, most_steps: int = MOST_STEPS) -> tuple[list[np.ndarray], np.ndarray]:
     """Fits rates for ``members`` (doc_id, n_tokens, posteriors) and returns the steps and the domain
     sums reached (tokens).
 
     ``targets`` are the domains' shares of the tokens, ``tokens`` is the total that they share
-    (as many as the members have, if not given). The objective is the squared distance of the
-    domain sums from the targets. Gradients are scaled by the documents' tokens, so that a rate
-    depends on posteriors and not on length, and taken in the metric of the inverse Gram matrix, in
-    which a step of length 1 always descends; momentum speeds them up. Rates start at 1.
+    (as many as the members have, if not given); with ``free`` any total will do: what a domain has
+    beyond its share of the sums' own total is then the residual. The objective is the squared residual. Gradients are scaled by the documents' tokens,
+    so that a rate depends on posteriors and not on length, and taken in the metric of the inverse
+    Gram matrix, in which a step of length 1 always descends; momentum speeds them up. Rates start at 1.
     """
     share = np.array(targets, float)
     if (share < 0).any() or share.sum() <= 0:
@@ -89,18 +93,24 @@ def fit_rates(members: DataFrame, targets: Sequence[float], least: float = 0.0,
     if not n or not total:
         return [], np.zeros(k)
     scale = total / n
-    want = share * (tokens if tokens is not None else total) / scale
+    want = np.zeros(k) if free else share * (tokens if tokens is not None else total) / scale
+    beyond = np.eye(k) - (np.outer(share, np.ones(k)) if free else 0)
     steps: list[np.ndarray] = []
-    sums = np.zeros(k)
-    for _ in range(most_steps + 1):
+    errors: list[float] = []
+    while True:
         rows = members.mapInArrow(_moments(k, steps, least, scale), "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
         v = np.zeros(2 * k + k * k)
         v[rows.column("at").to_numpy()] = rows.column("v").to_numpy()
         sums, ahead, gram = v[:k], v[k : 2 * k], v[2 * k :].reshape(k, k)
-        if len(steps) == most_steps or (np.abs(sums - want) <= TOLERANCE * np.maximum(want, want.sum() * 1e-3)).all():
-            break
-        steps.append(np.linalg.lstsq(gram + np.eye(k) * 1e-9 * max(np.trace(gram), 1e-300), ahead - want, rcond=None)[0])
-    return steps, sums * scale
+        if free:
+            errors.append(np.abs(sums / max(sums.sum(), 1e-300) - share).max())
+            done = errors[-1] <= SHARE_TOLERANCE or (len(steps) >= STALLED and min(errors[-STALLED:]) > 0.9 * min(errors[:-STALLED]))
+        else:
+            done = len(steps) == most_steps or (np.abs(sums - want) <= TOLERANCE * np.maximum(want, want.sum() * 1e-3)).all()
+        if done:
+            return steps, sums * scale
+        curve = beyond @ gram @ beyond.T
+        steps.append(beyond.T @ np.linalg.lstsq(curve + np.eye(k) * 1e-9 * max(np.trace(gram), 1e-300), beyond @ ahead - want, rcond=None)[0])
 
 
 def with_rates(members: DataFrame, steps: list[np.ndarray], domains: int, least: float = 0.0) -> DataFrame:
@@ -118,8 +128,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: Sequence[float], least: flo
     """doc_id, n_tokens (words), posteriors and rate of every document.
 
     ``labels`` (doc_id, label) holds domain numbers from 0; ``targets`` are the shares of the
-    domains. The mixture has as many tokens as the documents or, with ``grow``, the fewest for which
-    no domain has to shrink; with ``least`` 1 every document is then kept. A rate is the expected
+    domains. The mixture has as many tokens as the documents or, with ``grow``, any number; with ``least``
+    1 every document is kept, and the mixture grows from all documents until the shares are met. A rate is the expected
     number of copies. Where the bounds of the rates keep the mixture from its shares by more than 0.01,
     a warning says how far it came.
 
@@ -132,11 +142,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: Sequence[float], least: flo
     k = len(targets)
     weights = train(docs, labels, classes=k)
     members = materialize(posteriors(docs, weights), "mixing-members")
-    tokens = None
-    if grow:
-        have = members.agg(*(F.sum(F.col("n_tokens") * F.col("posteriors")[c]).alias(f"d{c}") for c in range(k))).first()
-        tokens = max((x or 0.0) * sum(targets) / t for x, t in zip(have, targets, strict=True) if t > 0)
-    steps, sums = fit_rates(members, targets, least, tokens)
+    steps, sums = fit_rates(members, targets, least, free=grow)
     share, goal = sums / max(sums.sum(), 1e-300), np.asarray(targets, float) / sum(targets)
     if steps and np.abs(share - goal).max() > 0.01:
         warnings.warn(f"the mixture's shares are {share.round(4).tolist()}, the targets {goal.round(4).tolist()}", stacklevel=2)

@@ -122,6 +122,33 @@ def test_mix(spark):
         mixing.fit_rates(spark.createDataFrame([], mixing.SHAPE), (-1.0, 2.0))
 
 
+def test_growth_meets_targets(spark, recwarn):
+    """Every document stays, and the copies have the shares that were asked, whatever total that takes."""
+    r = np.random.default_rng(5)
+    domain = r.choice(3, 600, p=[0.7, 0.2, 0.1])
+    words = [[f"{a}{b}{'xyz'[d]}" for a in "bdfgklmnprst" for b in "aeiou"] for d in range(3)]
+    texts = [(i, " ".join(r.choice(words[d], r.integers(20, 60)))) for i, d in enumerate(domain)]
+    marks = spark.createDataFrame([(i, int(d)) for i, d in enumerate(domain) if i % 2], "doc_id bigint, label int")
+    goal = np.array([0.4, 0.3, 0.3])
+    n = mixing.copies(F.col("rate"), F.col("doc_id")).alias("n")
+    rows = mixing.mix(fixtures.table(spark, texts), marks, list(goal), least=1.0, grow=True).select("*", n).collect()
+    assert len(rows) == 600 and min(x["n"] for x in rows) >= 1
+    for times in ("rate", "n"):
+        sums = sum(np.array(x["posteriors"]) * x["n_tokens"] * x[times] for x in rows)
+        assert np.abs(sums / sums.sum() - goal).max() < (0.0015 if times == "rate" else 0.02)
+    by_domain = np.bincount(domain[[x["doc_id"] for x in rows]], weights=[x["n_tokens"] * x["n"] for x in rows])
+    assert np.abs(by_domain / by_domain.sum() - goal).max() < 0.06  # posteriors are soft
+    assert max(x["rate"] for x in rows) < 10
+    assert not [w for w in recwarn if "mixture's shares" in str(w.message)]
+
+
+def test_growth_out_of_reach(spark):
+    """No rates reach the targets where no posterior does: the fit ends, everything stays, a warning says so."""
+    members = spark.createDataFrame([(i, 10, [0.4, 0.6]) for i in range(40)], mixing.SHAPE)
+    steps, sums = mixing.fit_rates(members, (0.8, 0.2), least=1.0, free=True)
+    assert len(steps) <= 2 * mixing.STALLED and sums[0] / sums.sum() == pytest.approx(0.4)
+
+
 PII_TEXTS = [
     None,
     "",
