@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import grounded_in_text
 from ..functions.parties import format_valid
 from ..functions.text import doc_number_norm, looks_like_account_number, norm_for_search, tax_ids_in
+from .evidence import clean_party_name
 
 MODEL = 0.85
+#: Names of the sides behind "УНП".
+PAYEE = "получателя платежа"
+SELLERS = ("продавца", "поставщика", "исполнителя", "арендодателя", "грузоотправителя", PAYEE)
+BUYERS = ("покупателя", "заказчика", "плательщика", "грузополучателя", "арендатора")
+#: Characters between a side's name and its id, at most.
+SIDE_GAP = 25
 #: Keys that a document's head holds.
 HEAD_KEYS = ("number", "date", "counterparty", "organization", "unp", "organization_unp")
 
@@ -35,13 +42,55 @@ def prefer_blank_number(fields: DataFrame, header: DataFrame) -> DataFrame:
     return rows.select("doc_id", "key", F.when(keep, F.col("value")).otherwise(F.col("form")).alias("value"), F.when(keep, F.col("confidence")).otherwise(F.lit(0.9)).alias("confidence"), F.when(keep, F.col("source")).otherwise("rule").alias("source"))
 
 
+def side_id(text: Column, sides: tuple[str, ...]) -> Column:
+    """E10. The nine digits behind the first "УНП" that names one of the sides, on the side's line and at most
+    25 other characters behind it; null if there are none."""
+
+    def behind_side(part: Column) -> Column:
+        rest = F.regexp_replace(part, r"^\s+", "")
+        named = F.coalesce(*(F.when(rest.startswith(s), F.substr(rest, F.lit(len(s) + 1))) for s in sides))
+        lead = F.length(F.regexp_extract(named, r"^[^0-9\n]*", 0))
+        digits = F.substr(named, lead + 1, F.lit(9))
+        return F.when((lead <= SIDE_GAP) & digits.rlike("^[0-9]{9}$"), digits)
+
+    parts = F.split(F.regexp_replace(F.lower(text), r"получателя\s+платежа", PAYEE), "унп")
+    return F.get(F.filter(F.transform(F.slice(parts, 2, 1_000_000_000), behind_side), lambda x: x.isNotNull()), F.lit(0))
+
+
+def labelled_sides(docs: DataFrame) -> DataFrame:
+    """E10. doc_id, key (unp for the seller, organization_unp for the buyer), value of the tax ids that documents
+    (doc_id, text) give under a side's name. Null texts have none."""
+    ids = F.array(F.struct(F.lit("unp").alias("key"), side_id(F.col("text"), SELLERS).alias("value")), F.struct(F.lit("organization_unp").alias("key"), side_id(F.col("text"), BUYERS).alias("value")))
+    return docs.select("doc_id", F.explode(ids).alias("x")).select("doc_id", "x.*").where("value is not null")
+
+
 def fix_fields(fields: DataFrame, docs: DataFrame) -> DataFrame:
-    """R4. Tax ids that the text lacks go; sums that it lacks fall to 0.45 at most."""
-    rows = fields.join(docs.select("doc_id", "text"), "doc_id")
-    there = grounded_in_text(F.col("value"), F.col("text"))
-    ids, sums = F.col("key").isin("unp", "organization_unp", "inn"), F.col("key").isin("total", "vat_amount", "amount_no_vat")
-    rows = rows.where(~(ids & ~there))
-    return rows.select("doc_id", "key", "value", F.when(sums & ~there, F.least("confidence", F.lit(0.45))).otherwise(F.col("confidence")).alias("confidence"), "source")
+    """R4. Fields by the text. Tax ids that it lacks go, sums that it lacks fall to 0.45 at most; ids under a side's name
+    (E10) replace others; of two equal ids the less sure one goes, the seller's in a tie; names lose their tails and
+    go if nothing is left, and the own side's goes if both are equal. Blank texts change nothing, nor do documents
+    without fields get any. Null values become empty.
+    """
+    columns = ("doc_id", "key", "value", "confidence", "source")
+    whole = Window.partitionBy("doc_id")
+    texts = docs.where("trim(text) <> ''").select("doc_id", "text")
+    rows = fields.select(*columns).join(texts, "doc_id", "left")
+    plain = rows.where("text is null").select(*columns)
+    rows = rows.where("text is not null")
+    lost = F.coalesce((F.col("value") != "") & ~grounded_in_text(F.col("value"), F.col("text")), F.lit(False))
+    ids, sums = F.col("key").isin("unp", "organization_unp", "inn", "kpp"), F.col("key").isin("total", "vat_amount", "amount_no_vat")
+    rows = rows.where(~(ids & lost)).withColumn("confidence", F.when(sums & lost, F.least("confidence", F.lit(0.45))).otherwise(F.col("confidence"))).select(*columns)
+
+    sides = labelled_sides(texts.join(fields.select("doc_id").distinct(), "doc_id", "left_semi")).withColumnRenamed("value", "said")
+    rows = rows.join(sides, ["doc_id", "key"], "full_outer")
+    told = F.col("said").isNotNull()
+    rows = rows.select("doc_id", "key", F.coalesce("said", "value").alias("value"), F.when(told, 0.9).otherwise(F.col("confidence")).alias("confidence"), F.when(told, "rule").otherwise(F.col("source")).alias("source"))
+
+    name = F.col("key").isin("counterparty", "organization") & (F.col("value") != "")
+    rows = rows.withColumn("value", F.when(name, F.nullif(clean_party_name(F.col("value")), F.lit(""))).otherwise(F.coalesce("value", F.lit("")))).where("value is not null")
+    of = lambda key, c: F.max(F.when(F.col("key") == key, F.col(c))).over(whole)
+    rows = rows.withColumns({"equal": of("unp", "value") == of("organization_unp", "value"), "ours": of("organization_unp", "confidence") < of("unp", "confidence"), "same": F.lower(of("counterparty", "value")) == F.lower(of("organization", "value"))})
+    drop = (F.col("equal") & (F.col("key") == F.when(F.col("ours"), "organization_unp").otherwise("unp"))) | (F.col("same") & (F.col("key") == "organization"))
+    return rows.where(~F.coalesce(drop, F.lit(False))).select(*columns).unionByName(plain)
 
 
 def fill_total(fields: DataFrame, totals: DataFrame) -> DataFrame:

@@ -61,3 +61,23 @@ def test_number_total_formats(spark):
     assert values(kept)[1, "unp"][0] == "123456789" and [(r["doc_id"], r["key"]) for r in rejected.collect()] == [(2, "unp")]
     fixed = {(r["doc_id"], r["key"]): r["confidence"] for r in rules.fix_fields(base, docs).collect()}
     assert (2, "unp") in fixed and fixed[2, "total"] == 0.8
+
+
+def test_sides_and_fixed_fields(spark):
+    texts = {
+        1: "УНП продавца: 123456789\nУНП покупателя (заказчика) 590888079", 2: "УНП 111111111 унп\nполучателя  платежа 222222222; УНП поставщика 333333333", 3: "УНП продавца:\n123456789 УНП арендатора 12345678",
+        4: "УНП покупателя " + "x" * 25 + "1" * 10, 5: None, 6: "УНП заказчика " + "x" * 25 + "123456789", 7: "УНП 123456789 ООО Ива, 500,75 руб",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {(r.doc_id, r.key): r.value for r in rules.labelled_sides(docs).collect()}
+    assert got == {(1, "unp"): "123456789", (1, "organization_unp"): "590888079", (2, "unp"): "222222222"}
+    fields = [
+        (1, "unp", "590888079", 0.7, "model"), (1, "counterparty", "ООО Ива, р/с BY12", 0.7, "model"), (1, "organization", "ооо ива", 0.7, "rule"), (1, "total", "999.99", 0.8, "model"),
+        (5, "unp", "999999999", 0.7, "model"), (7, "unp", "123456789", 0.7, "rule"), (7, "organization_unp", "123456789", 0.6, "model"), (7, "kpp", "987654321", 0.6, "model"), (7, "inn", "", 0.6, "model"),
+        (7, "total", "500.75", 0.8, "model"), (7, "organization", "УНП", 0.6, "model"), (8, "unp", "1", 0.1, "rule"),
+    ]
+    fixed = rules.fix_fields(spark.createDataFrame(fields, FIELDS), docs).collect()
+    assert {(r.doc_id, r.key): (r.value, r.confidence, r.source) for r in fixed} == {
+        (1, "unp"): ("123456789", 0.9, "rule"), (1, "organization_unp"): ("590888079", 0.9, "rule"), (1, "counterparty"): ("ООО Ива", 0.7, "model"), (1, "total"): ("999.99", 0.45, "model"),
+        (5, "unp"): ("999999999", 0.7, "model"), (7, "unp"): ("123456789", 0.7, "rule"), (7, "inn"): ("", 0.6, "model"), (7, "total"): ("500.75", 0.8, "model"), (8, "unp"): ("1", 0.1, "rule"),
+    }
