@@ -166,5 +166,6 @@ def lines_of(text: Column) -> Column:
 def behind(line: Column, captions: tuple[str, ...]) -> Column:
     """What stands behind the first of the captions in a line, of captions at one place the longest; else null."""
     known = sorted({" ".join(c.replace("ё", "е").replace(".", " ").split()) for c in captions})
-    found = let(lower_e(line), lambda low: F.array_min(F.filter(F.array(*(F.struct(F.locate(c, low).alias("at"), F.lit(-len(c)).alias("size")) for c in known)), lambda x: x["at"] > 0)))
+    places = lambda low: F.array_min(F.filter(F.array(*(F.struct(F.locate(c, low).alias("at"), F.lit(-len(c)).alias("size")) for c in known)), lambda x: x["at"] > 0))
+    found = let(lower_e(line), lambda low: F.when(contains_any(low, known), places(low)))  # most lines have none
     return let(found, lambda x: F.when(x.isNotNull(), F.substr(line, x["at"] - x["size"], F.length(line))))

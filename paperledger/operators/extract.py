@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.money import date_from_words, format_cents, money_from_words, vat_from_words
 from ..functions.text import NUMBER_SIGN as SIGN
 from ..functions.text import behind, let, lines_of, looks_like_account_number, lower_e
+from .tables import settle
 
 RULE, GUESS = 0.7, 0.3
 
@@ -123,42 +124,47 @@ def _largest(sums: Column) -> Column:
 def doc_number(text: Column) -> Column:
     """E3. struct<value, confidence>: after the document's title, else the first sign; never a contract's
     number when there is another, never a bank account."""
-    pick = lambda v, c: F.when(v.isNotNull(), F.struct(v.alias("value"), F.lit(c).alias("confidence")))
-    fits = lambda ns: F.filter(ns, lambda n: n.isNotNull() & ~looks_like_account_number(n))
+    return let(lines_of(text), lambda lines: _doc_number(lines, contract_numbers(lines), F.transform(lines, words_of)))
+
 
-    def found(lines: Column) -> Column:
-        return let(F.struct(contract_numbers(lines).alias("deals"), fits(F.transform(lines, lambda x: numbered(words_of(behind(x, TITLES)), TITLE_WORDS))).alias("own"), fits(every(lines)).alias("all")), chosen)
+def _doc_number(lines: Column, deals: Column, spoken: Column) -> Column:
+    """The same from a text's lines, its contracts' numbers and the words of each line."""
+    pick = lambda v, c: let(v, lambda x: F.when(x.isNotNull(), F.struct(x.alias("value"), F.lit(c).alias("confidence"))))
+    fits = lambda ns: F.filter(ns, lambda n: n.isNotNull() & ~looks_like_account_number(n))
 
-    def every(lines: Column) -> Column:
-        w = F.flatten(F.transform(lines, words_of))
+    def every(w: Column) -> Column:
         return F.zip_with(w, F.slice(w, 2, 1_000_000), lambda a, b: F.when(a == SIGN, F.nullif(F.regexp_replace(b, r"^[^\p{L}0-9]+|[^\p{L}0-9]+$", ""), F.lit(""))))
 
     def chosen(d: Column) -> Column:
         other = lambda ns: F.get(F.filter(ns, lambda n: ~F.array_contains(d["deals"], n)), F.lit(0))
-        return F.coalesce(pick(other(d["own"]), RULE), pick(F.get(d["own"], F.lit(0)), RULE), pick(other(d["all"]), GUESS))
+        return F.coalesce(pick(other(d["own"]), RULE), pick(F.get(d["own"], F.lit(0)), RULE), pick(other(fits(let(F.flatten(spoken), every))), GUESS))
 
-    return let(lines_of(text), found)
+    own = fits(F.transform(lines, lambda x: numbered(words_of(behind(x, TITLES)), TITLE_WORDS)))
+    return let(F.struct(deals.alias("deals"), own.alias("own")), chosen)
 
 
 def total(text: Column) -> Column:
     """E6. struct<value, confidence>: the largest sum among the words behind a caption, unless VAT or tax is
     named before the first; else in words; else the largest sum of the text as a guess."""
 
+    return let(lines_of(text), _total)
+
+
+def _total(lines: Column) -> Column:
+    """The same from a text's lines."""
+
     def labelled(line: Column) -> Column:
-        rest = behind(line, TOTALS)
-        return let(F.struct(rest.alias("rest"), F.slice(words_of(grouped(rest)), 1, TOTAL_REACH).alias("w")), lambda d: let(sums_in(d["w"]), lambda sums: value(d, sums)))
+        said = lambda rest: let(F.struct(rest.alias("rest"), F.slice(words_of(grouped(rest)), 1, TOTAL_REACH).alias("w")), lambda d: let(sums_in(d["w"]), lambda sums: value(d, sums)))
+        return let(behind(line, TOTALS), lambda rest: F.when(rest.isNotNull(), said(rest)))
 
     def value(d: Column, sums: Column) -> Column:
         at = F.array_position(F.transform(sums, lambda x: x.isNotNull()), F.lit(True)).cast("int")
         taxed = F.exists(F.slice(d["w"], F.lit(1), F.greatest(at - 1, F.lit(0))), lambda x: lower_e(x).rlike("ндс|налог"))
-        return F.when(d["rest"].isNull() | ((at > 0) & taxed), F.lit(None).cast("string")).otherwise(F.coalesce(money_value(_largest(sums)), format_cents(money_from_words(d["rest"]))))
-
-    def chosen(lines: Column) -> Column:
-        found = first_of(F.transform(lines, labelled))
-        guess = money_value(_largest(F.flatten(F.transform(lines, lambda x: sums_in(words_of(grouped(x)))))))
-        return let(F.struct(found.alias("found"), guess.alias("guess")), lambda d: F.when(d["found"].isNotNull(), F.struct(d["found"].alias("value"), F.lit(RULE).alias("confidence"))).when(d["guess"].isNotNull(), F.struct(d["guess"].alias("value"), F.lit(GUESS).alias("confidence"))))
+        return F.when((at > 0) & taxed, F.lit(None).cast("string")).otherwise(F.coalesce(money_value(_largest(sums)), format_cents(money_from_words(d["rest"]))))
 
-    return let(lines_of(text), chosen)
+    sure = lambda v, c: F.when(v.isNotNull(), F.struct(v.alias("value"), F.lit(c).alias("confidence")))
+    guess = money_value(_largest(F.flatten(F.transform(lines, lambda x: sums_in(words_of(grouped(x)))))))
+    return F.coalesce(let(first_of(F.transform(lines, labelled)), lambda v: sure(v, RULE)), let(guess, lambda v: sure(v, GUESS)))
 
 
 def sum_behind(lines: Column, captions: tuple[str, ...], reach: int, bare: bool) -> Column:
@@ -234,21 +240,20 @@ def tax_id(text: Column, behind: Column, own: Column | None = None) -> Column:
 def extract_fields(docs: DataFrame) -> DataFrame:
     """E9. All fields of E1 to E8."""
     plain = lambda key, v: F.struct(F.lit(key).alias("key"), F.trim(v).alias("value"), F.lit(RULE).alias("confidence"))
-    sure = lambda key, s: F.struct(F.lit(key).alias("key"), s["value"].alias("value"), s["confidence"].alias("confidence"))
+    sure = lambda key, found: let(found, lambda s: F.struct(F.lit(key).alias("key"), s["value"].alias("value"), s["confidence"].alias("confidence")))
 
-    def fields(t: Column) -> Column:
-        return let(F.struct(t.alias("text"), captioned(t, SELLERS).alias("sellers"), captioned(t, BUYERS).alias("buyers"), lines_of(t).alias("lines")), listed)
+    rows = settle(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), sellers=captioned(F.col("text"), SELLERS), buyers=captioned(F.col("text"), BUYERS), lines=lines_of(F.col("text")))
+    line = F.coalesce(F.get(F.filter("buyers", lambda n: n.isNotNull()), F.lit(0)), F.lit(""))
+    rows = settle(rows, spoken=F.transform("lines", words_of), deals=contract_numbers(F.col("lines")), buyer=F.get(labelled_ids(line), F.lit(0)))
 
-    def listed(d: Column) -> Column:
-        t, sellers, buyers = d["text"], d["sellers"], d["buyers"]
-        buyer = F.get(labelled_ids(F.coalesce(F.get(F.filter(buyers, lambda n: n.isNotNull()), F.lit(0)), F.lit(""))), F.lit(0))
-        lines = d["lines"]
+    def listed() -> Column:
+        t, sellers, buyers, buyer, lines, w, deals = (F.col(c) for c in ("text", "sellers", "buyers", "buyer", "lines", "spoken", "deals"))
         vat, net = sum_behind(lines, VAT_SUMS, 3, True), sum_behind(lines, NET_SUMS, NET_WORDS, False)
-        dates = first_of(F.flatten(F.transform(lines, lambda x: dates_in(words_of(x)))))
+        dates = first_of(F.flatten(F.transform(w, dates_in)))
         return F.array(
-            sure("number", doc_number(t)),
+            sure("number", _doc_number(lines, deals, w)),
             plain("date", F.coalesce(dates, date_from_words(t))),
-            sure("total", total(t)),
+            sure("total", _total(lines)),
             plain("vat_amount", F.coalesce(money_value(vat), format_cents(vat_from_words(t)))),
             plain("amount_no_vat", money_value(net)),
             plain("currency", currency(t)),
@@ -257,9 +262,9 @@ def extract_fields(docs: DataFrame) -> DataFrame:
             plain("organization_unp", buyer),
             plain("unp", tax_id(t, sellers, buyer)),
             plain("kpp", F.get(labelled(t, {"кпп": (9,)}), F.lit(0))),
-            plain("contract_number", F.get(contract_numbers(lines), F.lit(0))),
+            plain("contract_number", F.get(deals, F.lit(0))),
             plain("contract_date", contract_date(lines)),
         )
 
-    rows = docs.select("doc_id", F.explode(let(F.coalesce("text", F.lit("")), fields)).alias("f"))
+    rows = rows.select("doc_id", F.explode(listed()).alias("f"))
     return rows.select("doc_id", "f.key", "f.value", "f.confidence", F.lit("rule").alias("source")).where("value is not null and value <> ''")

@@ -50,3 +50,10 @@ def test_letter_diff_counts_letters_with_repetition(spark):
     df = spark.createDataFrame([(w,) for w in words], "w string")
     for b in T.PLAIN_TOTALS:
         assert [r.d for r in df.select(T.letter_diff(F.col("w"), b).alias("d")).collect()] == [brute(w, b) for w in words]
+
+
+def test_fields_share_their_steps(docs):
+    """Number and total were computed for the value and again for its confidence, contracts' numbers three times."""
+    from paperledger.operators import extract
+
+    assert counts(extract.extract_fields(docs), "locate(")[0] <= 100
