@@ -322,10 +322,11 @@ def _named(items: str) -> Column:
     return F.filter(items, lambda x: (x["name"] != "") & ((x["amount"] != "") | (x["price"] != "") | (x["qty"] != "")))
 
 
-def lines_from_cells(tables: DataFrame) -> DataFrame:
-    """T10. doc_id, source, line_no, name, qty, unit, price, amount, amount_no_vat, vat."""
-    rows = settle(tables, items=_items()).select("doc_id", "source", F.posexplode(_named("items")).alias("pos", "x"))
-    return rows.select("doc_id", "source", (F.col("pos") + 1).alias("line_no"), "x.*")
+def lines_from_cells(tables: DataFrame, *facts: Column) -> DataFrame:
+    """T10. doc_id, source, line_no, name, qty, unit, price, amount, amount_no_vat, vat; facts of the table behind them."""
+    kept = {f"_{k}": f for k, f in enumerate(facts)}
+    rows = settle(tables, items=_items(), **kept).select("doc_id", "source", *kept, F.posexplode(_named("items")).alias("pos", "x"))
+    return rows.select("doc_id", "source", (F.col("pos") + 1).alias("line_no"), "x.*", *kept)
 
 
 STANDARD = ("name", "qty", "unit", "price", "amount", "vat")

@@ -244,7 +244,8 @@ def _answered(lines: DataFrame) -> DataFrame:
 @query("t6_table_from_model", "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS INT) AS line_no, name, CASE WHEN line_no % 3 = 0 THEN '' ELSE 'шт' END AS unit, ((2 * qty + 1) * price) // 2 AS amount, 1 AS n_totals FROM lines", "lines")
 def t6(lines):
     found = positions.table_from_model(_answered(lines))
-    return tables.lines_from_cells(found).join(found.select("doc_id", F.size("totals").alias("n_totals")), "doc_id").select("doc_id", "line_no", "name", "unit", money.cents(F.col("amount")).alias("amount"), "n_totals")
+    lines_ = tables.lines_from_cells(found, F.size("totals"))
+    return lines_.select("doc_id", "line_no", "name", "unit", money.cents(F.col("amount")).alias("amount"), F.col("_0").alias("n_totals"))
 
 
 _ROTATED = "list_value(qty * 100, price, amount, 0)[1 + ({} + line_no) % 4]"

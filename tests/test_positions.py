@@ -119,6 +119,40 @@ def test_row_order(spark):
     assert P.repair_row_order(table(spark, ["t"] * 8, [["9"] * 8], wide)).first().rows == [["9"] * 8]
 
 
+def test_a_factor_of_one_keeps_the_sequence(spark):
+    """With a quantity of one the order that moved fewest cells put the price for the amount, and an amount just
+    over a percent off was exchanged for the price."""
+    roles = ["index", "qty", "price", "amount", "vat_rate"]
+    true = ["1", "950.00", "955.00", "0%"]
+    rows = [[str(k), *true[k:], *true[:k]] for k in range(4)]
+    got = P.repair_row_order(table(spark, ["t"] * 5, rows, roles)).first().rows
+    assert got == [[str(k), *true] for k in range(4)]
+    off = [[str(k), *true[k:], *true[:k]] for true in (["1", "950.00", "959.55", "0%"],) for k in range(4)]
+    assert P.repair_row_order(table(spark, ["t"] * 5, off, roles)).first().rows == off
+    same = [["1", "5", "20", "1", "5"], ["1", "5.00", "1", "20", "5.00"]]
+    assert [(float(r[1]) * float(r[2]), float(r[3]), r[4]) for r in P.repair_row_order(table(spark, ["t"] * 5, same, roles)).first().rows] == [(5, 5, "20")] * 2
+
+
+def test_a_percent_is_exact(spark):
+    """The limit of one percent, compared in doubles, left out products that are off by just that."""
+    exact = [(q, p) for q in range(2, 51) for p in range(90000, 90400, 10) if q * p % 100 == 0]
+    rows = [[f"{q * p * k // 10000}.{q * p * k // 100 % 100:02d}", str(q), f"{p // 100}.{p % 100:02d}"] for q, p in exact for k in (99, 101)]
+    got = P.repair_row_order(table(spark, ["t"] * 3, rows, ["qty", "price", "amount"])).first().rows
+    assert [r[2] for r in got] == [r[0] for r in rows]
+
+
+def test_rows_of_many_tables_are_read_at_once(spark):
+    """Tables, rows and cells that are missing or empty don't shift those of other tables."""
+    from pyspark.sql import functions as F
+
+    some = [(1, ["qty", "price", "amount"], [["6", "2", "3"], [], [None, "5", "6", "x"]]), (2, [], []), (3, ["name", None, "qty", "price", "amount"], [["a", None, "8", "2", "4"]]), (4, ["qty", "price", "amount"], [["6", "2", "3"]])]
+    df = spark.createDataFrame(some, "doc_id bigint, roles array<string>, rows array<array<string>>").coalesce(1)
+    got = {r.doc_id: r.rows for r in P.repair_row_order(df).collect()}
+    assert got == {1: [["3", "2", "6"], [], ["", "5", "6", "x"]], 2: [], 3: [["a", "", "4", "2", "8"]], 4: [["3", "2", "6"]]}
+    merged = P.merge_multiline_rows(df.withColumn("roles", F.lit(None).cast("array<string>")).union(df.where("doc_id = 3").withColumn("doc_id", F.lit(5).cast("bigint"))))
+    assert {r.doc_id: r.rows for r in merged.where("doc_id in (2, 5)").collect()} == {2: [], 5: [["a", None, "8", "2", "4"]]}
+
+
 def test_model_table(spark):
     answers = [
         (1, json.dumps({"table": {"columns": ["Наименование", "Кол-во", "Цена", "Сумма"], "rows": [["a", "6", "2", "3"], ["b", "2"], ["c", 2, 5, 10, "кг", "!"], ["", None], ["Итого", "", "", "16"], ["Всего", "", "", "17"]]}})),
