@@ -57,3 +57,17 @@ def test_fields_share_their_steps(docs):
     from paperledger.operators import extract
 
     assert counts(extract.extract_fields(docs), "locate(")[0] <= 100
+
+
+def test_frames_end_at_the_row(spark):
+    """Frames to the end of a page or band were summed up anew for each row, and a band's items read five times."""
+    from paperledger.operators import columns as C
+
+    items = spark.createDataFrame([(1, 1, 1, 1, 0.0)], "doc_id long, page_no int, band int, seq long, c double")
+    pitch = items.select("doc_id", "page_no", "c").withColumnRenamed("c", "pitch")
+    shifts = C.nearest_row_shift(items, pitch)
+    facts = "doc_id long, page_no int, row_no int, n int, text string, roles array<string>, total boolean, ends boolean, money boolean, digits boolean, captions boolean, prose boolean"
+    band = C.find_table_band(spark.createDataFrame([], facts))
+    for df in (shifts, band):
+        assert counts(df, "currentrow$(), unboundedfollowing$()", "1, unboundedfollowing$()") == [0, 0]
+    assert counts(band, "LogicalRDD", "Relation")[0] == 1
