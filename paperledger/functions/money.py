@@ -90,7 +90,7 @@ def to_cents(amount: Column) -> Column:
 def format_cents(c: Column) -> Column:
     """A sum with two decimals; null stays null."""
     sign = F.when(c < 0, "-").otherwise("")
-    return F.when(c.isNotNull(), F.concat(sign, F.format_string("%d.%02d", F.floor(F.abs(c) / 100).cast("bigint"), F.abs(c) % 100)))
+    return F.when(c.isNotNull(), F.concat(sign, F.floor(F.abs(c) / 100).cast("bigint").cast("string"), F.lit("."), F.lpad((F.abs(c) % 100).cast("string"), 2, "0")))
 
 
 def money_in_text(text: Column, amount: Column) -> Column:

@@ -372,11 +372,14 @@ def table_struct(cells: DataFrame) -> DataFrame:
 
 def absorb_header_rows(tables: DataFrame) -> DataFrame:
     """W23. Leading rows with two known captions or more and no number go to the titles."""
-    first = first_where(F.col("rows"), lambda r: ~(~F.exists(r, lambda c: cents(c).isNotNull()) & (_known_roles(r) >= 2)))
-    rows = settle(settle(tables, k=first), k=F.when(F.col("k") > 0, F.col("k") - 1).otherwise(F.size("rows")))
-    titles = F.transform("titles", lambda t, i: F.array_join(F.filter(F.concat(F.array(t), F.transform(F.slice("rows", F.lit(1), F.col("k")), lambda r: F.get(r, i))), lambda c: F.coalesce(F.trim(c), F.lit("")) != ""), " "))
-    rows = settle(rows, titles=F.when(F.col("k") > 0, titles).otherwise(F.col("titles")), rows=F.slice("rows", F.col("k") + 1, F.greatest(F.size("rows") - F.col("k"), F.lit(0))))
-    return settle(rows, roles=F.when(F.col("k") > 0, assign_roles(F.col("titles"))).otherwise(F.col("roles"))).select(*tables.columns)
+    first = first_where(F.col("rows"), lambda r: F.exists(r, lambda c: cents(c).isNotNull()) | (_known_roles(r) < 2))
+    rows = settle(tables, k=let(first, lambda k: F.when(k > 0, k - 1).otherwise(F.size("rows"))))
+    below = lambda i: F.transform(F.slice("rows", F.lit(1), F.col("k")), lambda r: F.get(r, i))
+    titles = F.transform("titles", lambda t, i: F.array_join(F.filter(F.concat(F.array(t), below(i)), lambda c: F.coalesce(F.trim(c), F.lit("")) != ""), " "))
+    named = let(titles, lambda t: F.struct(t.alias("titles"), assign_roles(t).alias("roles")))
+    taken = F.col("k") > 0
+    rows = settle(rows, named=F.when(taken, named).otherwise(F.struct("titles", "roles")), rows=F.when(taken, F.slice("rows", F.col("k") + 1, F.greatest(F.size("rows") - F.col("k"), F.lit(0)))).otherwise(F.col("rows")))
+    return rows.withColumns({c: F.col(f"named.{c}") for c in ("titles", "roles")}).select(*tables.columns)
 
 
 def take_hidden_totals(tables: DataFrame) -> DataFrame:

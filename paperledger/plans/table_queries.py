@@ -17,8 +17,9 @@ def _cells() -> Column:
 
 
 def _by_document(lines: DataFrame, row: Column) -> DataFrame:
-    """doc_id and its rows in order."""
-    rows = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", row.alias("r")))).alias("rows"))
+    """doc_id and its rows in order. Rows are made below the aggregate, which would interpret their expressions."""
+    made = lines.select("doc_id", F.struct("line_no", row.alias("r")).alias("row"))
+    rows = made.groupBy("doc_id").agg(F.array_sort(F.collect_list("row")).alias("rows"))
     return rows.select("doc_id", F.transform("rows", lambda r: r["r"]).alias("rows"))
 
 
