@@ -183,22 +183,34 @@ def layout_text(rows: DataFrame, gap_factor: float = 2.5) -> DataFrame:
     return line.groupBy(*PAGE).agg(joined("flat"), joined("layout"))
 
 
+def _char_width() -> Column:
+    """Width of a character of a word's box; null without text or width."""
+    return F.when((F.length("text") > 0) & (F.col("x1") > F.col("x0")), (F.col("x1") - F.col("x0")) / F.length("text"))
+
+
 def column_bands(words: DataFrame) -> DataFrame:
     """W6. doc_id, page_no, band, lo, hi: x-intervals of the words merged over gaps up to 1.5 characters
     (4 at least); borders in the middle of gaps, one character beyond at the ends. Pages of fewer than
-    four boxes have none."""
-    metrics = page_metrics(words).select(*PAGE, "char_width")
-    order = Window.partitionBy(*PAGE).orderBy("x0", "x1", "seq")
-    words = words.withColumn("boxes", F.count(F.lit(1)).over(Window.partitionBy(*PAGE))).where("boxes >= 4")
-    before = F.max("x1").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    four boxes have none. A page's boxes are one array, merged from left to right."""
+    pages = words.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("x0", "x1", "seq"))).alias("w"), upper_median(F.collect_list(_char_width())).alias("char_width"))
+    pages = pages.where("size(w) >= 4 and char_width is not null")
     limit = F.greatest(F.col("char_width") * 1.5, F.lit(4.0))
-    marked = words.join(metrics, list(PAGE)).withColumn("new", F.when(F.col("x0") - before > limit, 1).otherwise(0))
-    marked = marked.withColumn("band", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    bands = marked.groupBy(*PAGE, "band").agg(F.min("x0").alias("a"), F.max("x1").alias("b"), F.min("char_width").alias("char_width"))
-    by = Window.partitionBy(*PAGE).orderBy("band")
-    lo = F.coalesce((F.lag("b").over(by) + F.col("a")) / 2, F.col("a") - F.col("char_width"))
-    hi = F.coalesce((F.lead("a").over(by) + F.col("b")) / 2, F.col("b") + F.col("char_width"))
-    return bands.select(*PAGE, F.col("band").cast("int").alias("band"), lo.alias("lo"), hi.alias("hi"))
+    edge = lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"))
+    none = F.lit(None).cast("double")
+    start = F.struct(F.array().cast("array<struct<a:double,b:double>>").alias("done"), none.alias("a"), none.alias("b"), none.alias("right"))
+
+    def step(s: Column, x: Column) -> Column:
+        right = F.greatest(s["right"], x["x1"]).alias("right")
+        new = F.struct(F.concat(s["done"], F.array(edge(s))).alias("done"), x["x0"].alias("a"), x["x1"].alias("b"), right)
+        wider = F.struct(s["done"].alias("done"), F.least(s["a"], x["x0"]).alias("a"), F.greatest(s["b"], x["x1"]).alias("b"), right)
+        return F.when(x["x0"] - s["right"] > limit, new).otherwise(wider)
+
+    merged = F.aggregate("w", start, step, lambda s: F.concat(s["done"], F.array(edge(s))))
+    bands = pages.select(*PAGE, "char_width", F.inline(F.array(F.struct(merged.alias("bands")))))
+    lo = lambda e, i: F.coalesce((F.get("bands", i - 1)["b"] + e["a"]) / 2, e["a"] - F.col("char_width"))
+    hi = lambda e, i: F.coalesce((F.get("bands", i + 1)["a"] + e["b"]) / 2, e["b"] + F.col("char_width"))
+    ends = F.transform("bands", lambda e, i: F.struct(lo(e, i).alias("lo"), hi(e, i).alias("hi")))
+    return bands.select(*PAGE, F.posexplode(ends).alias("band", "e")).select(*PAGE, "band", "e.lo", "e.hi")
 
 
 def words_to_bands(words: DataFrame, bands: DataFrame) -> DataFrame:
