@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..cluster import ship_package
+from ..functions.text import let
 
 PAGE = ("doc_id", "page_no")
 
@@ -172,15 +173,19 @@ def straight_rows(words: DataFrame) -> DataFrame:
 
 def layout_text(rows: DataFrame, gap_factor: float = 2.5) -> DataFrame:
     """W4. doc_id, page_no, flat, layout: rows as lines; in the layout a bar where the gap between two
-    words is over gap_factor characters."""
-    metrics = page_metrics(rows).select(*PAGE, "char_width")
-    order = Window.partitionBy(*PAGE, "row_no").orderBy("x0", "seq")
-    gap = F.col("x0") - F.lag("x1").over(order)
-    spaced = rows.join(metrics, list(PAGE)).withColumn("sep", F.when(gap.isNull(), "").when(gap > F.col("char_width") * gap_factor, " | ").otherwise(" "))
-    line = spaced.groupBy(*PAGE, "row_no").agg(F.array_sort(F.collect_list(F.struct("x0", "seq", "sep", "text"))).alias("w"))
-    line = line.select(*PAGE, "row_no", F.array_join(F.transform("w", lambda x: F.concat(x["sep"], x["text"])), "").alias("layout"), F.array_join(F.transform("w", lambda x: x["text"]), " ").alias("flat"))
-    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", c))), lambda x: x[c]), "\n").alias(c)
-    return line.groupBy(*PAGE).agg(joined("flat"), joined("layout"))
+    words is over gap_factor characters. A page's rows and widths come from the same aggregates, so words move once."""
+    word = F.struct("x0", "seq", "x1", "text")
+    line = rows.groupBy(*PAGE, "row_no").agg(F.array_sort(F.collect_list(word)).alias("w"), F.collect_list(_char_width()).alias("widths"))
+    page = line.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("row_no", "w"))).alias("lines"), upper_median(F.flatten(F.collect_list("widths"))).alias("char_width")).where("char_width is not null")
+
+    def spaced(w: Column) -> Column:
+        gap = lambda x, i: x["x0"] - F.get(w, i - 1)["x1"]
+        sep = lambda g: F.when(g.isNull(), "").when(g > F.col("char_width") * gap_factor, " | ").otherwise(" ")
+        return F.array_join(F.transform(w, lambda x, i: F.concat(let(gap(x, i), sep), x["text"])), "")
+
+    flat = lambda w: F.array_join(F.transform(w, lambda x: x["text"]), " ")
+    whole = lambda f: F.array_join(F.transform("lines", lambda x: f(x["w"])), "\n")
+    return page.select(*PAGE, whole(flat).alias("flat"), whole(spaced).alias("layout"))
 
 
 def _char_width() -> Column:
