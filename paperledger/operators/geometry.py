@@ -73,7 +73,7 @@ def _by_overlap(y0: list[float], y1: list[float]) -> list[int]:
 def by_page(words: DataFrame, number, shape: str, columns: tuple[str, ...], name: str) -> DataFrame:
     """``words`` with an int column ``name``, which ``number`` gives for a page's lists of ``columns``.
 
-    Pages are dealt out once and sorted; a task takes them from batch to batch, many to a batch.
+    Pages are dealt out once at most and sorted; a task takes them from batch to batch, many to a batch.
     """
     ship_package(words.sparkSession)
     at = words.columns.index("page_no")
@@ -83,6 +83,7 @@ def by_page(words: DataFrame, number, shape: str, columns: tuple[str, ...], name
 
         def done(rows: pa.Table) -> pa.RecordBatch:
             out: list[int] = []
+            rows = rows.drop_columns(["_place"])
             doc, page = rows.column("doc_id").to_numpy(), rows.column(at).to_numpy()
             starts = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (page[1:] != page[:-1]))))
             values = [rows.column(c).to_pylist() for c in columns]
@@ -106,7 +107,9 @@ def by_page(words: DataFrame, number, shape: str, columns: tuple[str, ...], name
         if held:
             yield done(pa.Table.from_batches(held))
 
-    return words.repartition(*PAGE).sortWithinPartitions(*PAGE, "y0", "x0", "seq").mapInArrow(run, shape)
+    # a window asks for whole pages only, so words that lie by document already aren't dealt out again
+    order = Window.partitionBy(*PAGE).orderBy("y0", "x0", "seq")
+    return words.withColumn("_place", F.row_number().over(order)).mapInArrow(run, shape)
 
 
 def rows_by_top(words: DataFrame) -> DataFrame:
