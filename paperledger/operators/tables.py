@@ -7,7 +7,7 @@ arrays: no shuffle, and the order of rows and columns needs no window.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import cents, clean_cell
@@ -454,14 +454,20 @@ def infer_roles_by_arithmetic(cells: DataFrame) -> DataFrame:
     sum over the rows that have both is without VAT. Tables whose present roles (first and last amount, VAT)
     agree in over half of the rows with a total are left alone.
     """
-    names = cells.groupBy("doc_id", "source").agg(F.coalesce(F.min(F.when(F.col("role") == "name", F.col("col_no"))), F.lit(0)).alias("name_col"))
-    amount = lambda f: f(F.when(F.col("role") == "amount", F.col("col_no")))
-    present = cells.groupBy("doc_id", "source").agg(amount(F.min).alias("net_col"), F.min(F.when(F.col("role") == "vat", F.col("col_no"))).alias("vat_col"), amount(F.max).alias("total_col"))
-    fine = roles_reconcile(cells, present.where("net_col < total_col and vat_col is not null")).where("ok * 2 > n").select("doc_id", "source")
-    v = F.struct("col_no", cents(F.col("value")).alias("v"), F.trim("value").rlike("[.,][0-9]{2}$").alias("money"))
-    open_ = cells.where("not is_total").join(names, ["doc_id", "source"]).where((F.col("col_no") != F.col("name_col")) & ~F.coalesce("role", F.lit("")).isin(*NO_SUMS))
-    rows = open_.join(fine, ["doc_id", "source"], "left_anti").groupBy("doc_id", "source", "row_no").agg(F.array_sort(F.collect_list(v)).alias("c"))
-    rows = rows.select("doc_id", "source", "row_no", F.filter("c", lambda x: x["v"].isNotNull()).alias("c")).where(F.size("c") >= 3)
+    table = Window.partitionBy("doc_id", "source")
+    role, body = F.coalesce("role", F.lit("")), ~F.col("is_total")
+    cell = F.struct("col_no", cents(F.col("value")).alias("v"), F.trim("value").rlike("[.,][0-9]{2}$").alias("money"), (~role.isin(*NO_SUMS)).alias("open"))
+    known = cells.where("doc_id is not null and source is not null").select("doc_id", "source", "row_no", "col_no", role.alias("role"), body.alias("body"), F.when(body, cell).alias("cell"))
+    first = lambda f, r: f(F.when(F.col("role") == r, F.col("col_no")))
+    rows = known.groupBy("doc_id", "source", "row_no").agg(F.array_sort(F.collect_list("cell")).alias("c"), first(F.min, "name").alias("name_col"), first(F.min, "amount").alias("net_col"), first(F.min, "vat").alias("vat_col"), first(F.max, "amount").alias("total_col"))
+    facts = {k: (F.max if k == "total_col" else F.min)(k).over(table) for k in ("name_col", "net_col", "vat_col", "total_col")}
+    rows = rows.withColumns(facts | {"name_col": F.coalesce(facts["name_col"], F.lit(0))})
+    at = lambda k: F.array_max(F.transform(F.filter("c", lambda x: x["col_no"] == F.col(k)), lambda x: x["v"]))
+    present = (F.col("net_col") < F.col("total_col")) & F.col("vat_col").isNotNull()
+    rows = rows.withColumns({"sums": F.when(present, F.struct(at("net_col").alias("net"), at("vat_col").alias("vat"), at("total_col").alias("total")))})
+    agree = F.abs(F.col("sums.net") + F.col("sums.vat") - F.col("sums.total")) <= 2
+    rows = rows.withColumn("fine", F.count(F.when(agree, 1)).over(table) * 2 > F.count("sums.total").over(table)).where("not fine")
+    rows = rows.select("doc_id", "source", F.filter("c", lambda x: x["open"] & x["v"].isNotNull() & (x["col_no"] != F.col("name_col"))).alias("c")).where(F.size("c") >= 3)
     rows = rows.select("doc_id", "source", "c", F.explode("c").alias("a")).select("doc_id", "source", "a", "c", F.explode("c").alias("b")).where("b.col_no > a.col_no")
     rows = rows.select("doc_id", "source", "a", "b", F.explode("c").alias("t")).where("t.col_no <> a.col_no and t.col_no <> b.col_no")
     counts = (F.least("a.v", "b.v", "t.v") > 0) & F.col("t.money")
