@@ -163,9 +163,24 @@ def lines_of(text: Column) -> Column:
     return F.split(even(text), "\n", -1)
 
 
-def behind(line: Column, captions: tuple[str, ...]) -> Column:
-    """What stands behind the first of the captions in a line, of captions at one place the longest; else null."""
+def lines_and_low(even_text: Column) -> Column:
+    """struct<line, low> of each line of a text by ``even``; low is the line by lower_e. The text is lowered as a whole."""
+    return F.zip_with(F.split(even_text, "\n", -1), F.split(lower_e(even_text), "\n", -1), lambda a, b: F.struct(a.alias("line"), b.alias("low")))
+
+
+def _shared(words: list[str]) -> str:
+    """The longest text that all words hold."""
+    first = min(words, key=len)
+    parts = {first[a:b] for a in range(len(first)) for b in range(a + 1, len(first) + 1)}
+    return max((p for p in parts if all(p in w for w in words)), key=len, default="")
+
+
+def behind(line: Column, captions: tuple[str, ...], low: Column | None = None) -> Column:
+    """What stands behind the first of the captions in a line, of captions at one place the longest; else null.
+    ``low``: the line by lower_e, where it is at hand."""
     known = sorted({" ".join(c.replace("ё", "е").replace(".", " ").split()) for c in captions})
+    shared = _shared(known)
+    has = lambda low: contains_any(low, known) if len(shared) < 3 else low.contains(shared) & contains_any(low, known)
     places = lambda low: F.array_min(F.filter(F.array(*(F.struct(F.locate(c, low).alias("at"), F.lit(-len(c)).alias("size")) for c in known)), lambda x: x["at"] > 0))
-    found = let(lower_e(line), lambda low: F.when(contains_any(low, known), places(low)))  # most lines have none
-    return let(found, lambda x: F.when(x.isNotNull(), F.substr(line, x["at"] - x["size"], F.length(line))))
+    place = lambda low: F.when(has(low), places(low))  # noqa: E731  most lines have none
+    return let(place(low) if low is not None else let(lower_e(line), place), lambda x: F.when(x.isNotNull(), F.substr(line, x["at"] - x["size"], F.length(line))))

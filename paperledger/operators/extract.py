@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.money import date_from_words, format_cents, money_from_words, vat_from_words
+from ..cluster import spread
+from ..functions.money import date_from_words, format_cents, money_from_words, vat_in_lines
 from ..functions.text import NUMBER_SIGN as SIGN
-from ..functions.text import behind, let, lines_of, looks_like_account_number, lower_e
+from ..functions.text import behind, even, let, lines_and_low, looks_like_account_number, lower_e
 from .tables import settle
 
 RULE, GUESS = 0.7, 0.3
@@ -67,7 +68,7 @@ def _core(w: Column) -> Column:
 def sums_in(w: Column) -> Column:
     """Of each word its sum (digits, two decimals), null for other words. Digits that blanks group in threes
     are one word."""
-    return F.transform(w, lambda x: let(_core(x), lambda c: F.when(c.rlike("^[0-9]+[.,][0-9]{2}$"), c)))
+    return F.transform(w, lambda x: F.when(x.contains(".") | x.contains(","), let(_core(x), lambda c: F.when(c.rlike("^[0-9]+[.,][0-9]{2}$"), c))))
 
 
 def grouped(line: Column) -> Column:
@@ -76,12 +77,17 @@ def grouped(line: Column) -> Column:
 
 
 def dates_in(w: Column) -> Column:
-    return F.transform(w, lambda x: let(_core(x), lambda c: F.when(c.rlike("^[0-9]{2}[.][0-9]{2}[.][0-9]{4}$"), c)))
+    return F.transform(w, lambda x: F.when(x.contains("."), let(_core(x), lambda c: F.when(c.rlike("^[0-9]{2}[.][0-9]{2}[.][0-9]{4}$"), c))))
 
 
-def contract_numbers(lines: Column) -> Column:
-    """E4. The numbers behind contracts' words."""
-    return F.filter(F.transform(lines, lambda x: numbered(words_of(behind(x, DEALS)), DEAL_WORDS)), lambda n: n.isNotNull())
+def deal_words(lines: Column) -> Column:
+    """The words behind a contract's word of each line (lines_and_low) that has one."""
+    return F.filter(F.transform(lines, lambda x: words_of(behind(x["line"], DEALS, x["low"]))), lambda w: w.isNotNull())
+
+
+def contract_numbers(agreed: Column) -> Column:
+    """E4. The numbers behind contracts' words (deal_words)."""
+    return F.filter(F.transform(agreed, lambda w: numbered(w, DEAL_WORDS)), lambda n: n.isNotNull())
 
 
 def captioned(text: Column, captions: tuple[str, ...]) -> Column:
@@ -124,11 +130,11 @@ def _largest(sums: Column) -> Column:
 def doc_number(text: Column) -> Column:
     """E3. struct<value, confidence>: after the document's title, else the first sign; never a contract's
     number when there is another, never a bank account."""
-    return let(lines_of(text), lambda lines: _doc_number(lines, contract_numbers(lines), F.transform(lines, words_of)))
+    return let(lines_and_low(even(text)), lambda lines: _doc_number(lines, contract_numbers(deal_words(lines)), F.transform(lines, lambda x: words_of(x["line"]))))
 
 
 def _doc_number(lines: Column, deals: Column, spoken: Column) -> Column:
-    """The same from a text's lines, its contracts' numbers and the words of each line."""
+    """The same from a text's lines (lines_and_low), its contracts' numbers and the words of each line."""
     pick = lambda v, c: let(v, lambda x: F.when(x.isNotNull(), F.struct(x.alias("value"), F.lit(c).alias("confidence"))))
     fits = lambda ns: F.filter(ns, lambda n: n.isNotNull() & ~looks_like_account_number(n))
 
@@ -139,7 +145,7 @@ def _doc_number(lines: Column, deals: Column, spoken: Column) -> Column:
         other = lambda ns: F.get(F.filter(ns, lambda n: ~F.array_contains(d["deals"], n)), F.lit(0))
         return F.coalesce(pick(other(d["own"]), RULE), pick(F.get(d["own"], F.lit(0)), RULE), pick(other(fits(let(F.flatten(spoken), every))), GUESS))
 
-    own = fits(F.transform(lines, lambda x: numbered(words_of(behind(x, TITLES)), TITLE_WORDS)))
+    own = fits(F.transform(lines, lambda x: let(words_of(behind(x["line"], TITLES, x["low"])), lambda w: numbered(w, TITLE_WORDS))))
     return let(F.struct(deals.alias("deals"), own.alias("own")), chosen)
 
 
@@ -147,23 +153,23 @@ def total(text: Column) -> Column:
     """E6. struct<value, confidence>: the largest sum among the words behind a caption, unless VAT or tax is
     named before the first; else in words; else the largest sum of the text as a guess."""
 
-    return let(lines_of(text), _total)
+    return let(lines_and_low(even(text)), _total)
 
 
 def _total(lines: Column) -> Column:
-    """The same from a text's lines."""
+    """The same from a text's lines (lines_and_low)."""
 
-    def labelled(line: Column) -> Column:
+    def labelled(x: Column) -> Column:
         said = lambda rest: let(F.struct(rest.alias("rest"), F.slice(words_of(grouped(rest)), 1, TOTAL_REACH).alias("w")), lambda d: let(sums_in(d["w"]), lambda sums: value(d, sums)))
-        return let(behind(line, TOTALS), lambda rest: F.when(rest.isNotNull(), said(rest)))
+        return let(behind(x["line"], TOTALS, x["low"]), lambda rest: F.when(rest.isNotNull(), said(rest)))
 
     def value(d: Column, sums: Column) -> Column:
         at = F.array_position(F.transform(sums, lambda x: x.isNotNull()), F.lit(True)).cast("int")
         taxed = F.exists(F.slice(d["w"], F.lit(1), F.greatest(at - 1, F.lit(0))), lambda x: lower_e(x).rlike("ндс|налог"))
-        return F.when((at > 0) & taxed, F.lit(None).cast("string")).otherwise(F.coalesce(money_value(_largest(sums)), format_cents(money_from_words(d["rest"]))))
+        return F.when((at > 0) & taxed, F.lit(None).cast("string")).otherwise(F.coalesce(money_value(_largest(sums)), let(money_from_words(d["rest"]), format_cents)))
 
     sure = lambda v, c: F.when(v.isNotNull(), F.struct(v.alias("value"), F.lit(c).alias("confidence")))
-    guess = money_value(_largest(F.flatten(F.transform(lines, lambda x: sums_in(words_of(grouped(x)))))))
+    guess = money_value(_largest(F.flatten(F.transform(lines, lambda x: sums_in(words_of(grouped(x["line"])))))))
     return F.coalesce(let(first_of(F.transform(lines, labelled)), lambda v: sure(v, RULE)), let(guess, lambda v: sure(v, GUESS)))
 
 
@@ -171,8 +177,8 @@ def sum_behind(lines: Column, captions: tuple[str, ...], reach: int, bare: bool)
     """E7. The first sum behind a caption on its line, with at most ``reach`` words without digits before it;
     if ``bare`` nothing but a rate in percent may stand there."""
 
-    def in_line(line: Column) -> Column:
-        return let(words_of(grouped(behind(line, captions))), lambda w: let(sums_in(w), lambda sums: near(w, sums)))
+    def in_line(x: Column) -> Column:
+        return let(words_of(grouped(behind(x["line"], captions, x["low"]))), lambda w: F.when(w.isNotNull(), let(sums_in(w), lambda sums: near(w, sums))))
 
     def near(w: Column, sums: Column) -> Column:
         at = F.array_position(F.transform(sums, lambda x: x.isNotNull()), F.lit(True)).cast("int")
@@ -183,13 +189,13 @@ def sum_behind(lines: Column, captions: tuple[str, ...], reach: int, bare: bool)
     return first_of(F.transform(lines, in_line))
 
 
-def contract_date(lines: Column) -> Column:
-    """E5. The first date behind "от" behind a contract's word."""
+def contract_date(agreed: Column) -> Column:
+    """E5. The first date behind "от" behind a contract's word (deal_words)."""
 
-    def in_line(line: Column) -> Column:
-        return let(words_of(behind(line, DEALS)), lambda w: let(F.array_position(F.transform(w, lambda x: lower_e(x)), "от").cast("int"), lambda k: F.when((k > 0) & (k <= DATE_WORDS), F.get(dates_in(w), k))))
+    def in_line(w: Column) -> Column:
+        return let(F.array_position(F.transform(w, lambda x: lower_e(x)), "от").cast("int"), lambda k: F.when((k > 0) & (k <= DATE_WORDS), F.get(dates_in(w), k)))
 
-    return first_of(F.transform(lines, in_line))
+    return first_of(F.transform(agreed, in_line))
 
 
 def currency(text: Column) -> Column:
@@ -242,19 +248,23 @@ def extract_fields(docs: DataFrame) -> DataFrame:
     plain = lambda key, v: F.struct(F.lit(key).alias("key"), F.trim(v).alias("value"), F.lit(RULE).alias("confidence"))
     sure = lambda key, found: let(found, lambda s: F.struct(F.lit(key).alias("key"), s["value"].alias("value"), s["confidence"].alias("confidence")))
 
-    rows = settle(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), sellers=captioned(F.col("text"), SELLERS), buyers=captioned(F.col("text"), BUYERS), lines=lines_of(F.col("text")))
+    # texts take long and are short: few bytes must not mean few tasks
+    texts = spread(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id")
+    rows = settle(texts, sellers=captioned(F.col("text"), SELLERS), buyers=captioned(F.col("text"), BUYERS), even=even(F.col("text")))
+    rows = settle(rows, lines=lines_and_low(F.col("even"))).drop("even")
     line = F.coalesce(F.get(F.filter("buyers", lambda n: n.isNotNull()), F.lit(0)), F.lit(""))
-    rows = settle(rows, spoken=F.transform("lines", words_of), deals=contract_numbers(F.col("lines")), buyer=F.get(labelled_ids(line), F.lit(0)))
+    rows = settle(rows, spoken=F.transform("lines", lambda x: words_of(x["line"])), agreed=deal_words(F.col("lines")), buyer=F.get(labelled_ids(line), F.lit(0)))
+    rows = settle(rows, deals=contract_numbers(F.col("agreed")))
 
     def listed() -> Column:
-        t, sellers, buyers, buyer, lines, w, deals = (F.col(c) for c in ("text", "sellers", "buyers", "buyer", "lines", "spoken", "deals"))
+        t, sellers, buyers, buyer, lines, w, agreed, deals = (F.col(c) for c in ("text", "sellers", "buyers", "buyer", "lines", "spoken", "agreed", "deals"))
         vat, net = sum_behind(lines, VAT_SUMS, 3, True), sum_behind(lines, NET_SUMS, NET_WORDS, False)
         dates = first_of(F.flatten(F.transform(w, dates_in)))
         return F.array(
             sure("number", _doc_number(lines, deals, w)),
             plain("date", F.coalesce(dates, date_from_words(t))),
             sure("total", _total(lines)),
-            plain("vat_amount", F.coalesce(money_value(vat), format_cents(vat_from_words(t)))),
+            plain("vat_amount", F.coalesce(money_value(vat), let(vat_in_lines(lines), format_cents))),
             plain("amount_no_vat", money_value(net)),
             plain("currency", currency(t)),
             plain("counterparty", party(sellers)),
@@ -263,7 +273,7 @@ def extract_fields(docs: DataFrame) -> DataFrame:
             plain("unp", tax_id(t, sellers, buyer)),
             plain("kpp", F.get(labelled(t, {"кпп": (9,)}), F.lit(0))),
             plain("contract_number", F.get(deals, F.lit(0))),
-            plain("contract_date", contract_date(lines)),
+            plain("contract_date", contract_date(agreed)),
         )
 
     rows = rows.select("doc_id", F.explode(listed()).alias("f"))
