@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import materialize
 from ..functions import money, parties, text
 from ..operators import accuracy, catalog, extract, geometry, lines, rules, store
 from ..streaming import batch as flows
@@ -570,7 +571,7 @@ def e9(heads):
 @query("r9_confidence", "SELECT key, CASE WHEN key = 'total' THEN 0.98 WHEN key = 'number' THEN 0.98 WHEN key IN ('date', 'unp', 'organization_unp') THEN 0.95 WHEN key IN ('counterparty', 'organization') THEN 0.85 WHEN key IN ('currency', 'vat_amount', 'contract_date') THEN CASE WHEN key = 'vat_amount' THEN 0.95 WHEN key = 'contract_date' THEN 0.4 ELSE 0.8 END ELSE 0.7 END AS confidence, CAST(count(*) AS BIGINT) AS n FROM (" + _HEADS + ") h GROUP BY 1, 2", "invoice_heads")
 def r9(heads):
     pages = _invoice_pages(heads)
-    fields = extract.extract_fields(pages)
+    fields = materialize(extract.extract_fields(pages), "confidence-fields")  # they are the rules' fields too
     docs = pages.select("doc_id", "text", F.col("text").alias("head"), F.lit("").alias("body"), F.lit(True).alias("zones_ok"))
     facts = heads.select("doc_id", F.lit(1).alias("arithmetic"), F.lit(1).alias("lines"), F.col("number").alias("header_number"))
     chart = heads.limit(0).select(F.col("number").alias("code"))
