@@ -32,3 +32,60 @@ def test_lines_are_lowered_with_their_text(spark):
     for captions in (extract.VAT_SUMS, extract.NET_SUMS, extract.TITLES):
         both = rows.select(X.behind(X.F.col("t"), captions).alias("a"), X.behind(X.F.col("t"), captions, X.lower_e(X.F.col("t"))).alias("b")).collect()
         assert all(r.a == r.b for r in both)
+
+
+def words(spark):
+    return spark.createDataFrame([(d, 1, k, f"w{k}", 100.0 * (k % 5), 40.0 * (k // 5), 100.0 * (k % 5) + 50, 40.0 * (k // 5) + 20) for d in range(3) for k in range(20)], "doc_id bigint, page_no int, seq bigint, text string, x0 double, y0 double, x1 double, y1 double")
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_bands_deal_words_out_twice(spark):
+    """Slopes came by joins of a page's words, so they were dealt out eight times: for their rows and by page is enough."""
+    from paperledger.operators import columns, geometry
+
+    assert exchanges(columns.find_table_band(columns.page_rows(geometry.straight_rows(words(spark))))) == 2
+
+
+def test_written_tables_lie_by_page(spark):
+    """What was written by page was dealt out again by each step that read it."""
+    from paperledger.cluster import materialize, spread
+    from paperledger.operators import geometry
+
+    kept = materialize(spread(words(spark), *geometry.PAGE), "test-words", geometry.PAGE)
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, words(spark).collect()))
+    assert exchanges(geometry.column_bands(kept)) == 0 and exchanges(kept.join(geometry.page_metrics(kept), list(geometry.PAGE))) == 0
+
+
+def test_drift_deals_no_items_out_again(spark):
+    """Items met their rows' kinds and their bands' sizes by joins of other keys than the page."""
+    from paperledger.cluster import materialize, spread
+    from paperledger.operators import columns, geometry
+
+    items = words(spark).selectExpr("*", "cast(seq div 5 as int) as row_no", "cast(seq % 5 as int) as band", "(y0 + y1) / 2 as c")
+    kept = materialize(spread(items, *geometry.PAGE), "test-items", geometry.PAGE)
+    both = columns.nearest_row_shift(kept, columns.row_pitch(kept))
+    assert exchanges(both) <= 4  # shifts and sizes of bands, no items
+
+
+def test_slopes_of_the_page_pass_equal_the_columns(spark):
+    """straight_rows takes slopes from its pass over a page, deskew from joins."""
+    import random
+
+    from paperledger.operators import geometry
+
+    r = random.Random(3)
+    rows = []
+    for doc in range(30):
+        k = r.choice([0, 0.03, -0.03, 0.022, 0.06])
+        for s in range(r.choice([1, 3, 30, 90])):
+            x = float(r.choice([40, 200, 400, 700, 1100, r.randint(0, 1500)]))
+            y = float(40 * (s // 5) + r.choice([0, 0, 0, 1, 7])) + k * x
+            rows.append((doc, 1 + s % 2 if doc % 7 == 0 else 1, s if doc % 5 else s // 2, f"w{s}", x, y, x + 60, y + r.choice([20, 20, 20, 0, 30])))
+    df = spark.createDataFrame(rows, "doc_id bigint, page_no int, seq bigint, text string, x0 double, y0 double, x1 double, y1 double")
+    got = geometry.by_page(df, geometry._straighter, geometry.ROWS.replace("row_no int", "code int, k double"), ("y0", "y1", "x0", "seq"), "code", "k").collect()
+    ours = sorted((x.doc_id, x.text, x.y0 - (0.0 if x.k is None else x.k * x.x0)) for x in got)
+    assert ours == sorted((x.doc_id, x.text, x.y0) for x in geometry.deskew(df).collect())
+    assert sum(x.k is not None for x in got) > 300
