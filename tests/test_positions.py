@@ -163,3 +163,33 @@ def test_model_table(spark):
     assert set(got) == {1, 2}
     assert got[1].rows == [["a", "3", "2", "6"], ["b", "2", "", ""], ["c", "2", "5", "10 кг !"]] and got[1].totals == [["Итого", "", "", "16"]]
     assert got[2].rows == [["a", "5"]] and got[2].totals == [["t", "5 x"]]
+
+
+def test_tables_that_stay_apart_are_found_at_once(spark, monkeypatch):
+    """Tables none of whose rows joins another went row by row all the same; those found at once must be such tables."""
+    import random
+
+    import pyarrow as pa
+
+    from paperledger.operators import positions as P
+
+    r = random.Random(4)
+    roles = ["name\x01qty\x01price\x01amount", "index\x01name\x01qty\x01price\x01amount\x01vat_rate\x01vat\x01amount", "other\x01qty\x01amount", "", "name"]
+    some = ["", "Болт", "гайка", " (часть)", "5", "12.50", "1 250,10", "20%", "3.00", "100.00", "300.00", "Раздел:", None, "\x85x", "-5,00"]
+    tables = []
+    for _ in range(600):
+        own, good = r.choice(roles), r.random() < 0.5
+        rows = [[r.choice(some) for _ in own.split("\x01")] for _ in range(r.randint(0, 5))]
+        for row in rows:
+            if good and len(row) > 1:
+                row[0], row[1], row[-1] = r.choice(["Болт", "гайка"]), r.choice(["Болт", "5.00"]), "12.50"
+            if r.random() < 0.05:
+                row.append("5.00")
+        tables.append((rows, own))
+    rows, own = pa.array([t[0] for t in tables], pa.list_(pa.list_(pa.string()))), pa.array([t[1] for t in tables])
+    got, slow = P._merged.func(rows, own).to_pylist(), []
+    monkeypatch.setattr(P, "merged_rows", lambda pairs, names, plain=P.merged_rows: slow.append(1) or plain(pairs, names))
+    P._merged.func(rows, own)
+    assert 0 < len(slow) < 400
+    monkeypatch.setattr(P, "_stay_apart", lambda texts, number, money, cell_at, table_at, roles: P.np.zeros(len(roles), bool))
+    assert P._merged.func(rows, own).to_pylist() == got
