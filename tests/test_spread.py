@@ -89,3 +89,18 @@ def test_slopes_of_the_page_pass_equal_the_columns(spark):
     ours = sorted((x.doc_id, x.text, x.y0 - (0.0 if x.k is None else x.k * x.x0)) for x in got)
     assert ours == sorted((x.doc_id, x.text, x.y0) for x in geometry.deskew(df).collect())
     assert sum(x.k is not None for x in got) > 300
+
+
+def test_common_cells_take_the_short_way(spark):
+    """Sums with two decimals, names that head no numbering, and rows that don't begin like the header."""
+    from decimal import Decimal
+
+    from paperledger.functions.money import cents
+    from paperledger.operators import tables as T
+
+    sums = ["5.00", "05.10", "123456789012345.67", "1234567890123456.78", "99999999999999999999.00", "5", "5,1", "", " ", "5.000", "-1.50", "5.00\n", None]
+    want = [None if x in ("", " ", "5.000", None) or len(x) > 20 else int(Decimal(x.strip().replace(",", ".")) * 100) for x in sums]
+    assert [r.c for r in spark.createDataFrame([(x,) for x in sums], "x string").coalesce(1).select(cents(X.F.col("x")).alias("c")).collect()] == want
+    rows = spark.createDataFrame([(["1", "2", "3"], ["a"]), (["Болт", "1", "2"], ["болт", "1", "2"]), (["", "1", "2", "3."], None), ([], []), (None, ["a"])], "c array<string>, t array<string>").coalesce(1)
+    got = [tuple(r) for r in rows.select(T.is_numbering_row(X.F.col("c")), T._equals_header(X.F.col("c"), X.F.col("t"))).collect()]
+    assert got[:3] == [(True, False), (False, True), (True, None)] and got[3] == (False, False)
