@@ -91,6 +91,18 @@ def test_slopes_of_the_page_pass_equal_the_columns(spark):
     assert sum(x.k is not None for x in got) > 300
 
 
+def test_sums_in_words_are_read_once(spark):
+    """Two finders read each text for sums in words; texts without roubles were taken apart too."""
+    from paperledger.operators import recovery
+
+    cells = spark.createDataFrame([(1, 0, "name", "", "a", False)], "doc_id long, row_no int, role string, title string, value string, in_totals boolean")
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    fields = spark.createDataFrame([(1, "total", "1.00", "rule")], "doc_id long, key string, value string, source string")
+    plan = recovery.recover_totals(cells, docs, fields)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_spans(") == 0
+    assert recovery.word_sums("Итого: 5,00 " * 9) == [] and recovery.word_sums("Итого: пять РУБЛЕЙ 1 копейка")[0][2:] == (501, "total")
+
+
 def test_common_cells_take_the_short_way(spark):
     """Sums with two decimals, names that head no numbering, and rows that don't begin like the header."""
     from decimal import Decimal
